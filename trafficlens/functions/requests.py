@@ -62,7 +62,7 @@ def local_time(timestamp: Column, zone: str | None = None) -> Column:
 def off_hours_flag(hour: Column, business_hours: tuple[int, int] = fixed.BUSINESS_HOURS) -> Column:
     """1 outside the business hours; an unknown hour counts as inside."""
     first, last = business_hours
-    return F.when(hour.between(first, last) == F.lit(False), 1).otherwise(0)
+    return F.when(~hour.between(first, last), 1).otherwise(0)
 
 
 def lookup(key: Column, names: Mapping[int, str]) -> Column:
@@ -74,12 +74,5 @@ def lookup(key: Column, names: Mapping[int, str]) -> Column:
 
 
 def rank_in(value: Column, order: Iterable[str]) -> Column:
-    """Position of ``value`` in a fixed category order; null outside it."""
-    return lookup_rank(value, {name: i for i, name in enumerate(order)})
-
-
-def lookup_rank(value: Column, ranks: Mapping[str, int]) -> Column:
-    ranked = F
-    for name, rank in ranks.items():
-        ranked = ranked.when(value == name, rank)
-    return ranked.otherwise(F.lit(None).cast("int"))
+    """Position of ``value`` in a fixed category order, 0 outside it."""
+    return F.array_position(F.array(*[F.lit(name) for name in order]), value)
