@@ -23,8 +23,11 @@ def confusion(
     ).agg(F.count("*").alias("count"))
 
 
-def class_metrics(counts: DataFrame) -> DataFrame:
-    """TP, FP, FN, precision, recall and F1 of every class seen as label or prediction."""
+def class_metrics(counts: DataFrame, *groups: str) -> DataFrame:
+    """TP, FP, FN, precision, recall and F1 of every class seen as label or prediction.
+
+    ``groups`` are further columns of ``counts`` that tell models apart.
+    """
     n, hit = F.col("count"), F.col("label") == F.col("prediction")
     none = F.lit(0).cast("bigint")
 
@@ -34,8 +37,8 @@ def class_metrics(counts: DataFrame) -> DataFrame:
     as_label = part(F.col("label"), F.when(hit, n).otherwise(0), none, F.when(hit, 0).otherwise(n))
     as_prediction = part(F.col("prediction"), none, F.when(hit, 0).otherwise(n), none)
     tallies = (
-        counts.select(F.inline(F.array(as_label, as_prediction)))
-        .groupBy("class")
+        counts.select(*groups, F.inline(F.array(as_label, as_prediction)))
+        .groupBy(*groups, "class")
         .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -46,15 +49,15 @@ def class_metrics(counts: DataFrame) -> DataFrame:
     return rated.withColumn("f1", _ratio(2 * p * r, p + r))
 
 
-def weighted_metrics(counts: DataFrame) -> DataFrame:
-    """Accuracy, and F1, precision and recall weighted by class size; one row."""
+def weighted_metrics(counts: DataFrame, *groups: str) -> DataFrame:
+    """Accuracy, and F1, precision and recall weighted by class size; one row per group."""
     support = F.col("tp") + F.col("fn")
     total = F.sum(support)
 
     def weighted(name):
         return F.try_divide(F.sum(support * F.col(name)), total)
 
-    return class_metrics(counts).agg(
+    return class_metrics(counts, *groups).groupBy(*groups).agg(
         F.try_divide(F.sum("tp").cast("double"), total).alias("accuracy"),
         weighted("f1").alias("f1"),
         weighted("precision").alias("precision"),

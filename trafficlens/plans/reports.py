@@ -204,48 +204,44 @@ def window_summary(windows: DataFrame) -> DataFrame:
 # -- both ------------------------------------------------------------------------
 
 
-def business_summary(requests: DataFrame, windows: DataFrame) -> DataFrame:
-    """(figure, value) rows of both one-row summaries, each from one pass."""
+def summary_figures(requests: DataFrame, windows: DataFrame) -> DataFrame:
+    """(figure, value) rows of the request and the window summary, each from one pass."""
 
-    def long_form(summary: DataFrame, names: list[str]) -> DataFrame:
+    def long_form(summary: DataFrame) -> DataFrame:
         figures = [
-            F.struct(F.lit(n).alias("figure"), F.col(n).cast("double").alias("value"))
-            for n in names
+            F.struct(F.lit(name).alias("figure"), F.col(name).cast("double").alias("value"))
+            for name in summary.columns
         ]
         return summary.select(F.inline(F.array(*figures)))
 
-    rows = ["total_rows", "bot_traffic", "bot_pct", "error_rows", "error_pct"]
-    per_window = [
-        "total_windows",
-        "anomalous_windows",
-        "anomalous_pct",
-        "high_severity_windows",
-        "high_severity_pct",
-    ]
-    return long_form(quality(requests), rows).unionByName(
-        long_form(window_summary(windows), per_window)
-    )
+    return long_form(quality(requests)).unionByName(long_form(window_summary(windows)))
+
+
+def business_summary(requests: DataFrame, windows: DataFrame) -> DataFrame:
+    figures = summary_figures(requests, windows)
+    return figures.filter(~F.col("figure").startswith("null_timestamp"))
 
 
 def run_stats(requests: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row of run figures, percentages to one decimal.
-
-    The two sides are single rows, so the join meets one row with one row.
-    """
-    one = F.lit(1).alias("_one")
-    left = quality(requests).select(
-        one,
-        "total_rows",
-        "bot_traffic",
-        F.round("bot_pct", 1).alias("bot_pct"),
-        "error_rows",
-        F.round("error_pct", 1).alias("error_pct"),
-        "null_timestamps",
-    )
-    right = window_summary(windows).select(
-        one,
-        "total_windows",
-        "anomalous_windows",
-        F.round("anomalous_pct", 1).alias("anomalous_pct"),
+    """One row of run figures, percentages to one decimal."""
+
+    def figure(name):
+        return F.max(F.when(F.col("figure") == name, F.col("value")))
+
+    def whole(name):
+        return figure(name).cast("bigint").alias(name)
+
+    def rounded(name):
+        return F.round(figure(name), 1).alias(name)
+
+    return summary_figures(requests, windows).agg(
+        whole("total_rows"),
+        whole("bot_traffic"),
+        rounded("bot_pct"),
+        whole("error_rows"),
+        rounded("error_pct"),
+        whole("null_timestamps"),
+        whole("total_windows"),
+        whole("anomalous_windows"),
+        rounded("anomalous_pct"),
     )
-    return left.join(right, "_one").drop("_one")
