@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,9 +39,16 @@ def status_class(status: Column) -> Column:
 
 
 def bot_flag(user_agent: Column, keywords: Iterable[str] = fixed.BOT_KEYWORDS) -> Column:
-    """1 when any keyword occurs anywhere in the lower-cased user agent."""
-    anywhere = "|".join(re.escape(word) for word in keywords)
-    return F.when(F.lower(user_agent).rlike(anywhere), 1).otherwise(0)
+    """1 when any keyword occurs anywhere in the lower-cased user agent.
+
+    Plain substring searches cost a fraction of one regular expression with all the
+    words; a word that contains another one adds nothing and is not searched.
+    """
+    words = set(keywords)
+    shortest = sorted(w for w in words if not any(o != w and o in w for o in words))
+    text = F.lower(user_agent)
+    found = reduce(or_, (F.contains(text, F.lit(word)) for word in shortest), F.lit(False))
+    return F.when(found, 1).otherwise(0)
 
 
 def error_severity(

@@ -77,7 +77,7 @@ def _router(pivots, layout):
         inner, outer, nearest = layout.value
         k = nearest.shape[1]
         between = np.sqrt(_squared_distances(p, p))
-        reach = np.sqrt((p * p).sum(1)).max()
+        reach = np.sqrt((p * p).sum(1)).max() + outer.max()
         visits = []
         close = min(len(p), 16)
         for s in _row_slices(len(x), max(len(p), close * k)):
@@ -210,7 +210,6 @@ def nearest_vectors(
     asked = cut(asked, scratch_path(spark, "knn-queries"))
     visits = asked.select("qid", "features", F.explode("cells").alias("cell"))
 
-
     def sized(rows: DataFrame) -> DataFrame:
         rows = _with_blocks(rows, placed.select("cell"), "vector_blocks", block_rows)
         return _with_blocks(rows, visits.select("cell"), "query_blocks", block_rows)

@@ -1,9 +1,10 @@
 """Log lines to string columns.
 
 One regular-expression match per line: the match is rewritten as its groups
-joined by U+0001 and split once. ``explode`` over the one-element array keeps
-the optimizer from copying that expression into the filter and into every
-output column, and stays inside whole-stage codegen.
+joined by a newline, which no line of a text source holds, and split once.
+``explode`` over the one-element array keeps the optimizer from copying that
+expression into the filter and into every output column, and stays inside
+whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from trafficlens import fixed_values as fixed
 from trafficlens.functions import requests as rq
 
-_SEPARATOR = "\u0001"
+_SEPARATOR = "\n"
 
 
 @dataclass(frozen=True)
@@ -47,23 +48,17 @@ SERVER = LogFormat(
 )
 
 
-def _group_values(line: Column, fmt: LogFormat) -> Column:
-    """Array with one string per group, or with the whole line when nothing matched."""
-    count = len(fmt.groups)
+def _with_groups(lines: DataFrame, fmt: LogFormat, column: str) -> DataFrame:
+    """Add ``_groups``: one string per group, or just the line when nothing matched."""
     before = "" if fmt.anchored else "^(?s:.*?)"
     whole_line = f"{before}{fmt.pattern}(?s:.*)"
-    joined = _SEPARATOR.join(f"${i}" for i in range(1, count + 1))
-    single_pass = F.split(F.regexp_replace(line, whole_line, joined), _SEPARATOR)
-    # a line that holds the separator itself goes group by group
-    group_by_group = F.when(
-        line.rlike(fmt.pattern),
-        F.array(*[F.regexp_extract(line, fmt.pattern, i) for i in range(1, count + 1)]),
-    ).otherwise(F.array(line))
-    return F.when(F.contains(line, F.lit(_SEPARATOR)), group_by_group).otherwise(single_pass)
+    joined = _SEPARATOR.join(f"${i}" for i in range(1, len(fmt.groups) + 1))
+    groups = F.split(F.regexp_replace(F.col(column), whole_line, joined), _SEPARATOR)
+    return lines.select("*", F.explode(F.array(groups)).alias("_groups"))
 
 
-def _with_groups(lines: DataFrame, fmt: LogFormat, column: str) -> DataFrame:
-    return lines.select("*", F.explode(F.array(_group_values(F.col(column), fmt))).alias("_groups"))
+def _matched(fmt: LogFormat) -> Column:
+    return F.coalesce(F.size("_groups") == len(fmt.groups), F.lit(False))
 
 
 def _pick(fmt: LogFormat) -> list[Column]:
@@ -75,13 +70,12 @@ def _pick(fmt: LogFormat) -> list[Column]:
 def parse_lines(lines: DataFrame, fmt: LogFormat, column: str = "value") -> DataFrame:
     """Rows of the matching lines; other columns of ``lines`` are carried along."""
     carried = [F.col(c) for c in lines.columns if c != column]
-    matched = _with_groups(lines, fmt, column).filter(F.size("_groups") == len(fmt.groups))
-    return matched.select(*carried, *_pick(fmt))
+    return _with_groups(lines, fmt, column).filter(_matched(fmt)).select(*carried, *_pick(fmt))
 
 
 def quarantine(lines: DataFrame, fmt: LogFormat, column: str = "value") -> DataFrame:
     """Exactly the lines that ``parse_lines`` leaves out, null lines included."""
-    return lines.filter(~F.coalesce(F.col(column).rlike(fmt.pattern), F.lit(False)))
+    return _with_groups(lines, fmt, column).filter(~_matched(fmt)).drop("_groups")
 
 
 def parse_common(lines: DataFrame, source: str = fixed.ACCESS_SOURCE) -> DataFrame:
@@ -111,10 +105,9 @@ def parse_server(lines: DataFrame, column: str = "value") -> DataFrame:
     """Application-server lines; lines without a match stay, with empty fields."""
     carried = [F.col(c) for c in lines.columns if c != column]
     groups = F.col("_groups")
-    matched = F.size(groups) == len(SERVER.groups)
     fields = [
         F.when(F.col(column).isNull(), F.lit(None))
-        .when(matched, groups[i])
+        .when(_matched(SERVER), groups[i])
         .otherwise("")
         .alias(name)
         for i, name in enumerate(SERVER.groups)
