@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _six_digits(x):
+    """Half away from zero on the binary value, which is how the SQL side rounds."""
+    return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Zone-less timestamps and doubles to six digits, as the SQL side has them."""
     shown = []
@@ -34,6 +39,6 @@ def comparable(df: DataFrame) -> DataFrame:
         if kind == "timestamp":
             column = column.cast("timestamp_ntz")
         elif kind == "double":
-            column = F.round(column, 6)
+            column = _six_digits(column)
         shown.append(column.alias(f.name))
     return df.select(*shown)

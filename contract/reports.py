@@ -66,7 +66,8 @@ def top_clients_by_bytes(spark, d):
 
 @query(
     "g06_category_order",
-    f"""SELECT *, CAST(list_position(['low', 'medium', 'fatal'], error_severity) AS BIGINT) AS place
+    f"""SELECT *, CAST(coalesce(list_position(['low', 'medium', 'fatal'], error_severity), 0) AS BIGINT)
+        AS place
       FROM ({_counts("enriched", "error_severity")})""",
 )
 def category_order(spark, d):

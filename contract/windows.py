@@ -8,7 +8,9 @@ from contract import tables
 from contract.registry import query
 from contract.sql import MEASURES, ruled, window_counts
 from trafficlens.operators import windows as ops
+from trafficlens.operators.clean import clean
 from trafficlens.operators.enrich import enrich
+from trafficlens.operators.parse import parse_common
 from trafficlens.plans.access import access_rows
 from trafficlens.sources.text import stream_lines
 from trafficlens.sources.workspace import scratch_path
@@ -135,21 +137,17 @@ def stream_windows(spark, d):
 
 @query("k02_late_rows")
 def late_rows(spark, d):
-    """The Combined log arrives after the Common one has moved the watermark on."""
+    """The logs delivered in three batches, newest days first."""
     folder = scratch_path(spark, "late")
-    common, combined = tables.by_source(spark, d)
-    common.coalesce(1).write.text(f"{folder}/first")
-    combined.coalesce(1).write.text(f"{folder}/second")
-    arriving = enrich(_single_log(stream_lines(spark, f"{folder}/*", max_files_per_trigger=1)))
-    windows = streaming.stream_window_counts(arriving, duration="1 day")
-    running = streaming.start(windows, scratch_path(spark, "late-out"), once=True)
+    lines = tables.lines(spark, d).select("value")
+    day = F.regexp_extract("value", r"\[(\d{2})/", 1).try_cast("int")
+    newest, oldest = day > 20, day <= 10
+    rest = ~F.coalesce(newest | oldest, F.lit(False))
+    for name, wanted in (("1", newest), ("2", rest), ("3", oldest)):
+        lines.filter(wanted).coalesce(1).write.text(f"{folder}/batch={name}")
+    arriving = stream_lines(spark, folder, max_files_per_trigger=1)
+    counts = streaming.stream_window_counts(enrich(clean(parse_common(arriving))), duration="1 day")
+    running = streaming.start(counts, scratch_path(spark, "late-out"), once=True)
     running.awaitTermination()
     dropped = sum(streaming.dropped_rows(p) for p in running.recentProgress)
     return spark.range(1).select(F.lit(dropped).cast("bigint").alias("late_rows"))
-
-
-def _single_log(lines):
-    from trafficlens.operators.clean import clean
-    from trafficlens.operators.parse import parse_common
-
-    return clean(parse_common(lines))

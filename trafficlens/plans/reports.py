@@ -171,7 +171,7 @@ def anomaly_by_severity(windows: DataFrame) -> DataFrame:
     return (
         unusual.groupBy("anomaly_type")
         .pivot("severity", list(fixed.SEVERITY_ORDER))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .fillna(0, subset=list(fixed.SEVERITY_ORDER))
     )
 
