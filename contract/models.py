@@ -19,6 +19,8 @@ from trafficlens import fixed_values as fixed
 from trafficlens.operators import features as ft
 from trafficlens.operators import knn, metrics, split
 from trafficlens.plans import training
+from trafficlens.sources.sinks import cut
+from trafficlens.sources.workspace import scratch_path
 
 _ROUNDED = ", ".join(
     f"round({c}, 6) AS {c}" if c in ("avg_bytes", "error_rate") else c for c in FEATURES
@@ -143,7 +145,7 @@ def z_scores(spark, d):
 )
 def feature_stages(spark, d):
     """Fitted on the training rows, applied to all three splits."""
-    _, scaled = training.prepare(tables.windows(spark, d))
+    _, scaled = training.prepare(_stored_windows(spark, d))
     return _unpacked(scaled, "features", "split", "ip", "window_start", "label")
 
 
@@ -168,17 +170,21 @@ def random_split(spark, d):
       FROM ({_RANKED.format("split_frame WHERE split = 'train'")})""",
 )
 def label_mapping(spark, d):
-    stages, _ = training.prepare(tables.windows(spark, d))
+    stages, _ = training.prepare(_stored_windows(spark, d))
     return ft.label_table(stages, spark)
 
 
 # -- models -------------------------------------------------------------------------
 
 
+def _stored_windows(spark, d):
+    return cut(tables.windows(spark, d), scratch_path(spark, "windows"))
+
+
 def _splits(spark, d):
-    """Scaled splits, read by several fits: persisted for the session that runs the query."""
-    _, scaled = training.prepare(tables.windows(spark, d))
-    scaled = scaled.persist()
+    """Scaled splits, written once because the fits read them many times."""
+    _, scaled = training.prepare(_stored_windows(spark, d))
+    scaled = cut(scaled, scratch_path(spark, "scaled"))
     return [training.part(scaled, s) for s in ("train", "validation", "test")]
 
 
@@ -264,8 +270,8 @@ _SMALL = {
 @query("i14_saved_models")
 def saved_models(spark, d):
     """Predictions of the reloaded models against the ones in memory."""
-    windows = tables.windows(spark, d).persist()
-    folder = scratch(spark)
+    windows = _stored_windows(spark, d)
+    folder = scratch_path(spark, "models")
     trained = training.run_training(windows, save_to=folder, **_SMALL)
     stages = PipelineModel.load(f"{folder}/feature_stages")
     frame = stages.transform(ft.model_frame(windows))
@@ -290,15 +296,9 @@ def saved_models(spark, d):
     return compared[0].unionByName(compared[1]).unionByName(compared[2])
 
 
-def scratch(spark):
-    from trafficlens.sources.workspace import scratch_path
-
-    return scratch_path(spark, "models")
-
-
 @query("i15_training")
 def train_all(spark, d):
-    windows = tables.windows(spark, d).persist()
+    windows = _stored_windows(spark, d)
     return training.run_training(windows, parallelism=4).metrics
 
 
@@ -380,7 +380,7 @@ def rule_baseline(spark, d):
 
 @query("j08_model_summary")
 def model_summary(spark, d):
-    windows = tables.windows(spark, d).persist()
+    windows = _stored_windows(spark, d)
     return training.run_training(windows, **_SMALL).metrics
 
 

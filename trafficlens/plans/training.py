@@ -27,6 +27,8 @@ from trafficlens.operators.features import (
     model_frame,
 )
 from trafficlens.operators.split import window_split
+from trafficlens.sources.sinks import cut
+from trafficlens.sources.workspace import scratch_path
 
 Params = dict[str, Any]
 
@@ -65,6 +67,7 @@ def select_best(
 
     ``parallelism`` fits that many at a time, so that small fits share the cluster.
     """
+    spark = SparkSession.getActiveSession()
 
     def run(params: Params) -> tuple[Params, float, Any]:
         model = fit(params)
@@ -72,7 +75,7 @@ def select_best(
 
     if parallelism > 1:
         with ThreadPoolExecutor(parallelism) as pool:
-            tried = list(pool.map(inheritable_thread_target(run), candidates))
+            tried = list(pool.map(inheritable_thread_target(spark)(run), candidates))
     else:
         tried = [run(params) for params in candidates]
     params, best, model = max(tried, key=lambda outcome: outcome[1])
@@ -176,18 +179,17 @@ def select_knn(
     """
 
     def flat(df):
-        return df.select(
-            id_column, LABEL, vector_to_array(FEATURES).alias(FEATURES)
-        )
+        return df.select(id_column, LABEL, vector_to_array(FEATURES).alias(FEATURES))
 
     voted = knn.classify(flat(train), flat(validation), ks, id_column=id_column, label=LABEL)
-    scores = voted.select(
-        LABEL, F.explode(F.array(*[
-            F.struct(F.lit(k).alias("k"), F.col(f"prediction_{k}").alias("prediction"))
-            for k in ks
-        ])).alias("vote"),
-    ).select(LABEL, "vote.*")
-    counts = scores.groupBy("k", LABEL, "prediction").agg(F.count("*").alias("count"))
+    votes = [
+        F.struct(F.lit(k).alias("k"), F.col(f"prediction_{k}").alias("prediction")) for k in ks
+    ]
+    counts = (
+        voted.select(LABEL, F.inline(F.array(*votes)))
+        .groupBy("k", LABEL, "prediction")
+        .agg(F.count("*").alias("count"))
+    )
     by_k = {row["k"]: row["f1"] for row in metrics.weighted_metrics(counts, "k").collect()}
     tried = [({"k": k}, by_k[k], k) for k in ks]
     params, best, k = max(tried, key=lambda outcome: outcome[1])
@@ -207,7 +209,10 @@ class Trained:
 
 
 def prepare(windows: DataFrame, features: Sequence[str] = fixed.NUMERIC_FEATURES):
-    """(fitted feature stages, frame with vectors, label and split), fitted on train only."""
+    """(fitted feature stages, frame with vectors, label and split), fitted on train only.
+
+    Give it windows that are stored: fitting and transforming read them three times.
+    """
     frame = window_split(model_frame(windows, features))
     stages = feature_stages(features).fit(frame.filter(F.col("split") == "train"))
     scaled = stages.transform(frame)
@@ -259,10 +264,13 @@ def run_training(
 ) -> Trained:
     """Fit, select, evaluate and, with ``save_to``, save all models.
 
-    The scaled frame is persisted once for all fits and released at the end.
+    The scaled frame is written once and persisted for all fits: the hundreds of small
+    jobs of an iterative fit start from those files instead of carrying the plan of the
+    windows, and so does the recovery of a lost executor.
     """
     spark = windows.sparkSession
     stages, scaled = prepare(windows, features)
+    scaled = cut(scaled, scratch_path(spark, "scaled-windows"))
     scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train, validation, test = (part(scaled, s) for s in ("train", "validation", "test"))
