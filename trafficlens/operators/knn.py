@@ -15,10 +15,12 @@ Neighbours are ordered by distance, then id, so results are repeatable.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,9 @@ from pyspark.sql import types as T
 from trafficlens.sources.sinks import cut
 from trafficlens.sources.workspace import scratch_path
 
+# the task functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # share of the vector lengths that covers rounding in distances taken through dot products
 _SLACK = 1e-6
 # distances held at once inside a task
