@@ -43,9 +43,10 @@ def build_tables(
     profile and totals then read only the columns they need from it, and a lost
     executor costs the tasks it was running, not the parse.
     """
-    requests = cut(enrich(read_access(spark, common_path, combined_path), zone), f"{folder}/requests")
+    rows = read_access(spark, common_path, combined_path)
+    requests = cut(enrich(rows, zone), f"{folder}/requests")
     windows = cut(client_windows(requests, limits, duration), f"{folder}/windows")
-    profile = cut(request_profile(requests).coalesce(1), f"{folder}/profile")
+    profile = cut(request_profile(requests), f"{folder}/profile")
     clients = cut(reports.client_totals(requests), f"{folder}/clients")
     endpoints = cut(
         requests.groupBy("endpoint").agg(F.count("*").alias("requests")), f"{folder}/endpoints"
@@ -87,7 +88,7 @@ def report_tables(tables: Tables) -> dict[str, DataFrame]:
         "anomaly_breakdown": reports.anomaly_breakdown(w),
         "peak_error_hours": reports.peak_error_hours(p),
         "anomaly_distribution": reports.anomaly_distribution(w),
-        "pipeline_stats": reports.run_stats(p, w),
+        "run_stats": reports.run_stats(p, w),
     }
 
 
