@@ -7,12 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from contract import tables
+from trafficlens.__main__ import main
 from trafficlens.operators.clean import clean
 from trafficlens.operators.enrich import enrich
 from trafficlens.operators.parse import parse_common
 from trafficlens.operators.windows import client_windows
 from trafficlens.plans import batch, reports
 from trafficlens.plans.access import access_rows
+from trafficlens.plans.server import read_typed_server
+from trafficlens.schema import SERVER_SCHEMA, check_schema
 from trafficlens.sources.text import read_lines, stream_lines
 from trafficlens.sources.workspace import scratch_path
 from trafficlens.streaming import windows as streaming
@@ -91,6 +94,22 @@ def test_restart_goes_on_from_the_checkpoint(spark, tmp_path):
     assert 2 not in rows and late == 1
 
 
+def test_command_line(spark, folders, tmp_path, capsys):
+    common, combined = folders
+    main(["--common", common, "--combined", combined, "--out", str(tmp_path), "--window", "1 day",
+          "--no-models"])
+    assert "total_windows" in capsys.readouterr().out
+    assert {"requests", "windows", "reports"} <= {p.name for p in tmp_path.iterdir()}
+
+
+def test_server_logs(spark, tmp_path):
+    tables.server_lines(spark, SF_DIR).write.partitionBy("event_type").text(str(tmp_path / "s"))
+    typed = read_typed_server(spark, str(tmp_path / "s" / "*"))
+    check_schema(typed, SERVER_SCHEMA)
+    assert typed.count() == tables.events(spark, SF_DIR).count()
+    assert typed.filter("timestamp IS NULL").count() == typed.filter("stack_trace IS NOT NULL").count()
+
+
 def session_with(**settings):
     names = {key.replace("_", "."): value for key, value in settings.items()}
     return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: names.get(key, default)))
