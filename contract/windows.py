@@ -157,5 +157,5 @@ def late_rows(spark, d):
     counts = streaming.stream_window_counts(enrich(clean(parse_common(arriving))), duration="1 day")
     running = streaming.start(counts, scratch_path(spark, "late-out"), once=True)
     running.awaitTermination()
-    dropped = sum(streaming.dropped_rows(p) for p in running.recentProgress)
+    dropped = streaming.LateRows().update(running)
     return spark.range(1).select(F.lit(dropped).cast("bigint").alias("late_rows"))

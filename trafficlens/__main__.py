@@ -1,4 +1,4 @@
-"""Batch run from the command line: ``spark-submit`` this file or ``python -m trafficlens``."""
+"""Batch run from the command line: ``python -m trafficlens``."""
 
 from __future__ import annotations
 

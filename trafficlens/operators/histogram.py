@@ -11,7 +11,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
     Bins are half open, the last one is closed; null and NaN are left out. A
     constant column is widened by 0.5 on both sides and an empty one spans [0, 1].
-    The bounds come from a scalar subquery, so nothing runs until the result does.
+    The bounds come from a scalar subquery, so nothing runs until the result does; the
+    input is read twice, so store one that is expensive to compute.
     """
     x = F.col("x")
     values = df.select(F.col(column).cast("double").alias("x")).filter(

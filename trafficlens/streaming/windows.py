@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from trafficlens.functions.rules import Thresholds
 from trafficlens.operators.windows import apply_rules
@@ -107,34 +106,24 @@ def start(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-class LateRows(StreamingQueryListener):
-    """Counts rows that arrived behind the watermark, per query.
+class LateRows:
+    """Running count of rows that arrived behind the watermark of one query.
 
-    Register with ``spark.streams.addListener``. Spark reports rows after the
-    map-side merge, so equal late (client, window, endpoint) rows of one task
+    Call ``update`` now and then, at least once per
+    ``spark.sql.streaming.numRecentProgressUpdates`` batches. Spark counts rows after
+    the map-side merge, so equal late (client, window, endpoint) rows of one task
     count once.
     """
 
     def __init__(self) -> None:
-        self.dropped: dict[str, int] = {}
-
-    def onQueryStarted(self, event) -> None:
-        self.dropped.setdefault(str(event.id), 0)
-
-    def onQueryProgress(self, event) -> None:
-        progress = event.progress
-        key = str(progress.id)
-        self.dropped[key] = self.dropped.get(key, 0) + dropped_rows(progress)
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
-
-
-def dropped_rows(progress) -> int:
-    """Late rows of one progress report (listener event or ``lastProgress``)."""
-    if isinstance(progress, dict):
-        return sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
-    return sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self.total = 0
+        self._seen = ""
+
+    def update(self, query: StreamingQuery) -> int:
+        for progress in query.recentProgress:
+            if progress["timestamp"] > self._seen:
+                self._seen = progress["timestamp"]
+                self.total += sum(
+                    op["numRowsDroppedByWatermark"] for op in progress["stateOperators"]
+                )
+        return self.total
