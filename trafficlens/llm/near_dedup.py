@@ -207,11 +207,11 @@ def _signer(how: NearDuplicates):
 def _set_maker(how: NearDuplicates):
     def make(batches):
         for batch in batches:
-            ids, at, rows = batch.column("doc_id"), 0, []
+            ids, at, rows, size = batch.column("doc_id"), 0, [], 0
             for members in _shingle_sets(batch.column("text"), how.shingle_words):
                 rows.append(members)
-                at += 1
-                if sum(map(len, rows)) > 1 << 20 or at == len(ids):
+                at, size = at + 1, size + len(members)
+                if size > 1 << 20 or at == len(ids):
                     yield pa.record_batch(
                         {
                             "doc_id": ids.slice(at - len(rows), len(rows)),
@@ -219,7 +219,7 @@ def _set_maker(how: NearDuplicates):
                             "members": pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64())),
                         }
                     )
-                    rows = []
+                    rows, size = [], 0
 
     return make
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.mixing import mixed
 from trafficlens.llm.near_dedup import NearDuplicates, near_duplicates
+from trafficlens.llm.packing import Packing, packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +32,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_near_duplicates")
 def op1(spark, d):
     return near_duplicates(table(spark, d, "documents"), NearDuplicates(shingle_words=2))
+
+
+# Targets by the level at which capped shares use up the budget; then documents in order of hash.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5(concat_ws(' ', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+  FROM sized GROUP BY source),
+levels AS (SELECT 2.0 * source_size / w AS level FROM per),
+used AS (SELECT level, (SELECT sum(least(w * level, 2.0 * source_size)) FROM per) AS words FROM levels),
+budget AS (SELECT 1.5 * sum(source_size) AS b FROM per),
+low AS (SELECT coalesce(max(level), 0) AS level FROM used, budget WHERE words <= b),
+targets AS (SELECT source, source_size,
+    CASE WHEN 2.0 * source_size / w <= low.level THEN 2.0 * source_size
+      ELSE w * (b - (SELECT coalesce(sum(2.0 * source_size), 0) FROM per WHERE 2.0 * source_size / w <= low.level))
+        / (SELECT sum(w) FROM per WHERE 2.0 * source_size / w > low.level) END AS target
+  FROM per, low, budget),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS whole
+  FROM targets),
+ties AS (SELECT source, h, sum(size) AS words FROM sized GROUP BY ALL),
+run AS (SELECT t.*, target - whole * source_size AS room,
+    sum(words) OVER (PARTITION BY t.source ORDER BY h) AS total
+  FROM ties t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source),
+edge AS (SELECT source, min(h) AS h FROM run WHERE total > room GROUP BY source),
+extra AS (SELECT r.source, r.h FROM run r LEFT JOIN edge e ON r.source IS NOT DISTINCT FROM e.source
+  WHERE e.h IS NULL OR r.h < e.h OR (r.h = e.h AND words <= 2 * (room - (total - words))))
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  CAST(size * (whole + CASE WHEN x.h IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
+FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+LEFT JOIN extra x ON s.source IS NOT DISTINCT FROM x.source AND s.h = x.h
+"""
+
+
+@query("op9_mixing", MIX_SQL)
+def op9(spark, d):
+    return mixed(table(spark, d, "documents")).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken"
+    )
+
+
+def word_tokenizer() -> str:
+    """The installed vocabulary file; its place is the only thing the operators get."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_packing")
+def op3(spark, d):
+    return packed(table(spark, d, "documents"), Packing(word_tokenizer()))

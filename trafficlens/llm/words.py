@@ -20,6 +20,7 @@ SLICE_BYTES = 1 << 20
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+_IS_CORE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _AS_IS = np.arange(256, dtype=np.uint8)
 _LOWER = _AS_IS.copy()
 _LOWER[65:91] += 32
@@ -69,7 +70,14 @@ class Words:
         return len(self.offsets) - 1
 
 
-def _scan(data: np.ndarray, lo: int, hi: int, cuts: np.ndarray, fold: np.ndarray):
+def _without_tails(part: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Words with ASCII punctuation behind an ASCII letter or digit at their end become two."""
+    last = np.maximum.accumulate(np.where(_IS_CORE[part], np.arange(len(part)), -1))[ends - 1] + 1
+    cut = np.flatnonzero((last > starts) & (last < ends) & (part[last - 1] < 128))
+    return np.insert(starts, cut + 1, last[cut]), np.insert(ends, cut, last[cut])
+
+
+def _scan(data: np.ndarray, lo: int, hi: int, cuts: np.ndarray, fold: np.ndarray, tails: bool):
     """Hash, start and end of each word in data[lo:hi]; no word crosses a cut."""
     part = data[lo:hi]
     inside = ~_IS_SPACE[part]
@@ -83,6 +91,8 @@ def _scan(data: np.ndarray, lo: int, hi: int, cuts: np.ndarray, fold: np.ndarray
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
+    if tails:
+        starts, ends = _without_tails(part, starts, ends)
     sums = np.empty(len(part) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE_VALUE[fold[part]] * _powers(_BASE, len(part))[: len(part)], out=sums[1:])
@@ -126,15 +136,19 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """The words of a column of texts, slice by slice. ``lower`` folds A-Z only."""
+def words(texts: pa.Array, lower: bool = False, tails: bool = False) -> Iterator[Words]:
+    """The words of a column of texts, slice by slice.
+
+    ``lower`` folds A-Z only. With ``tails`` the ASCII punctuation that closes a word
+    behind an ASCII letter or digit is a word of its own.
+    """
     offsets, data = buffers(texts)
     fold = _LOWER if lower else _AS_IS
     for lo, hi in slices(offsets):
         a, b = int(offsets[lo]), int(offsets[hi])
         cuts = offsets[lo : hi + 1]
         parts = [(a, b)] if b - a <= SLICE_BYTES else _word_safe_cuts(data, a, b)
-        found = [_scan(data, x, y, cuts, fold) for x, y in parts] or [_scan(data, a, a, cuts, fold)]
+        found = [_scan(data, x, y, cuts, fold, tails) for x, y in parts] or [_scan(data, a, a, cuts, fold, tails)]
         hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
         at = np.searchsorted(starts, cuts)
         at[-1] = len(starts)
