@@ -48,3 +48,29 @@ def near_duplicates(docs, size, percent=80):
                 links.append((a, b))
     found = reach(ids, links)
     return {d: (len(sets[d]), found[d]) for d in ids}
+
+
+def repeats(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest repeat)."""
+    text = text or ""
+    words = WORD.findall(text)
+    windows = {}
+    for i in range(len(words) - 4):
+        windows.setdefault(tuple(words[i : i + 5]), []).append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    longest = 0
+    for i in range(len(words)):
+        for j in range(i + 1, len(words)):
+            k = 0
+            while j + k < len(words) and words[i + k] == words[j + k]:
+                k += 1
+            longest = max(longest, k)
+    return (
+        len(words),
+        sum(map(len, words)),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        len(covered),
+        longest,
+    )

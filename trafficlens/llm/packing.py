@@ -2,10 +2,10 @@
 
 Pieces are dealt at random into buckets of a few thousand, and each bucket is packed
 by best-fit decreasing. Dual feasible functions give a number of sequences that no
-packing of the bucket can beat. A bucket that needs no more is done. The others put
-their emptiest sequences up for exchange: the pieces of sixteen such buckets are
-packed again together, and so on until one group is left. A bucket never gives
-away more than a sixteenth of its sequences, so groups do not grow.
+packing of the bucket can beat. A bucket that needs no more is done but for its
+emptiest sequence. The others put the emptiest sixteenth of their sequences up for
+exchange: the pieces of sixteen buckets are packed again together, and so on until
+one group is left. No bucket gives away more, so groups do not grow.
 """
 
 from __future__ import annotations
@@ -158,7 +158,8 @@ def _packer(how: Packing, level: int, last: bool):
         bucket, used = int(rows["bucket"].iloc[0]), int(bins.max()) + 1
         gap = used - fewest_bins(lengths, how.tokens)
         free = np.full(used, how.tokens) - np.bincount(bins, lengths, used).astype(np.int64)
-        give = 0 if last or gap == 0 else used // FAN_IN
+        # a certified bucket only passes its emptiest sequence on
+        give = 0 if last else max(1, used // FAN_IN if gap else 0)
         given = np.zeros(used, bool)
         given[np.argsort(-free, kind="stable")[:give]] = True
         order = np.argsort(bins, kind="stable")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.language import language_of
 from trafficlens.llm.mixing import mixed
 from trafficlens.llm.near_dedup import NearDuplicates, near_duplicates
 from trafficlens.llm.packing import Packing, packed
+from trafficlens.llm.repetition import repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +87,25 @@ def word_tokenizer() -> str:
 @query("op3_packing")
 def op3(spark, d):
     return packed(table(spark, d, "documents"), Packing(word_tokenizer()))
+
+
+@query("op4_repetition")
+def op4(spark, d):
+    return repetition(table(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_covered_words",
+        "longest_repeat",
+    )
+
+
+@query("op5_language")
+def op5(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return language_of(docs).select("doc_id", "held_out", "lang_pred", "score")

@@ -55,7 +55,7 @@ class Words:
     """Words of the texts ``first .. first + len(offsets) - 2`` of a column.
 
     Text i has the words offsets[i] .. offsets[i + 1]; starts and ends are byte
-    positions inside ``data``, base[i] is where text i begins.
+    positions inside ``data``; text i is data[base[i] : stops[i]].
     """
 
     first: int
@@ -65,6 +65,7 @@ class Words:
     ends: np.ndarray
     data: np.ndarray
     base: np.ndarray
+    stops: np.ndarray
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -152,7 +153,7 @@ def words(texts: pa.Array, lower: bool = False, tails: bool = False) -> Iterator
         hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
         at = np.searchsorted(starts, cuts)
         at[-1] = len(starts)
-        yield Words(lo, at, hashes, starts, ends, data, cuts[:-1])
+        yield Words(lo, at, hashes, starts, ends, data, cuts[:-1], cuts[1:])
 
 
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
