@@ -28,6 +28,14 @@ def map_batches(
     return df.mapInArrow(task, schema)
 
 
+def with_fields(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` with more fields behind."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def crc_fold(column: str, folds: int = 4):
     """crc32 of the value as text, modulo ``folds``; null for a null value."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds

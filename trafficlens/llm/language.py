@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.chars import SPACE, folded_words
-from trafficlens.llm.frames import crc_fold, map_batches, stored
+from trafficlens.llm.frames import crc_fold, map_batches, stored, with_fields
 
 UNDETERMINED = "und"
 HELD_OUT_FOLD = 2
@@ -68,8 +68,7 @@ def _count(batches):
         texts = batch.column("text")
         names, out = [], []
         for lang in sorted(set(langs)):
-            held = [], 0
-            parts, size = held
+            parts, size = [], 0
             for i in np.flatnonzero(langs == lang).tolist() + [None]:
                 if i is not None:
                     parts.append(grams(texts[i].as_py()))
@@ -101,7 +100,7 @@ def identified(docs: DataFrame, profiles: DataFrame, how: Profiles = Profiles())
     for row in profiles.orderBy("lang", "place").toLocalIterator():
         table.setdefault(row.lang, []).append(row.gram)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = with_fields(docs.select(*kept), lang_pred="string", score="double")
     model = docs.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in sorted(table.items())})
     return map_batches(docs.select(*kept), _scorer(model, how), schema)
 

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.kneser_ney import judged
 from trafficlens.llm.language import language_of
 from trafficlens.llm.mixing import mixed
 from trafficlens.llm.near_dedup import NearDuplicates, near_duplicates
 from trafficlens.llm.packing import Packing, packed
 from trafficlens.llm.repetition import repetition
+from trafficlens.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +111,18 @@ def op4(spark, d):
 def op5(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     return language_of(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op2_toxicity")
+def op2(spark, d):
+    found = toxicity(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
+    return found.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op8_perplexity")
+def op8(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    found = judged(docs, table(spark, d, "labels"))
+    return found.select("doc_id", "lang", "perplexity", "threshold", "kept")
