@@ -90,7 +90,7 @@ def _links(ids: DataFrame, classes: DataFrame, how: NearDuplicates) -> DataFrame
     ).select("bucket", "hub")
     members = stored(shown.join(shared, "bucket"), "members")
     nodes = members.select("node").distinct()
-    profile = stored(classes.join(nodes, "node").select("node", "n_shingles", "set_a", "sketch"), "profiles")
+    profile = stored(classes.join(nodes, "node").select("node", "n_shingles", "set_a", "sketch", "bands"), "profiles")
     sets = stored(_sets(ids, profile, how), "sets")
 
     def side(name: str) -> DataFrame:
@@ -98,10 +98,12 @@ def _links(ids: DataFrame, classes: DataFrame, how: NearDuplicates) -> DataFrame
             F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}")
         )
 
-    to_hub = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    # one hub for each member: the one it shares most buckets with
+    met = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
+    to_hub = best.select(F.col("node").alias("a"), (-F.col("best.hub")).alias("b"))
     near = to_hub.join(side("a"), "a").join(side("b"), "b").filter(_may_link(how))
-    best = near.groupBy("a").agg(F.min(F.struct(_odd_bits().alias("odd"), "b")).alias("best"))
-    first = stored(_confirmed(best.select("a", "best.b"), sets, how), "first-links")
+    first = stored(_confirmed(near.select("a", "b"), sets, how), "first-links")
 
     label = components(first).select("node", "component")
     placed = stored(
@@ -122,11 +124,13 @@ def _links(ids: DataFrame, classes: DataFrame, how: NearDuplicates) -> DataFrame
         placed.join(open_buckets, "bucket").join(profile.drop("set_a"), "node"), "open-members"
     )
     a = left.filter("component <> main").selectExpr(
-        "bucket", "node a", "component c_a", "n_shingles n_a", "sketch s_a"
+        "bucket", "node a", "component c_a", "n_shingles n_a", "sketch s_a", "bands bands_a"
     )
-    b = left.selectExpr("bucket", "node b", "component c_b", "n_shingles n_b", "sketch s_b")
+    b = left.selectExpr("bucket", "node b", "component c_b", "n_shingles n_b", "sketch s_b", "bands bands_b")
+    # a pair that shares several buckets comes from the first of them
+    first_shared = F.array_intersect("bands_a", "bands_b")[0] == a["bucket"]
     across = a.join(
-        b, (a["bucket"] == b["bucket"]) & (F.col("c_a") != F.col("c_b")) & _may_link(how)
+        b, (a["bucket"] == b["bucket"]) & (F.col("c_a") != F.col("c_b")) & _may_link(how) & first_shared
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _confirmed(stored(across.distinct(), "across"), sets, how)
     return first.union(second)
@@ -156,7 +160,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFr
 def _sets(ids: DataFrame, profile: DataFrame, how: NearDuplicates) -> DataFrame:
     """(node, members): the full set of each class in a shared bucket, made again from its text."""
     wanted = profile.select(F.col("node").alias("doc_id"))
-    made = map_batches(ids.join(wanted, "doc_id", "left_semi"), _set_maker(how), _SET)
+    # merged at every size: the wanted ids grow with the documents
+    made = map_batches(ids.join(wanted.hint("merge"), "doc_id", "left_semi"), _set_maker(how), _SET)
     own = profile.select(F.col("node").alias("doc_id"), "set_a")
     whole = made.join(own, ["doc_id", "set_a"])
     return whole.select(F.col("doc_id").alias("node"), "members").dropDuplicates(["node"])
