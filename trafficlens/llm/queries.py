@@ -11,6 +11,7 @@ from trafficlens.llm.kneser_ney import judged
 from trafficlens.llm.language import language_of
 from trafficlens.llm.mixing import mixed
 from trafficlens.llm.near_dedup import NearDuplicates, near_duplicates
+from trafficlens.llm.neighbours import near_vectors
 from trafficlens.llm.packing import Packing, packed
 from trafficlens.llm.repetition import repetition
 from trafficlens.llm.toxicity import toxicity
@@ -126,3 +127,8 @@ def op8(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     found = judged(docs, table(spark, d, "labels"))
     return found.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+@query("op10_near_vectors")
+def op10(spark, d):
+    return near_vectors(table(spark, d, "embeddings"))
