@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -44,16 +45,22 @@ class TokenBytes:
         for part in words(texts, lower=self._lower, tails=True):
             if len(self._known) > REMEMBERED:
                 self._known.clear()
-            self._learn(part)
             ids, known = part.hashes.tolist(), self._known
+            self._learn(part, set(ids).difference(known))
             for lo, hi in zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist(), strict=True):
-                yield b"".join([known[h] for h in ids[lo:hi]])
-
-    def _learn(self, part) -> None:
-        hashes, first = np.unique(part.hashes, return_index=True)
-        new = [(h, i) for h, i in zip(hashes.tolist(), first.tolist(), strict=True) if h not in self._known]
-        raw = memoryview(part.data)
-        texts = [bytes(raw[part.starts[i] : part.ends[i]]).decode() for _, i in new]
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for (h, _), encoding in zip(new, found, strict=True):
-            self._known[h] = np.array(encoding.ids, "<u4").tobytes()
+                yield b"".join(map(known.__getitem__, ids[lo:hi]))
+
+    def _learn(self, part, unknown: set[int]) -> None:
+        hashes = np.sort(np.fromiter(unknown, np.uint64, len(unknown)))
+        if not len(hashes):
+            return
+        # any place where each of them stands
+        at = np.minimum(np.searchsorted(hashes, part.hashes), len(hashes) - 1)
+        here = np.flatnonzero(hashes[at] == part.hashes)
+        place = np.empty(len(hashes), np.int64)
+        place[at[here]] = here
+        raw, known = memoryview(part.data), self._known
+        spans = zip(part.starts[place].tolist(), part.ends[place].tolist(), strict=True)
+        found = self._tokenizer.encode_batch_fast([str(raw[a:b], "utf-8") for a, b in spans], add_special_tokens=False)
+        for h, encoding in zip(hashes.tolist(), found, strict=True):
+            known[h] = array("I", encoding.ids).tobytes()
