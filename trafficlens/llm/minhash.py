@@ -6,7 +6,7 @@ import numpy as np
 
 from trafficlens.llm.words import mix
 
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 _BLOCK = 4096
 
@@ -15,12 +15,13 @@ class MinHasher:
     """``bands`` keys of ``rows`` samples each.
 
     Two sets with similarity s share a key with probability 1 - (1 - s^rows)^bands.
+    ``more`` samples go into the odd sketch only.
     """
 
-    def __init__(self, bands: int, rows: int, seed: int = 7):
+    def __init__(self, bands: int, rows: int, more: int = 0, seed: int = 7):
         self.bands, self.rows = bands, rows
         rng = np.random.default_rng(seed)
-        n = bands * rows
+        n = self.n = bands * rows + more
         self._a = (rng.integers(0, 1 << 31, n, dtype=np.uint32) * 2 + 1)[:, None]
         self._b = rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
         self._row = rng.integers(0, 1 << 62, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,7 +40,7 @@ class MinHasher:
         return best
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
-        wide = samples.astype(np.uint64).reshape(self.bands, self.rows)
+        wide = samples[: self.bands * self.rows].astype(np.uint64).reshape(self.bands, self.rows)
         return mix((mix(wide) * self._row).sum(axis=1, dtype=np.uint64) + self._band).view(np.int64)
 
     def odd_sketch(self, samples: np.ndarray) -> np.ndarray:
@@ -56,8 +57,6 @@ class MinHasher:
 
         A more similar pair does so far less often: at 0.85 for 0.8 less than once in a million.
         """
-        n = self.bands * self.rows
-        differ = n * (1 - similarity)
-        most = differ + deviations * np.sqrt(n * similarity * (1 - similarity))
-        expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * most))
-        return int(np.ceil(expected))
+        samples = self.n * np.array([similarity, 1 - similarity])
+        differ = samples[1] + deviations * np.sqrt(samples[0] * (1 - similarity))
+        return int(np.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ))))

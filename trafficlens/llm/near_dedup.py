@@ -8,13 +8,14 @@ too much are dropped by that count inside the join; the rest is confirmed on the
 full sets.
 
 Large groups do not produce all their pairs. First each class is compared with
-one member per bucket it shares; what links is contracted. Then only members
-outside the largest component of their bucket meet the rest of the bucket, so
-every two classes of one bucket are either compared or already connected.
+one member of a bucket, and with others in later turns; what links is contracted.
+Then only members outside the largest component of their bucket meet the rest of the
+bucket, so every two classes of one bucket are either compared or already connected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,15 +34,21 @@ _SET = "doc_id long, set_a long, members array<long>"
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """similarity in percent; bands x rows: 32 x 5 misses a pair at 80 % three times in a million."""
+    """similarity in percent; bands x rows: 32 x 5 misses a pair at 80 % three times in a million.
+
+    more_samples go into the odd sketch only. hub_turns: how often members outside the
+    main component of a bucket try another member of it before they meet all.
+    """
 
     shingle_words: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
+    more_samples: int = 240
+    hub_turns: int = 2
 
     def hasher(self) -> MinHasher:
-        return MinHasher(self.bands, self.rows)
+        return MinHasher(self.bands, self.rows, self.more_samples)
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -64,7 +71,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
         ),
         "classes",
     )
-    label = components(_links(ids, classes, how))
+    label = components(linked_classes(classes, lambda profile: _sets(ids, profile, how), how))
     of_class = stored(
         classes.select(*same, "node")
         .join(label, "node", "left")
@@ -81,8 +88,12 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     )
 
 
-def _links(ids: DataFrame, classes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Enough confirmed links (a, b) to connect all that links connect."""
+def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], how: NearDuplicates) -> DataFrame:
+    """Enough confirmed links (a, b) to connect all that links connect.
+
+    classes: (node, n_shingles, set_a, bands, sketch); an empty sketch rules nothing out.
+    sets_of gives (node, members) for some of these rows.
+    """
     shown = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = stored(
         shown.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1"),
@@ -91,35 +102,17 @@ def _links(ids: DataFrame, classes: DataFrame, how: NearDuplicates) -> DataFrame
     members = stored(shown.join(shared, "bucket"), "members")
     nodes = members.select("node").distinct()
     profile = stored(classes.join(nodes, "node").select("node", "n_shingles", "set_a", "sketch", "bands"), "profiles")
-    sets = stored(_sets(ids, profile, how), "sets")
-
-    def side(name: str) -> DataFrame:
-        return profile.select(
-            F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}")
-        )
+    sets = stored(sets_of(profile), "sets")
 
     # one hub for each member: the one it shares most buckets with
     met = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
-    to_hub = best.select(F.col("node").alias("a"), (-F.col("best.hub")).alias("b"))
-    near = to_hub.join(side("a"), "a").join(side("b"), "b").filter(_may_link(how))
-    first = stored(_confirmed(near.select("a", "b"), sets, how), "first-links")
-
-    label = components(first).select("node", "component")
-    placed = stored(
-        members.join(label, "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component")
-        ),
-        "placed",
-    )
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    open_buckets = stored(
-        sizes.groupBy("bucket")
-        .agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("main"))
-        .filter("components > 1")
-        .select("bucket", F.col("main.component").alias("main")),
-        "open-buckets",
-    )
+    to_hub = _beside(best.select(F.col("node").alias("a"), (-F.col("best.hub")).alias("b")), profile, how)
+    links = stored(_confirmed(to_hub.select("a", "b"), sets, how), "links")
+    for turn in range(how.hub_turns):
+        placed, open_buckets = _placed(members, links)
+        links = stored(links.union(_to_another_hub(placed, open_buckets, profile, sets, how, turn)), "links")
+    placed, open_buckets = _placed(members, links)
     left = stored(
         placed.join(open_buckets, "bucket").join(profile.drop("set_a"), "node"), "open-members"
     )
@@ -132,8 +125,50 @@ def _links(ids: DataFrame, classes: DataFrame, how: NearDuplicates) -> DataFrame
     across = a.join(
         b, (a["bucket"] == b["bucket"]) & (F.col("c_a") != F.col("c_b")) & _may_link(how) & first_shared
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _confirmed(stored(across.distinct(), "across"), sets, how)
-    return first.union(second)
+    return links.union(_confirmed(stored(across.distinct(), "across"), sets, how))
+
+
+def _placed(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, component) by the links so far, and (bucket, main) of the buckets with
+    several components, with the largest of them."""
+    label = components(links)
+    placed = stored(
+        members.join(label, "node", "left").select(
+            "bucket", "node", F.coalesce("component", "node").alias("component")
+        ),
+        "placed",
+    )
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_buckets = (
+        sizes.groupBy("bucket")
+        .agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("main"))
+        .filter("components > 1")
+        .select("bucket", F.col("main.component").alias("main"))
+    )
+    return placed, stored(open_buckets, "open-buckets")
+
+
+def _to_another_hub(placed, open_buckets, profile, sets, how: NearDuplicates, turn: int) -> DataFrame:
+    """Links of members outside the main component of a bucket to one inside, the most similar of one a bucket."""
+    inside = placed.join(open_buckets, "bucket")
+    order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    hubs = stored(inside.filter("component = main").groupBy("bucket").agg(F.min(order)["node"].alias("b")), "hubs")
+    outside = inside.filter("component <> main").select("bucket", F.col("node").alias("a"))
+    near = _beside(outside.join(hubs, "bucket").select("a", "b").distinct(), profile, how)
+    best = near.groupBy("a").agg(F.min(F.struct("odd", "b"))["b"].alias("b"))
+    return _confirmed(best, sets, how)
+
+
+def _beside(pairs: DataFrame, profile: DataFrame, how: NearDuplicates) -> DataFrame:
+    """(a, b, odd) of the pairs that sizes and sketches do not rule out."""
+
+    def side(name: str) -> DataFrame:
+        return profile.select(
+            F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}")
+        )
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(how))
+    return both.select("a", "b", _odd_bits().alias("odd"))
 
 
 def _odd_bits():
