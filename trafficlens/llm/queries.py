@@ -13,6 +13,7 @@ from trafficlens.llm.mixing import mixed
 from trafficlens.llm.near_dedup import NearDuplicates, near_duplicates
 from trafficlens.llm.neighbours import near_vectors
 from trafficlens.llm.packing import Packing, packed
+from trafficlens.llm.paragraphs import without_repeats
 from trafficlens.llm.repetition import repetition
 from trafficlens.llm.toxicity import toxicity
 
@@ -132,3 +133,8 @@ def op8(spark, d):
 @query("op10_near_vectors")
 def op10(spark, d):
     return near_vectors(table(spark, d, "embeddings"))
+
+
+@query("op7_passages")
+def op7(spark, d):
+    return without_repeats(table(spark, d, "documents").select("doc_id", "text"))
