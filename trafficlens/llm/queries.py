@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.html_text import main_text
 from trafficlens.llm.kneser_ney import judged
 from trafficlens.llm.language import language_of
 from trafficlens.llm.mixing import mixed
@@ -138,3 +139,8 @@ def op10(spark, d):
 @query("op7_passages")
 def op7(spark, d):
     return without_repeats(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("op6_main_text")
+def op6(spark, d):
+    return main_text(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
