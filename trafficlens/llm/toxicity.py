@@ -41,6 +41,7 @@ WORD = regex.compile(r"[\p{L}']+")
 CLAUSE_END = frozenset(b".,;:!?")
 PREFIXES = (4, 5, 6)
 _REMEMBERED = 500_000
+_FEATURES = ("best", "matched", "n_words")
 
 
 @dataclass(frozen=True)
@@ -49,12 +50,14 @@ class Grammar:
 
     least_weight: a term is an insult if its log odds in toxic against other documents,
     less twice their standard error, reach it. threat_weight: weight of a threat word.
+    labelled_rows: learning takes at most so many labels, the first by a hash of the id.
     """
 
     targeted: float = 1.25
     negated: float = 0.6
     reported: float = 0.4
     threat_weight: float = 2.0
+    labelled_rows: int = 150_000
     least_weight: float = 1.5
     ridge: float = 0.01
 
@@ -99,14 +102,17 @@ def clause_factors(how: Grammar) -> tuple[np.ndarray, np.ndarray]:
 # -- learning ---------------------------------------------------------------------
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, how: Grammar) -> DataFrame:
     """(text, toxic) of labelled rows that are not held out, one of each group of close copies.
 
     Copies share the smallest hash of their five-word shingles; of rows that do, one for
     each label stays, so that a text copied a thousand times counts about once.
     """
-    given = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text").join(given, "doc_id")
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+    given = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.labelled_rows)
+    # two numbers a row: a few MB at most, so no text is shuffled to find its label
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     keyed = map_batches(rows.select("text", "toxic"), _smallest_shingle, "text string, toxic int, key long")
     return keyed.groupBy("key", "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
 
@@ -129,25 +135,39 @@ def terms(word: str) -> list[str]:
 
 
 def learned_terms(rows: DataFrame, how: Grammar) -> DataFrame:
-    """(term, weight) of the terms of insult in ``rows`` (text, toxic)."""
+    """(term, weight) of the terms of insult in ``rows`` (text, toxic).
+
+    A beginning has to earn its weight without the most frequent of its words.
+    """
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    counts = map_batches(rows, _count_terms, "term string, toxic int, n long").groupBy("term")
-    both = counts.agg(
-        F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).alias("good"),
+    counts = map_batches(rows, _count_words, "word string, toxic int, n long").groupBy("word")
+    by_word = stored(
+        counts.agg(
+            F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("bad"),
+            F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).alias("good"),
+        ),
+        "words",
+    )
+    beginnings = F.explode(F.array(*(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in PREFIXES)))
+    by_beginning = (
+        by_word.select(beginnings.alias("term"), "bad", "good")
+        .filter("term IS NOT NULL")
+        .groupBy("term")
+        .agg((F.sum("bad") - F.max("bad")).alias("bad"), F.sum("good").alias("good"))
     )
+    every = by_word.select(F.col("word").alias("term"), "bad", "good").union(by_beginning)
     bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(bad / (n.get(1, 0) + 1)) - F.log(good / (n.get(0, 0) + 1))
     error = F.sqrt(1 / bad + 1 / good)
-    return both.select("term", (odds - 2 * error).alias("weight")).filter(F.col("weight") >= how.least_weight)
+    return every.select("term", (odds - 2 * error).alias("weight")).filter(F.col("weight") >= how.least_weight)
 
 
-def _count_terms(batches):
+def _count_words(batches):
     def rows(counted):
         keys = list(counted)
         return pa.record_batch(
             {
-                "term": pa.array([k[0] for k in keys], pa.string()),
+                "word": pa.array([k[0] for k in keys], pa.string()),
                 "toxic": pa.array([k[1] for k in keys], pa.int32()),
                 "n": pa.array([counted[k] for k in keys], pa.int64()),
             }
@@ -156,9 +176,8 @@ def _count_terms(batches):
     counted: dict[tuple[str, int], int] = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            own = set(WORD.findall((text.as_py() or "").lower()))
-            for term in {t for w in own for t in terms(w)}:
-                counted[term, toxic] = counted.get((term, toxic), 0) + 1
+            for word in set(WORD.findall((text.as_py() or "").lower())):
+                counted[word, toxic] = counted.get((word, toxic), 0) + 1
             if len(counted) > _REMEMBERED:
                 yield rows(counted)
                 counted = {}
@@ -193,7 +212,7 @@ class _Reader:
         return *best, ends
 
     def features(self, texts: pa.Array):
-        """(weight of the weightiest clause, matched clauses) of each text."""
+        """(weight of the weightiest clause, matched clauses, words) of each text."""
         for part in words(texts):
             if len(self._known) > _REMEMBERED:
                 self._known.clear()
@@ -235,7 +254,7 @@ class _Reader:
             value = self._factors[state] * float(weight[lo:hi].sum())
             best[text] = max(best[text], value)
             matched[text] += value > 0
-        return zip(best.tolist(), matched.tolist(), strict=True)
+        return zip(best.tolist(), matched.tolist(), np.diff(part.offsets).tolist(), strict=True)
 
 
 def _feature_frame(docs: DataFrame, weights, how: Grammar) -> DataFrame:
@@ -243,30 +262,41 @@ def _feature_frame(docs: DataFrame, weights, how: Grammar) -> DataFrame:
         reader = _Reader(weights.value, how)
         for batch in batches:
             found = list(reader.features(batch.column("text")))
-            arrays = [pa.array([b for b, _ in found], pa.float64()), pa.array([m for _, m in found], pa.int64())]
-            yield pa.record_batch([*batch.columns, *arrays], names=[*batch.schema.names, "best", "matched"])
+            kinds = (pa.float64(), pa.int64(), pa.int64())
+            arrays = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.record_batch([*batch.columns, *arrays], names=[*batch.schema.names, *_FEATURES])
 
-    return map_batches(docs, read, with_fields(docs, best="double", matched="long"))
+    return map_batches(docs, read, with_fields(docs, best="double", matched="long", n_words="long"))
 
 
-def _inputs(best, matched):
-    """The three inputs of the curve; both parts level off."""
-    return [F.lit(1.0), F.least(best, F.lit(16.0)) / 4, F.log1p(F.least(matched, F.lit(64)).cast("double"))]
+def _inputs(best, matched, n_words):
+    """The four inputs of the curve; all level off. Length only counts beside a match."""
+    some = F.least(matched, F.lit(64)).cast("double")
+    length = F.when(some > 0, F.log1p(F.least(n_words, F.lit(1_000_000)).cast("double"))).otherwise(0.0)
+    return [F.lit(1.0), F.least(best, F.lit(16.0)) / 4, F.log1p(some), length / 4]
 
 
 def fitted_curve(rows: DataFrame, how: Grammar) -> list[float]:
-    """Weights of the inputs, by Newton steps over counts on a grid of 65 x 65 cells."""
+    """Weights of the inputs, by Newton steps over counts on a grid of bounded size."""
     best = F.round(F.least("best", F.lit(16.0)) * 4) / 4
-    cells = rows.groupBy(best.alias("best"), F.least("matched", F.lit(64)).alias("matched"), "toxic").agg(F.count("*").alias("n"))
-    got = cells.select(*(x.alias(f"x{i}") for i, x in enumerate(_inputs(F.col("best"), F.col("matched")))), "toxic", "n").toPandas()
-    x, y, n = got[["x0", "x1", "x2"]].to_numpy(float), (got["toxic"] > 0).to_numpy(float), got["n"].to_numpy(float)
-    w = np.zeros(3)
+    words_log = F.round(F.log2(F.least("n_words", F.lit(1_000_000)) + 1) * 2) / 2
+    cells = rows.groupBy(
+        best.alias("best"),
+        F.least("matched", F.lit(64)).alias("matched"),
+        (F.pow(F.lit(2.0), words_log) - 1).alias("n_words"),
+        "toxic",
+    ).agg(F.count("*").alias("n"))
+    inputs = _inputs(F.col("best"), F.col("matched"), F.col("n_words"))
+    got = cells.select(*(x.alias(f"x{i}") for i, x in enumerate(inputs)), "toxic", "n").toPandas()
+    x = got[[f"x{i}" for i in range(len(inputs))]].to_numpy(float)
+    y, n = (got["toxic"] > 0).to_numpy(float), got["n"].to_numpy(float)
+    w = np.zeros(len(inputs))
     if not len(got):
         return w.tolist()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (n * (p - y)) + how.ridge * w
-        curvature = (x.T * (n * p * (1 - p))) @ x + how.ridge * np.eye(3)
+        curvature = (x.T * (n * p * (1 - p))) @ x + how.ridge * np.eye(len(w))
         step = np.linalg.solve(curvature, gradient)
         w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
@@ -282,13 +312,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Grammar = Grammar()) -> Da
     score of every text is 0.5. Rows are scored one by one, by their text alone; columns
     of the input with these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "best", "matched")]
-    rows = stored(training_rows(docs, labels), "toxic-training")
+    kept = [c for c in docs.columns if c not in ("held_out", "score", *_FEATURES)]
+    rows = stored(training_rows(docs, labels, how), "toxic-training")
     lexicon = stored(learned_terms(rows, how), "insults")
     spark = docs.sparkSession
     # a term needs proof from labelled text: as many as labels can prove, each a word or a word's beginning
     weights = spark.sparkContext.broadcast({r.term: r.weight for r in lexicon.toLocalIterator()})
     curve = fitted_curve(_feature_frame(rows, weights, how), how)
     scored = _feature_frame(docs.select(*kept), weights, how)
-    inner = sum((w * x for w, x in zip(curve, _inputs(F.col("best"), F.col("matched")), strict=True)), F.lit(0.0))
+    inner = sum((w * x for w, x in zip(curve, _inputs(*map(F.col, _FEATURES)), strict=True)), F.lit(0.0))
     return scored.select(*kept, held_out().alias("held_out"), (1 / (1 + F.exp(-inner))).alias("score"))
