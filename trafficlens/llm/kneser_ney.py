@@ -11,6 +11,7 @@ of trusted text by language.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,9 +45,30 @@ class PerplexityLimit:
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` whose labels (doc_id, quality) all say 1."""
+    """(text, lang) of non-empty ``docs`` whose labels (doc_id, quality) all say 1.
+
+    The text is zlib-compressed UTF-8: all documents are shuffled to meet their labels.
+    """
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    return docs.join(good.filter("_q = 1").select("doc_id"), "doc_id", "left_semi")
+    given = docs.filter("doc_id IS NOT NULL AND length(text) > 0").select(
+        F.col("doc_id").cast("long"), F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text"
+    )
+    packed = map_batches(given, _compressed, "doc_id long, lang string, text binary")
+    # merged at every size: the trusted ids grow with the documents
+    return packed.join(good.filter("_q = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select("text", "lang")
+
+
+def _compressed(batches):
+    for batch in batches:
+        texts = [zlib.compress(x.as_py().encode(), 1) for x in batch.column("text")]
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "text": pa.array(texts, pa.binary())})
+
+
+def _texts(batch: pa.RecordBatch):
+    """The texts of a batch, whether compressed or not."""
+    for x in batch.column("text"):
+        value = x.as_py()
+        yield zlib.decompress(value).decode() if isinstance(value, bytes) else value
 
 
 def alphabet(trusted: DataFrame, how: PerplexityLimit) -> np.ndarray:
@@ -59,8 +81,8 @@ def alphabet(trusted: DataFrame, how: PerplexityLimit) -> np.ndarray:
 def _count_characters(batches):
     for batch in batches:
         total = np.zeros(0x110000, np.int64)
-        for text in batch.column("text"):
-            codes, n = np.unique(code_points(text.as_py()), return_counts=True)
+        for text in _texts(batch):
+            codes, n = np.unique(code_points(text), return_counts=True)
             total[codes] += n
         codes = np.flatnonzero(total)
         yield pa.record_batch({"code": pa.array(codes.astype(np.int32)), "n": pa.array(total[codes])})
@@ -88,17 +110,15 @@ def run_counts(trusted: DataFrame, characters: np.ndarray, how: PerplexityLimit)
         table = _symbol_table(characters)
         for batch in batches:
             parts, size = [], 0
-            texts = batch.column("text")
-            for i in range(len(texts)):
-                parts.append(_runs(texts[i].as_py(), table, how.symbols))
+            for i, text in enumerate(_texts(batch), 1):
+                parts.append(_runs(text, table, how.symbols))
                 size += len(parts[-1])
-                if size > 1 << 22 or i == len(texts) - 1:
+                if size > 1 << 22 or i == batch.num_rows:
                     run, n = np.unique(np.concatenate(parts), return_counts=True)
                     yield pa.record_batch({"run": pa.array(run), "n": pa.array(n)})
                     parts, size = [], 0
 
-    filled = trusted.filter(F.length("text") > 0).select("text")
-    return map_batches(filled, count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return map_batches(trusted.select("text"), count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def model_parts(counts: DataFrame, how: PerplexityLimit) -> DataFrame:
@@ -191,7 +211,7 @@ def scored(docs: DataFrame, characters: np.ndarray, tables, how: PerplexityLimit
         scorer = None
         for batch in batches:
             scorer = scorer or _Scorer(*model.value, how.symbols)
-            found = [scorer.nats(text.as_py()) for text in batch.column("text")]
+            found = [scorer.nats(text) for text in _texts(batch)]
             arrays = [pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
             yield pa.record_batch([*batch.columns, *arrays], names=[*batch.schema.names, "nats", "chars"])
 
@@ -208,12 +228,7 @@ def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = Perplexity
     is kept. Columns of the input with these names are replaced.
     """
     docs = docs.drop("nats", "chars", "perplexity", "threshold", "kept")
-    trusted = stored(
-        trusted_rows(docs.select("doc_id", "text", F.coalesce("lang", F.lit(NO_LANG)).alias("lang")), labels)
-        .filter(F.length("text") > 0)
-        .select("text", "lang"),
-        "trusted",
-    )
+    trusted = stored(trusted_rows(docs, labels), "trusted")
     characters = alphabet(trusted, how)
     counts = run_counts(trusted, characters, how)
     tables = log_probabilities(model_parts(counts, how), how)
@@ -229,7 +244,7 @@ def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = Perplexity
         *docs.columns,
         F.when(F.col("chars") > 0, F.exp(drawn)).alias("perplexity"),
         F.exp("most").alias("threshold"),
-        ((F.col("chars") > 0) & F.coalesce(drawn <= F.col("most"), F.lit(True))).alias("kept"),
+        ((F.col("chars") > 0) & F.coalesce(drawn <= F.col("most") + 1e-9, F.lit(True))).alias("kept"),
     )
 
 
