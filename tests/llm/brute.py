@@ -2,6 +2,7 @@
 
 import re
 
+SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
