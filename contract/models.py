@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LogisticRegressionModel,
@@ -10,6 +12,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contract import tables
@@ -232,9 +235,9 @@ def knn_grid(spark, d):
 
 @query("i11_holdout_selection")
 def holdout_selection(spark, d):
+    """Every candidate of the forest with its score, and which one was chosen."""
     train, validation, _ = _splits(spark, d)
-    candidates = training.grid(regParam=[0.01, 0.1])
-    return training.train_logistic(train, validation, candidates, max_iter=20).table(spark)
+    return training.train_forest(train, validation, parallelism=4).table(spark)
 
 
 @query("i12_kmeans_sweep")
@@ -244,27 +247,34 @@ def kmeans_sweep(spark, d):
     return training.kmeans_scores(sweep, spark)
 
 
-@query("i13_wssse")
+@query(
+    "i13_wssse",
+    """SELECT unnest([3, 4, 5, 6, 7, 8])::INTEGER AS k, n AS rows, true AS same_cost
+      FROM (SELECT count(*) AS n FROM split_frame WHERE split = 'train')""",
+)
 def wssse(spark, d):
-    """Training cost against the squared distances to the nearest centre."""
+    """For each k the training cost against the squared distances to the nearest centre."""
     train, validation, _ = _splits(spark, d)
-    model = training.train_kmeans(train, validation, ks=[4]).model
-    nearest = model.transform(train)
+    sweep = training.train_kmeans(train, validation, parallelism=4)
+    compared = [_recomputed(train, params["k"], model) for params, _, model in sweep.tried]
+    return reduce(DataFrame.unionByName, compared)
+
+
+def _recomputed(train, k, model):
     x = vector_to_array("features")
     centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
     centre = F.element_at(centres, F.col("prediction") + 1)
     squares = F.transform(F.zip_with(x, centre, lambda a, b: a - b), lambda v: v * v)
     distance = F.aggregate(squares, F.lit(0.0), lambda total, v: total + v)
-    return nearest.agg(F.sum(distance).alias("recomputed")).select(
-        F.lit(model.summary.trainingCost).alias("training_cost"), "recomputed"
+    found = model.transform(train).agg(
+        F.count("*").alias("rows"), F.sum(distance).alias("recomputed")
+    )
+    cost = model.summary.trainingCost
+    return found.select(
+        F.lit(k).alias("k"),
+        "rows",
+        (F.abs(F.col("recomputed") - cost) <= 1e-9 * F.lit(cost)).alias("same_cost"),
     )
-
-
-_SMALL = {
-    "logistic_grid": [{"regParam": 0.01, "elasticNetParam": 0.0}],
-    "forest_grid": [{"numTrees": 50, "maxDepth": 5}],
-    "ks": (3, 4),
-}
 
 
 @query(
@@ -276,7 +286,7 @@ def saved_models(spark, d):
     """Predictions of the reloaded models against the ones in memory."""
     windows = _stored_windows(spark, d)
     folder = scratch_path(spark, "models")
-    trained = training.run_training(windows, save_to=folder, **_SMALL)
+    trained = training.run_training(windows, save_to=folder, parallelism=4)
     stages = PipelineModel.load(f"{folder}/feature_stages")
     frame = stages.transform(ft.model_frame(windows))
     loaded = {
@@ -385,11 +395,11 @@ def rule_baseline(spark, d):
 @query("j08_model_summary")
 def model_summary(spark, d):
     windows = _stored_windows(spark, d)
-    return training.run_training(windows, **_SMALL).metrics
+    return training.run_training(windows, parallelism=4).metrics
 
 
 @query("j09_kmeans_scores")
 def kmeans_table(spark, d):
     train, validation, _ = _splits(spark, d)
-    sweep = training.train_kmeans(train, validation, ks=(3, 4), parallelism=2)
+    sweep = training.train_kmeans(train, validation, parallelism=4)
     return training.kmeans_scores(sweep, spark)

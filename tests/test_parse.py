@@ -191,3 +191,49 @@ def test_server_lines(spark):
         "IOException", "container_14_01", "attempt_1445_m_2"
     )
     assert typed[texts[1]].timestamp is None
+
+
+def test_newlines_are_no_match(spark):
+    """A value that merely splits into as many pieces as a record is no record."""
+    from trafficlens.operators import parse
+
+    good = '1.2.3.4 - - [22/Jan/2019:03:56:14 +0330] "GET /a{} HTTP/1.1" 200 5'
+    values = ["a\nb\nc\nd\ne\nf", "\na\nb\nc\nd\ne\nf", good.format(""), good.format("\nb"), None, ""]
+    lines = spark.createDataFrame([(v,) for v in values], "value string")
+    kept = parse.parse_lines(lines.select("value", lines.value.alias("line")), parse.COMMON)
+    left = [r.value for r in parse.quarantine(lines, parse.COMMON).collect()]
+    matching = [v for v in values if v and parse_matches(spark, v)]
+    assert sorted(r.line for r in kept.collect()) == sorted(matching)
+    assert sorted(left, key=str) == sorted((v for v in values if v not in matching), key=str)
+    assert good.format("") in matching
+
+
+def parse_matches(spark, value):
+    from trafficlens import fixed_values as fixed
+
+    row = spark.createDataFrame([(value,)], "v string").selectExpr("v")
+    return row.filter(row.v.rlike(fixed.COMMON_LOG_PATTERN)).count() == 1
+
+
+def test_hours_on_both_sides_of_clock_changes(spark):
+    """Session zones with clock changes do not move the hours of another zone."""
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    from pyspark.sql import functions as F
+
+    from trafficlens.functions.requests import local_time
+
+    starts = [datetime(2024, 3, 10, 4), datetime(2024, 11, 3, 4), datetime(2024, 3, 31, 0), datetime(2024, 10, 27, 0)]
+    instants = [(t + timedelta(minutes=30 * i)).replace(tzinfo=timezone.utc) for t in starts for i in range(8)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session in ("America/New_York", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            seconds = spark.createDataFrame([(int(t.timestamp()),) for t in instants], "s long")
+            for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+                hour = F.hour(local_time(F.timestamp_seconds("s"), zone)).alias("h")
+                got = [r.h for r in seconds.select(hour).collect()]
+                assert got == [t.astimezone(ZoneInfo(zone)).hour for t in instants], (session, zone)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -63,3 +63,14 @@ def test_split_needs_no_exchange(spark):
     text = plan(QUERIES["i05_hash_split"](spark, SF_DIR))
     windows = plan(QUERIES["f03_severity"](spark, SF_DIR))
     assert text.count("Exchange") == windows.count("Exchange")
+
+
+def test_time_range_reaches_the_scan(spark, tmp_path):
+    """Windows over stored rows read only the row groups of their range."""
+    path = str(tmp_path / "requests")
+    tables.enriched(spark, SF_DIR).write.parquet(path)
+    stored = spark.read.parquet(path)
+    text = plan(window_counts(stored, start="2024-01-05 00:00:00", end="2024-01-06 00:00:00"))
+    pushed = next(line for line in text.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(timestamp" in pushed and "LessThan(timestamp" in pushed
+    assert "IsNotNull(timestamp)" in plan(window_counts(stored)).split("PushedFilters")[1]

@@ -54,17 +54,25 @@ def bot_flag(user_agent: Column, keywords: Iterable[str] = fixed.BOT_KEYWORDS) -
 def error_severity(
     status: Column, codes: Mapping[str, tuple[int, ...]] = fixed.SEVERITY_CODES
 ) -> Column:
-    levels = F
-    for level, members in codes.items():
+    (first, members), *others = codes.items()
+    levels = F.when(status.isin(*members), first)
+    for level, members in others:
         levels = levels.when(status.isin(*members), level)
     return levels.otherwise("none")
 
 
 def local_time(timestamp: Column, zone: str | None = None) -> Column:
-    """Wall-clock time in ``zone``, or in the session time zone when None."""
+    """Wall-clock time in ``zone``, or in the session time zone when None.
+
+    It is computed from the instant, so it holds on both sides of clock changes of
+    either zone.
+    """
     if zone is None:
         return timestamp
-    return F.convert_timezone(None, F.lit(zone), timestamp.cast("timestamp_ntz"))
+    seconds = F.unix_micros(timestamp).cast("decimal(20,0)") / 1_000_000
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    utc = epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def off_hours_flag(hour: Column, business_hours: tuple[int, int] = fixed.BUSINESS_HOURS) -> Column:
@@ -75,8 +83,9 @@ def off_hours_flag(hour: Column, business_hours: tuple[int, int] = fixed.BUSINES
 
 def lookup(key: Column, names: Mapping[int, str]) -> Column:
     """Name of a small integer code, null for codes without a name."""
-    named = F
-    for code, name in names.items():
+    (first, name), *others = names.items()
+    named = F.when(key == first, name)
+    for code, name in others:
         named = named.when(key == code, name)
     return named.otherwise(F.lit(None).cast("string"))
 

@@ -34,7 +34,8 @@ def anomaly_type(limits: Thresholds) -> Column:
         ("scanning", F.col("unique_endpoints") > limits.endpoints),
         ("bot_traffic", F.col("bot_requests") > 0),
     ]
-    chain = reduce(lambda chosen, rule: chosen.when(rule[1], rule[0]), rules, F)
+    (name, holds), *others = rules
+    chain = reduce(lambda chosen, rule: chosen.when(rule[1], rule[0]), others, F.when(holds, name))
     return chain.otherwise("normal")
 
 

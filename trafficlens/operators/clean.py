@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions import requests as rq
-from trafficlens.operators.ranking import percent, weight
+from trafficlens.operators.ranking import percent, weight, weight_column
 from trafficlens.schema import ACCESS_SCHEMA
 
 
@@ -21,7 +21,8 @@ def clean(parsed: DataFrame) -> DataFrame:
     typed = parsed.withColumn("status_code", rq.status_number(F.col("status_raw")))
     status = F.col("status_code")
     return typed.select(
-        rq.zoned_timestamp(F.col("timestamp_raw")).alias("timestamp"),
+        # the one-element explode keeps later tests of the time from parsing it again
+        F.explode(F.array(rq.zoned_timestamp(F.col("timestamp_raw")))).alias("timestamp"),
         "ip",
         "method",
         "endpoint",
@@ -46,7 +47,8 @@ def quality(access: DataFrame) -> DataFrame:
     Takes access rows or a request profile.
     """
     n = weight(access)
-    clock = F.col("timestamp") if "timestamp" in access.columns else F.col("hour_of_day")
+    # a profile has no time of a single row, but the hour of all of them
+    clock = F.col("hour_of_day") if weight_column(access) else F.col("timestamp")
 
     def rows_where(condition):
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")

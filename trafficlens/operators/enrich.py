@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficlens import fixed_values as fixed
 from trafficlens.functions import requests as rq
+from trafficlens.operators.ranking import WEIGHT
 
 
 def enrich(access: DataFrame, zone: str | None = None) -> DataFrame:
@@ -36,7 +37,9 @@ def request_profile(enriched: DataFrame) -> DataFrame:
     verb = F.when(F.col("method").isin(*fixed.HTTP_METHODS), F.col("method"))
     keys = ["source", "status_code", "method", "is_bot", "hour_of_day", "day_of_week"]
     counts = (
-        enriched.withColumn("method", verb).groupBy(*keys).agg(F.count("*").alias("requests"))
+        enriched.withColumn("method", verb)
+        .groupBy(*keys)
+        .agg(F.count("*").alias("requests", metadata=WEIGHT))
     )
     status = F.col("status_code")
     return counts.select(

@@ -48,7 +48,7 @@ def feature_stages(features: Sequence[str] = fixed.NUMERIC_FEATURES) -> Pipeline
         stringOrderType="frequencyDesc",
     )
     assemble = VectorAssembler(
-        inputCols=list(features), outputCol=RAW_FEATURES, handleInvalid="skip"
+        inputCols=list(features), outputCol=RAW_FEATURES, handleInvalid="error"
     )
     scale = StandardScaler(
         inputCol=RAW_FEATURES, outputCol=FEATURES, withMean=True, withStd=True

@@ -1,10 +1,12 @@
 """Log lines to string columns.
 
-One regular-expression match per line: the match is rewritten as its groups
-joined by a newline, which no line of a text source holds, and split once.
-``explode`` over the one-element array keeps the optimizer from copying that
-expression into the filter and into every output column, and stays inside
-whole-stage codegen.
+One regular-expression match per line: a matching line is rewritten as its groups
+joined by newlines. The rewritten line is shorter than the line, as the pattern's own
+characters outnumber the newlines, so a value matched if and only if it changed; a
+value that merely holds newlines did not. Where a group holds a newline itself, the
+groups of that value are extracted one by one. ``explode`` over a one-element array
+keeps the optimizer from copying an expression into the filter and into every output
+column, and stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -49,16 +51,27 @@ SERVER = LogFormat(
 
 
 def _with_groups(lines: DataFrame, fmt: LogFormat, column: str) -> DataFrame:
-    """Add ``_groups``: one string per group, or just the line when nothing matched."""
+    """Add ``_groups``: one string per group, or null when nothing matched."""
     before = "" if fmt.anchored else "^(?s:.*?)"
     whole_line = f"{before}{fmt.pattern}(?s:.*)"
     joined = _SEPARATOR.join(f"${i}" for i in range(1, len(fmt.groups) + 1))
-    groups = F.split(F.regexp_replace(F.col(column), whole_line, joined), _SEPARATOR)
-    return lines.select("*", F.explode(F.array(groups)).alias("_groups"))
+    rewritten = F.regexp_replace(F.col(column), whole_line, joined)
+    once = lines.select("*", F.explode(F.array(rewritten)).alias("_line"))
+    pieces = F.split(F.col("_line"), _SEPARATOR)
+    one_by_one = F.array(
+        *(F.regexp_extract(F.col(column), whole_line, i + 1) for i in range(len(fmt.groups)))
+    )
+    groups = F.when(
+        F.col("_line") != F.col(column),
+        F.when(F.size(pieces) == len(fmt.groups), pieces).otherwise(one_by_one),
+    )
+    return once.select(
+        *(F.col(c) for c in lines.columns), F.explode(F.array(groups)).alias("_groups")
+    )
 
 
-def _matched(fmt: LogFormat) -> Column:
-    return F.coalesce(F.size("_groups") == len(fmt.groups), F.lit(False))
+def _matched() -> Column:
+    return F.col("_groups").isNotNull()
 
 
 def _pick(fmt: LogFormat) -> list[Column]:
@@ -70,12 +83,12 @@ def _pick(fmt: LogFormat) -> list[Column]:
 def parse_lines(lines: DataFrame, fmt: LogFormat, column: str = "value") -> DataFrame:
     """Rows of the matching lines; other columns of ``lines`` are carried along."""
     carried = [F.col(c) for c in lines.columns if c != column]
-    return _with_groups(lines, fmt, column).filter(_matched(fmt)).select(*carried, *_pick(fmt))
+    return _with_groups(lines, fmt, column).filter(_matched()).select(*carried, *_pick(fmt))
 
 
 def quarantine(lines: DataFrame, fmt: LogFormat, column: str = "value") -> DataFrame:
     """Exactly the lines that ``parse_lines`` leaves out, null lines included."""
-    return _with_groups(lines, fmt, column).filter(~_matched(fmt)).drop("_groups")
+    return _with_groups(lines, fmt, column).filter(~_matched()).drop("_groups")
 
 
 def parse_common(lines: DataFrame, source: str = fixed.ACCESS_SOURCE) -> DataFrame:
@@ -107,7 +120,7 @@ def parse_server(lines: DataFrame, column: str = "value") -> DataFrame:
     groups = F.col("_groups")
     fields = [
         F.when(F.col(column).isNull(), F.lit(None))
-        .when(_matched(SERVER), groups[i])
+        .when(_matched(), groups[i])
         .otherwise("")
         .alias(name)
         for i, name in enumerate(SERVER.groups)

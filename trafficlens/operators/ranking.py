@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WEIGHT = "requests"
+# metadata of the column that says how many rows a pre-aggregated row stands for
+WEIGHT = {"rows_per_row": True}
+
+
+def weight_column(df: DataFrame) -> str | None:
+    """The column that its maker declared as the weight; no name makes a column one."""
+    declared = [f.name for f in df.schema.fields if f.metadata == WEIGHT]
+    return declared[0] if declared else None
 
 
 def weight(df: DataFrame) -> Column:
     """How many rows one row stands for: 1, or the count of a pre-aggregated profile."""
-    return F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
+    name = weight_column(df)
+    return F.col(name) if name else F.lit(1)
 
 
 def percent(part: Column, whole: Column) -> Column:
