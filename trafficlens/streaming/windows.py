@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trafficlens.functions.rules import Thresholds
 from trafficlens.operators.windows import apply_rules
-from trafficlens.sources.workspace import scratch_path
 
 
 def stream_window_counts(
@@ -85,45 +84,60 @@ def stream_client_windows(
     return apply_rules(stream_window_counts(enriched, watermark, duration, slide, key), limits)
 
 
-def start(
-    windows: DataFrame,
-    path: str,
-    checkpoint: str | None = None,
-    once: bool = False,
-) -> StreamingQuery:
+def start(windows: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append closed windows to parquet at ``path``.
 
-    Without ``checkpoint`` a fresh folder below the shared scratch folder is used;
-    name one to resume after a restart. ``once`` works off what is there and stops.
+    The job resumes from ``checkpoint``; started again with another one it would write
+    all windows anew. ``once`` works off what is there and stops.
     """
-    spark: SparkSession = windows.sparkSession
     writer = (
         windows.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-checkpoint"))
+        .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-class LateRows:
-    """Running count of rows that arrived behind the watermark of one query.
+LATE_ROWS = "rows long, late_rows long, latest timestamp"
+
 
-    Call ``update`` now and then, at least once per
-    ``spark.sql.streaming.numRecentProgressUpdates`` batches. Spark counts rows after
-    the map-side merge, so equal late (client, window, endpoint) rows of one task
-    count once.
+def note_late_rows(
+    enriched: DataFrame,
+    path: str,
+    checkpoint: str,
+    watermark: str = "10 minutes",
+    duration: str = "1 minute",
+    once: bool = False,
+) -> StreamingQuery:
+    """Count the rows of each micro-batch, and those behind the watermark, into ``path``.
+
+    Late is a row whose window had ended, less the delay, by the latest time of the
+    batches before the last one: what Spark drops as long as batch follows batch. (A
+    window job that runs idle in between moves its watermark on and may drop rows of
+    the next batch too.) Every batch writes a folder of its own, so a repeated batch
+    counts once and no history is needed but the noted times.
     """
+    spark = enriched.sparkSession
+
+    def note(batch: DataFrame, number: int) -> None:
+        latest = None
+        if number >= 2:
+            noted = late_row_notes(spark, path).filter(F.col("batch") <= number - 2)
+            latest = noted.agg(F.max("latest")).first()[0]
+        end = F.window("timestamp", duration)["end"]
+        late = end <= F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+        counts = batch.filter("timestamp IS NOT NULL").agg(
+            F.count("*").alias("rows"),
+            F.count_if(F.coalesce(late, F.lit(False))).alias("late_rows"),
+            F.max("timestamp").alias("latest"),
+        )
+        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = enriched.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
 
-    def __init__(self) -> None:
-        self.total = 0
-        self._seen = ""
-
-    def update(self, query: StreamingQuery) -> int:
-        for progress in query.recentProgress:
-            if progress["timestamp"] > self._seen:
-                self._seen = progress["timestamp"]
-                self.total += sum(
-                    op["numRowsDroppedByWatermark"] for op in progress["stateOperators"]
-                )
-        return self.total
+def late_row_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(rows, late_rows, latest, batch) that ``note_late_rows`` has written so far."""
+    return spark.read.schema(f"{LATE_ROWS}, batch long").parquet(path)
