@@ -4,7 +4,7 @@ import brute
 import numpy as np
 
 from trafficlens.llm.components import components
-from trafficlens.llm.minhash import SKETCH_BITS, MinHasher
+from trafficlens.llm.minhash import SKETCH_BITS
 from trafficlens.llm.near_dedup import NearDuplicates, keep_one, near_duplicates
 
 
@@ -57,7 +57,7 @@ def test_components(spark):
 
 
 def test_sketch_tells_similar_from_unlike():
-    hasher, rng = MinHasher(32, 5, 240), np.random.default_rng(1)
+    hasher, rng = NearDuplicates().sketcher(), np.random.default_rng(1)
     limit = hasher.most_odd_bits(0.8)
     assert limit < SKETCH_BITS
     for share, passes in ((0.86, True), (0.6, False)):

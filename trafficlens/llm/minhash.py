@@ -6,7 +6,7 @@ import numpy as np
 
 from trafficlens.llm.words import mix
 
-SKETCH_WORDS = 16
+SKETCH_WORDS = 32
 SKETCH_BITS = 64 * SKETCH_WORDS
 _BLOCK = 4096
 
@@ -15,13 +15,12 @@ class MinHasher:
     """``bands`` keys of ``rows`` samples each.
 
     Two sets with similarity s share a key with probability 1 - (1 - s^rows)^bands.
-    ``more`` samples go into the odd sketch only.
     """
 
-    def __init__(self, bands: int, rows: int, more: int = 0, seed: int = 7):
+    def __init__(self, bands: int, rows: int, seed: int = 7):
         self.bands, self.rows = bands, rows
         rng = np.random.default_rng(seed)
-        n = self.n = bands * rows + more
+        n = self.n = bands * rows
         self._a = (rng.integers(0, 1 << 31, n, dtype=np.uint32) * 2 + 1)[:, None]
         self._b = rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
         self._row = rng.integers(0, 1 << 62, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,9 +39,28 @@ class MinHasher:
         return best
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
-        wide = samples[: self.bands * self.rows].astype(np.uint64).reshape(self.bands, self.rows)
+        wide = samples.astype(np.uint64).reshape(self.bands, self.rows)
         return mix((mix(wide) * self._row).sum(axis=1, dtype=np.uint64) + self._band).view(np.int64)
 
+    def band_keys_of_runs(self, members: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """A row of band keys for each run members[begins[i] : begins[i + 1]], none of them empty.
+
+        A run may hold a member several times.
+        """
+        x = (members >> np.uint64(32)).astype(np.uint32)
+        keys = np.empty((len(begins), self.bands), np.uint64)
+        for band in range(self.bands):
+            total = np.full(len(begins), self._band[band])
+            for row in range(self.rows):
+                k = band * self.rows + row
+                least = np.minimum.reduceat(x * self._a[k, 0] + self._b[k, 0], begins)
+                total += mix(least.astype(np.uint64)) * self._row[band, row]
+            keys[:, band] = mix(total)
+        return keys.view(np.int64)
+
+    def sketch_of(self, members: np.ndarray) -> np.ndarray:
+        return self.odd_sketch(self.samples(members)) if len(members) else np.zeros(SKETCH_WORDS, np.int64)
+
     def odd_sketch(self, samples: np.ndarray) -> np.ndarray:
         """A bitmap in which each (function, sample) pair flips one bit.
 
@@ -52,8 +70,8 @@ class MinHasher:
         odd = (np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
         return np.packbits(odd, bitorder="little").view(np.int64)
 
-    def most_odd_bits(self, similarity: float, deviations: float = 4.8) -> int:
-        """XOR bits that a pair of this similarity exceeds about twice in ten thousand times.
+    def most_odd_bits(self, similarity: float, deviations: float = 4.2) -> int:
+        """XOR bits that a pair of this similarity exceeds about once in fifty thousand times.
 
         A more similar pair does so far less often: at 0.85 for 0.8 less than once in a million.
         """

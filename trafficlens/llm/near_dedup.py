@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +27,18 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
 from trafficlens.llm.frames import map_batches, stored
-from trafficlens.llm.minhash import MinHasher
+from trafficlens.llm.minhash import SKETCH_WORDS, MinHasher
 from trafficlens.llm.words import mix, shingle_hashes, words
 
-_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
-_SET = "doc_id long, set_a long, members array<long>"
+_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SET = "doc_id long, set_a long, members array<long>, sketch array<long>"
 
 
 @dataclass(frozen=True)
 class NearDuplicates:
     """similarity in percent; bands x rows: 32 x 5 misses a pair at 80 % three times in a million.
 
-    more_samples go into the odd sketch only. hub_turns: how often members outside the
+    The odd sketch holds sketch_samples more. hub_turns: how often members outside the
     main component of a bucket try another member of it before they meet all.
     """
 
@@ -44,11 +46,15 @@ class NearDuplicates:
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    more_samples: int = 240
-    hub_turns: int = 2
+    sketch_samples: int = 1000
+    hub_turns: int = 3
 
     def hasher(self) -> MinHasher:
-        return MinHasher(self.bands, self.rows, self.more_samples)
+        return MinHasher(self.bands, self.rows)
+
+    def sketcher(self) -> MinHasher:
+        """Only classes that share a bucket are sketched, so it has samples of its own."""
+        return MinHasher(self.sketch_samples, 1, seed=11)
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -67,7 +73,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(
         filled.groupBy(*same).agg(
-            F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+            F.min("doc_id").alias("node"), F.first("bands").alias("bands")
         ),
         "classes",
     )
@@ -91,8 +97,8 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
 def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], how: NearDuplicates) -> DataFrame:
     """Enough confirmed links (a, b) to connect all that links connect.
 
-    classes: (node, n_shingles, set_a, bands, sketch); an empty sketch rules nothing out.
-    sets_of gives (node, members) for some of these rows.
+    classes: (node, n_shingles, set_a, bands). sets_of gives (node, members, sketch) for
+    some of these rows.
     """
     shown = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = stored(
@@ -101,8 +107,9 @@ def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     ).select("bucket", "hub")
     members = stored(shown.join(shared, "bucket"), "members")
     nodes = members.select("node").distinct()
-    profile = stored(classes.join(nodes, "node").select("node", "n_shingles", "set_a", "sketch", "bands"), "profiles")
-    sets = stored(sets_of(profile), "sets")
+    wanted = stored(classes.join(nodes, "node").select("node", "n_shingles", "set_a", "bands"), "wanted")
+    sets = stored(sets_of(wanted), "sets")
+    profile = stored(wanted.join(sets.select("node", "sketch"), "node"), "profiles")
 
     # one hub for each member: the one it shares most buckets with
     met = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
@@ -116,10 +123,10 @@ def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     left = stored(
         placed.join(open_buckets, "bucket").join(profile.drop("set_a"), "node"), "open-members"
     )
-    a = left.filter("component <> main").selectExpr(
-        "bucket", "node a", "component c_a", "n_shingles n_a", "sketch s_a", "bands bands_a"
+    a = left.filter("component <> main").select(
+        "bucket", F.col("component").alias("c_a"), F.col("bands").alias("bands_a"), *_side("a")
     )
-    b = left.selectExpr("bucket", "node b", "component c_b", "n_shingles n_b", "sketch s_b", "bands bands_b")
+    b = left.select("bucket", F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), *_side("b"))
     # a pair that shares several buckets comes from the first of them
     first_shared = F.array_intersect("bands_a", "bands_b")[0] == a["bucket"]
     across = a.join(
@@ -162,25 +169,28 @@ def _to_another_hub(placed, open_buckets, profile, sets, how: NearDuplicates, tu
 def _beside(pairs: DataFrame, profile: DataFrame, how: NearDuplicates) -> DataFrame:
     """(a, b, odd) of the pairs that sizes and sketches do not rule out."""
 
-    def side(name: str) -> DataFrame:
-        return profile.select(
-            F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}")
-        )
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(how))
+    a, b = (profile.select(*_side(x)) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").filter(_may_link(how))
     return both.select("a", "b", _odd_bits().alias("odd"))
 
 
+def _side(name: str) -> list:
+    """Node, size and the words of the sketch of one side of a pair; plain columns, so that
+    comparing sketches is compiled code."""
+    words = [F.col("sketch")[k].alias(f"{name}{k}") for k in range(SKETCH_WORDS)]
+    return [F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), *words]
+
+
 def _odd_bits():
     """Bits set in the XOR of the two sketches."""
-    differ = F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
-    return F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    words = [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH_WORDS)]
+    return reduce(add, words)
 
 
 def _may_link(how: NearDuplicates):
     """Sizes allow the similarity, and the odd sketches do not rule it out."""
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * how.percent) & (F.col("n_b") * 100 >= F.col("n_a") * how.percent)
-    return sizes & (_odd_bits() <= how.hasher().most_odd_bits(how.percent / 100))
+    return sizes & (_odd_bits() <= how.sketcher().most_odd_bits(how.percent / 100))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -199,7 +209,7 @@ def _sets(ids: DataFrame, profile: DataFrame, how: NearDuplicates) -> DataFrame:
     made = map_batches(ids.join(wanted.hint("merge"), "doc_id", "left_semi"), _set_maker(how), _SET)
     own = profile.select(F.col("node").alias("doc_id"), "set_a")
     whole = made.join(own, ["doc_id", "set_a"])
-    return whole.select(F.col("doc_id").alias("node"), "members").dropDuplicates(["node"])
+    return whole.select(F.col("doc_id").alias("node"), "members", "sketch").dropDuplicates(["node"])
 
 
 def _shingle_sets(texts: pa.Array, size: int):
@@ -224,12 +234,11 @@ def _signer(how: NearDuplicates):
             out = []
             for members in _shingle_sets(batch.column("text"), how.shingle_words):
                 if len(members):
-                    samples = hasher.samples(members)
-                    bands, sketch = hasher.band_keys(samples), hasher.odd_sketch(samples)
-                    out.append((len(members), *_fingerprint(members), bands, sketch))
+                    bands = hasher.band_keys(hasher.samples(members))
+                    out.append((len(members), *_fingerprint(members), bands))
                 else:
-                    out.append((0, 0, 0, [], []))
-            n, a, b, bands, sketch = zip(*out, strict=True) if out else ([],) * 5
+                    out.append((0, 0, 0, []))
+            n, a, b, bands = zip(*out, strict=True) if out else ([],) * 4
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -237,7 +246,6 @@ def _signer(how: NearDuplicates):
                     "set_a": pa.array(a, pa.int64()),
                     "set_b": pa.array(b, pa.int64()),
                     "bands": pa.array(bands, pa.list_(pa.int64())),
-                    "sketch": pa.array(sketch, pa.list_(pa.int64())),
                 }
             )
 
@@ -246,6 +254,7 @@ def _signer(how: NearDuplicates):
 
 def _set_maker(how: NearDuplicates):
     def make(batches):
+        sketcher = how.sketcher()
         for batch in batches:
             ids, at, rows, size = batch.column("doc_id"), 0, [], 0
             for members in _shingle_sets(batch.column("text"), how.shingle_words):
@@ -257,6 +266,7 @@ def _set_maker(how: NearDuplicates):
                             "doc_id": ids.slice(at - len(rows), len(rows)),
                             "set_a": pa.array([_fingerprint(x)[0] if len(x) else 0 for x in rows], pa.int64()),
                             "members": pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64())),
+                            "sketch": pa.array([sketcher.sketch_of(x) for x in rows], pa.list_(pa.int64())),
                         }
                     )
                     rows, size = [], 0

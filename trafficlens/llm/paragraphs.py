@@ -27,7 +27,7 @@ from trafficlens.llm.near_dedup import NearDuplicates, linked_classes
 from trafficlens.llm.words import Words, mix, shingle_hashes, words
 
 _UNIT = "doc_id long, text_key long, line boolean, lo int, hi int, node long, n_shingles long, bands array<long>"
-_SET = "node long, members array<long>"
+_SET = "node long, members array<long>, sketch array<long>"
 # words on both sides that decide a break inside a long sentence
 _REACH = 5
 _STOPS = np.zeros(256, bool)
@@ -52,7 +52,7 @@ class PassageRules:
 
     def near(self) -> NearDuplicates:
         bands = ceil(log(self.missed) / log(1 - (self.percent / 100) ** self.rows))
-        return NearDuplicates(self.shingle_words, self.percent, bands, self.rows, more_samples=0)
+        return NearDuplicates(self.shingle_words, self.percent, bands, self.rows)
 
 
 def without_repeats(docs: DataFrame, rules: PassageRules = PassageRules()) -> DataFrame:
@@ -110,7 +110,7 @@ def _doubled_paragraphs(ids: DataFrame, units: DataFrame, rules: PassageRules) -
         ),
         "paragraphs",
     )
-    shown = classes.select("node", "n_shingles", F.col("node").alias("set_a"), "bands", F.array().cast("array<long>").alias("sketch"))
+    shown = classes.select("node", "n_shingles", F.col("node").alias("set_a"), "bands")
 
     def sets_of(profile: DataFrame) -> DataFrame:
         wanted = classes.join(profile.select("node"), "node").select("node", "first.*")
@@ -171,10 +171,10 @@ def _inner_breaks(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     """
     n = len(hashes)
     two = mix(hashes * np.uint64(3) + np.concatenate([hashes[:1], hashes[:-1]]))
-    around = np.full(n + 2 * _REACH, np.iinfo(np.uint64).max, np.uint64)
-    around[_REACH:-_REACH] = two
-    windows = np.lib.stride_tricks.sliding_window_view(around, 2 * _REACH + 1)
-    least = (windows.min(axis=1) == two) & ((windows == two[:, None]).sum(axis=1) == 1)
+    least = np.ones(n, bool)
+    for step in range(1, min(_REACH, n - 1) + 1):
+        least[step:] &= two[step:] < two[:-step]
+        least[:-step] &= two[:-step] < two[step:]
     begin = np.flatnonzero(sentence)
     long = np.diff(np.append(begin, n)) > 3 * _REACH
     of = np.cumsum(sentence) - 1
@@ -219,7 +219,7 @@ def _units(part: Words, ids: np.ndarray, hasher: MinHasher, rules: PassageRules)
                 "hi": pa.array((hi - part.offsets[t]).astype(np.int32)),
                 "node": pa.array(_run_keys(part.hashes, lo, hi)),
                 "n_shingles": pa.array(shingles, pa.int64()),
-                "bands": pa.array(bands, pa.list_(pa.int64())),
+                "bands": bands if isinstance(bands, pa.Array) else pa.array(bands, pa.list_(pa.int64())),
             }
         )
 
@@ -233,26 +233,46 @@ def _units(part: Words, ids: np.ndarray, hasher: MinHasher, rules: PassageRules)
         enough = end - inner >= rules.sentence_words
         lo, hi = np.concatenate([lo, inner[enough]]), np.concatenate([hi, end[enough]])
     yield columns(lo, hi, False, np.zeros(len(lo), np.int64), [[]] * len(lo))
-    lo, hi = runs(line, rules.paragraph_words)
-    sets = [np.unique(shingle_hashes(part.hashes[a:b], rules.shingle_words)) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-    bands = [hasher.band_keys(hasher.samples(x)) for x in sets]
-    yield columns(lo, hi, True, np.array([len(x) for x in sets], np.int64), bands)
+    lo, hi = runs(line, max(rules.paragraph_words, rules.shingle_words))
+    if not len(lo):
+        return
+    # all shingles of the slice, then those of each paragraph one after another
+    size = hi - lo - rules.shingle_words + 1
+    begins = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(lo)), size)
+    shingles = shingle_hashes(part.hashes, rules.shingle_words)[np.arange(size.sum()) - begins[owner] + lo[owner]]
+    order = np.lexsort((shingles, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (shingles[order][1:] != shingles[order][:-1]) | (owner[1:] != owner[:-1])
+    distinct = np.bincount(owner, weights=new, minlength=len(lo)).astype(np.int64)
+    keys_of = hasher.band_keys_of_runs(shingles, begins)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * hasher.bands, pa.int32()), pa.array(keys_of.ravel()))
+    yield columns(lo, hi, True, distinct, flat)
 
 
 def _set_maker(rules: PassageRules):
     def make(batches):
+        sketcher = rules.near().sketcher()
         for batch in batches:
             wanted = batch.column("wanted")
             for part in words(batch.column("text"), lower=True):
-                nodes, sets = [], []
+                nodes, sets, sketches = [], [], []
                 for i in range(len(part)):
                     own = part.hashes[part.offsets[i] : part.offsets[i + 1]]
                     key = _text_key(own)
                     for w in wanted[part.first + i].as_py():
                         if w["text_key"] == key:
+                            members = np.unique(shingle_hashes(own[w["lo"] : w["hi"]], rules.shingle_words))
                             nodes.append(w["node"])
-                            sets.append(np.unique(shingle_hashes(own[w["lo"] : w["hi"]], rules.shingle_words)).view(np.int64))
-                yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "members": pa.array(sets, pa.list_(pa.int64()))})
+                            sets.append(members.view(np.int64))
+                            sketches.append(sketcher.sketch_of(members))
+                yield pa.record_batch(
+                    {
+                        "node": pa.array(nodes, pa.int64()),
+                        "members": pa.array(sets, pa.list_(pa.int64())),
+                        "sketch": pa.array(sketches, pa.list_(pa.int64())),
+                    }
+                )
 
     return make
 
