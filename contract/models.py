@@ -316,6 +316,24 @@ def train_all(spark, d):
     return training.run_training(windows, parallelism=4).metrics
 
 
+@query(
+    "i15_tables",
+    """SELECT unnest(['confusion', 'class_metrics', 'composition']) AS "table",
+      unnest([2 * n, 2 * n, n]) AS rows FROM
+      (SELECT count(*) AS n FROM split_frame WHERE split = 'test')""",
+)
+def training_tables(spark, d):
+    """Test rows that each evaluation table of the training run accounts for."""
+    trained = training.run_training(_stored_windows(spark, d), parallelism=4)
+    counted = {
+        "confusion": trained.confusion.agg(F.sum("count").alias("rows")),
+        "class_metrics": trained.classes.agg(F.sum(F.col("tp") + F.col("fn")).alias("rows")),
+        "composition": trained.composition.agg(F.sum("count").alias("rows")),
+    }
+    named = [df.select(F.lit(name).alias("table"), "rows") for name, df in counted.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
 # -- evaluation: labels and kNN predictions of the embeddings -----------------------
 
 

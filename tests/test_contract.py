@@ -6,10 +6,13 @@ import __spark_entry__ as entry
 from comparing import database, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLES = entry.ORACLES
+QUERIES = entry.QUERIES
 # whole training runs have their own tests
-SLOW = {"i08_logistic_grid", "i09_forest_grid", "i12_kmeans_sweep", "i15_training"}
+SLOW = {
+    "i08_logistic_grid", "i09_forest_grid", "i11_holdout_selection", "i12_kmeans_sweep",
+    "i15_training", "j08_model_summary", "j09_kmeans_scores",
+}
 
 
 @pytest.fixture(scope="module")

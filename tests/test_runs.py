@@ -47,6 +47,20 @@ def test_batch_run(spark, folders, tmp_path):
     ]
 
 
+def test_batch_run_on_one_format_and_server_logs(spark, folders, tmp_path):
+    server, out = str(tmp_path / "s"), str(tmp_path / "out")
+    tables.server_lines(spark, SF_DIR).write.partitionBy("event_type").text(server)
+    made, _ = batch.run(spark, None, folders[1], out, train=False, server_path=f"{server}/*")
+    lines = read_lines(spark, folders[1])
+    assert made.requests.count() + made.rejected.count() == lines.count()
+    assert made.rejected.count() > 0
+    assert spark.read.parquet(f"{out}/server").count() == tables.events(spark, SF_DIR).count()
+    files = spark.read.option("header", True).csv(f"{out}/reports/server_lines_per_file")
+    assert files.agg(F.sum("lines")).first()[0] == tables.events(spark, SF_DIR).count()
+    with pytest.raises(Exception, match="(?i)already exists"):
+        batch.run(spark, None, folders[1], out, train=False)
+
+
 @pytest.mark.parametrize("slide", [None, "12 hours"])
 def test_stream_equals_batch_on_closed_windows(spark, folders, tmp_path, slide):
     settings = dict(limits=tables.DAY_LIMITS, duration="1 day", slide=slide)

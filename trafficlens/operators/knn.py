@@ -15,22 +15,18 @@ Neighbours are ordered by distance, then id, so results are repeatable.
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trafficlens.shipping import ship_package
 from trafficlens.sources.sinks import cut
 from trafficlens.sources.workspace import scratch_path
 
-# the task functions travel with the job, so executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # share of the vector lengths that covers rounding in distances taken through dot products
 _SLACK = 1e-6
 # distances held at once inside a task
@@ -165,11 +161,24 @@ def nearest_vectors(
 ) -> DataFrame:
     """(features, neighbours) per distinct query vector, nearest first.
 
-    ``neighbours`` is an array of up to k (distance, id, label). Runs jobs; its
+    ``neighbours`` is an array of up to k (distance, id, label). Null vectors, vectors
+    with a null or non-finite component, and those of another length than the training
+    vectors' greatest one take no part. This is an action: it runs jobs, and its
     intermediate tables go to the shared scratch folder.
     """
     spark = train.sparkSession
+    ship_package(spark)
     vector = F.col(features).cast("array<double>").alias("features")
+    sound = F.coalesce(
+        F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
+        F.lit(False),
+    )
+    train = train.filter(sound)
+    longest = train.agg(F.max(F.size(features))).first()[0]
+    if longest is None:
+        raise ValueError("no training vectors")
+    train = train.filter(F.size(features) == longest)
+    queries = queries.filter(sound & (F.size(features) == longest))
     copies = Window.partitionBy("features").orderBy("id")
     kept = (
         train.select(F.col(id_column).alias("id"), F.col(label).alias("label"), vector)
@@ -179,8 +188,6 @@ def nearest_vectors(
     kept = cut(kept, scratch_path(spark, "knn-vectors"))
     distinct = kept.filter(F.col("copy") == 1)
     shape = distinct.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("dims")).first()
-    if shape["n"] == 0:
-        raise ValueError("no training vectors")
 
     # pivots: a uniform pick by hash, the same one on every run
     wanted = _pivot_count(shape["n"], shape["dims"], k, max_pivots)
@@ -307,8 +314,8 @@ def classify_others(points: DataFrame, ks: Sequence[int] = (5,), **options) -> D
 
 def _join_back(rows: DataFrame, found: DataFrame, features: str) -> DataFrame:
     """Attach each row's answer; answers are unique, so adaptive skew splitting of the
-    row side is enough when one vector has very many copies."""
+    row side is enough when one vector has very many copies. A row whose vector took no
+    part stays, without neighbours."""
     answers = found.withColumnRenamed("features", "_vector")
-    return rows.join(answers, F.col(features).cast("array<double>") == F.col("_vector")).drop(
-        "_vector"
-    )
+    same = F.col(features).cast("array<double>") == F.col("_vector")
+    return rows.join(answers, same, "left").drop("_vector")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +13,23 @@ from trafficlens.schema import check_schema
 from trafficlens.sources.text import PathOrPaths, read_lines
 
 
-def access_rows(common_lines: DataFrame, combined_lines: DataFrame) -> DataFrame:
-    return check_schema(
-        clean.merge(
-            clean.clean(parse.parse_common(common_lines)),
-            clean.clean(parse.parse_combined(combined_lines)),
-        )
-    )
-
-
-def rejected_lines(common_lines: DataFrame, combined_lines: DataFrame) -> DataFrame:
+def access_rows(
+    common_lines: DataFrame | None = None, combined_lines: DataFrame | None = None
+) -> DataFrame:
+    """Access rows of one or both formats."""
+    parsed = []
+    if common_lines is not None:
+        parsed.append(parse.parse_common(common_lines))
+    if combined_lines is not None:
+        parsed.append(parse.parse_combined(combined_lines))
+    if not parsed:
+        raise ValueError("no lines of either format")
+    return check_schema(clean.merge(*map(clean.clean, parsed)))
+
+
+def rejected_lines(
+    common_lines: DataFrame | None = None, combined_lines: DataFrame | None = None
+) -> DataFrame:
     """(value, source) of every line that is not in ``access_rows``."""
     rejected = [
         parse.quarantine(lines.select("value"), fmt).withColumn("source", F.lit(source))
@@ -28,11 +37,22 @@ def rejected_lines(common_lines: DataFrame, combined_lines: DataFrame) -> DataFr
             (common_lines, parse.COMMON, fixed.ACCESS_SOURCE),
             (combined_lines, parse.COMBINED, fixed.WEB_SERVER_SOURCE),
         )
+        if lines is not None
     ]
-    return rejected[0].unionByName(rejected[1])
+    return reduce(DataFrame.unionByName, rejected)
+
+
+def lines_of(
+    spark: SparkSession, common_path: PathOrPaths | None, combined_path: PathOrPaths | None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    return tuple(
+        read_lines(spark, path) if path else None for path in (common_path, combined_path)
+    )
 
 
 def read_access(
-    spark: SparkSession, common_path: PathOrPaths, combined_path: PathOrPaths
+    spark: SparkSession,
+    common_path: PathOrPaths | None = None,
+    combined_path: PathOrPaths | None = None,
 ) -> DataFrame:
-    return access_rows(read_lines(spark, common_path), read_lines(spark, combined_path))
+    return access_rows(*lines_of(spark, common_path, combined_path))

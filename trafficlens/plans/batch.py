@@ -11,9 +11,11 @@ from trafficlens.functions.rules import Thresholds
 from trafficlens.operators.enrich import enrich, request_profile
 from trafficlens.operators.windows import client_windows
 from trafficlens.plans import reports, training
-from trafficlens.plans.access import read_access
+from trafficlens.plans.access import access_rows, lines_of, rejected_lines
+from trafficlens.plans.server import read_typed_server
+from trafficlens.schema import ACCESS_SCHEMA, null_violations
 from trafficlens.sources.sinks import cut, write_csv
-from trafficlens.sources.text import PathOrPaths
+from trafficlens.sources.text import PathOrPaths, lines_per_file
 
 
 @dataclass
@@ -26,12 +28,13 @@ class Tables:
     profile: DataFrame
     clients: DataFrame
     endpoints: DataFrame
+    rejected: DataFrame
 
 
 def build_tables(
     spark: SparkSession,
-    common_path: PathOrPaths,
-    combined_path: PathOrPaths,
+    common_path: PathOrPaths | None,
+    combined_path: PathOrPaths | None,
     folder: str,
     limits: Thresholds = Thresholds(),
     duration: str = "1 minute",
@@ -43,15 +46,16 @@ def build_tables(
     profile and totals then read only the columns they need from it, and a lost
     executor costs the tasks it was running, not the parse.
     """
-    rows = read_access(spark, common_path, combined_path)
-    requests = cut(enrich(rows, zone), f"{folder}/requests")
+    lines = lines_of(spark, common_path, combined_path)
+    requests = cut(enrich(access_rows(*lines), zone), f"{folder}/requests")
+    rejected = cut(rejected_lines(*lines), f"{folder}/rejected")
     windows = cut(client_windows(requests, limits, duration), f"{folder}/windows")
     profile = cut(request_profile(requests), f"{folder}/profile")
     clients = cut(reports.client_totals(requests), f"{folder}/clients")
     endpoints = cut(
         requests.groupBy("endpoint").agg(F.count("*").alias("requests")), f"{folder}/endpoints"
     )
-    return Tables(requests, windows, profile, clients, endpoints)
+    return Tables(requests, windows, profile, clients, endpoints, rejected)
 
 
 def report_tables(tables: Tables) -> dict[str, DataFrame]:
@@ -89,21 +93,31 @@ def report_tables(tables: Tables) -> dict[str, DataFrame]:
         "peak_error_hours": reports.peak_error_hours(p),
         "anomaly_distribution": reports.anomaly_distribution(w),
         "run_stats": reports.run_stats(p, w),
+        "rejected_lines": reports.sources(tables.rejected),
+        "conformance": null_violations(tables.requests.select(*ACCESS_SCHEMA.names)),
     }
 
 
 def run(
     spark: SparkSession,
-    common_path: PathOrPaths,
-    combined_path: PathOrPaths,
+    common_path: PathOrPaths | None,
+    combined_path: PathOrPaths | None,
     folder: str,
     limits: Thresholds = Thresholds(),
     duration: str = "1 minute",
     zone: str | None = None,
     train: bool = True,
     parallelism: int = 1,
+    server_path: PathOrPaths | None = None,
 ) -> tuple[Tables, training.Trained | None]:
-    """Tables as parquet, reports as CSV and, with ``train``, models below ``folder``."""
+    """Tables as parquet, reports as CSV and, with ``train``, models below ``folder``.
+
+    Either access log may be None. With ``server_path`` the typed server-log rows and
+    their lines per file are written too. Nothing that is in ``folder`` is replaced.
+    """
+    if server_path is not None:
+        cut(read_typed_server(spark, server_path), f"{folder}/server")
+        write_csv(lines_per_file(spark, server_path), f"{folder}/reports/server_lines_per_file")
     tables = build_tables(spark, common_path, combined_path, folder, limits, duration, zone)
     for name, table in report_tables(tables).items():
         write_csv(table, f"{folder}/reports/{name}")
@@ -114,4 +128,7 @@ def run(
     )
     write_csv(trained.metrics.coalesce(1), f"{folder}/reports/model_metrics")
     write_csv(trained.kmeans_scores.coalesce(1), f"{folder}/reports/kmeans_scores")
+    write_csv(trained.confusion.coalesce(1), f"{folder}/reports/confusion_matrices")
+    write_csv(trained.classes.coalesce(1), f"{folder}/reports/class_metrics")
+    write_csv(trained.composition.coalesce(1), f"{folder}/reports/cluster_composition")
     return tables, trained

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -27,7 +27,6 @@ from trafficlens.operators.features import (
     model_frame,
 )
 from trafficlens.operators.split import window_split
-from trafficlens.sources.sinks import cut
 from trafficlens.sources.workspace import scratch_path
 
 Params = dict[str, Any]
@@ -206,6 +205,9 @@ class Trained:
     metrics: DataFrame
     kmeans_scores: DataFrame
     baseline: DataFrame
+    confusion: DataFrame
+    classes: DataFrame
+    composition: DataFrame
 
 
 def prepare(windows: DataFrame, features: Sequence[str] = fixed.NUMERIC_FEATURES):
@@ -264,42 +266,52 @@ def run_training(
 ) -> Trained:
     """Fit, select, evaluate and, with ``save_to``, save all models.
 
-    The scaled frame is written once and persisted for all fits: the hundreds of small
-    jobs of an iterative fit start from those files instead of carrying the plan of the
-    windows, and so does the recovery of a lost executor.
+    The scaled frame is written once, one folder for each split: the hundreds of small
+    jobs of an iterative fit start from the files of their split instead of carrying the
+    plan of the windows, and so does the recovery of a lost executor.
     """
     spark = windows.sparkSession
     stages, scaled = prepare(windows, features)
-    scaled = cut(scaled, scratch_path(spark, "scaled-windows"))
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        train, validation, test = (part(scaled, s) for s in ("train", "validation", "test"))
-        logistic = train_logistic(train, validation, logistic_grid, parallelism=parallelism)
-        forest = train_forest(train, validation, forest_grid, parallelism=parallelism)
-        kmeans = train_kmeans(train, validation, ks, parallelism=parallelism)
-        summary = (
-            supervised_metrics("Logistic Regression", logistic.model, test)
-            .unionByName(supervised_metrics("Random Forest", forest.model, test))
-            .unionByName(
-                cluster_metrics(f"K-Means (k={kmeans.params['k']})", kmeans.model, test)
-            )
-        )
-        # three rows and one row: kept as values, so they outlive the persisted frame
-        summary = spark.createDataFrame(summary.collect(), summary.schema)
-        baseline = metrics.baseline_metrics(test)
-        baseline = spark.createDataFrame(baseline.collect(), baseline.schema)
-        trained = Trained(
-            stages=stages,
-            logistic=logistic,
-            forest=forest,
-            kmeans=kmeans,
-            label_names=list(stages.stages[0].labels),
-            metrics=summary,
-            kmeans_scores=kmeans_scores(kmeans, spark),
-            baseline=baseline,
+    path = scratch_path(spark, "scaled-windows")
+    scaled.write.partitionBy("split").parquet(path)
+    scaled = spark.read.schema(scaled.schema).parquet(path)
+    train, validation, test = (part(scaled, s) for s in ("train", "validation", "test"))
+    logistic = train_logistic(train, validation, logistic_grid, parallelism=parallelism)
+    forest = train_forest(train, validation, forest_grid, parallelism=parallelism)
+    kmeans = train_kmeans(train, validation, ks, parallelism=parallelism)
+    cluster_name = f"K-Means (k={kmeans.params['k']})"
+    summary = supervised_metrics("Logistic Regression", logistic.model, test).unionByName(
+        supervised_metrics("Random Forest", forest.model, test)
+    )
+    summary = summary.unionByName(cluster_metrics(cluster_name, kmeans.model, test))
+    first, second = (
+        metrics.confusion(chosen.model.transform(test)).withColumn("model", F.lit(name))
+        for name, chosen in (("Logistic Regression", logistic), ("Random Forest", forest))
+    )
+    confusion = first.unionByName(second)
+    # a handful of rows each: kept as values, so that looking at them scores nothing again
+    summary, confusion, composition, baseline = (
+        spark.createDataFrame(df.collect(), df.schema)
+        for df in (
+            summary,
+            confusion,
+            metrics.cluster_composition(kmeans.model.transform(test)),
+            metrics.baseline_metrics(test),
         )
-    finally:
-        scaled.unpersist()
+    )
+    trained = Trained(
+        stages=stages,
+        logistic=logistic,
+        forest=forest,
+        kmeans=kmeans,
+        label_names=list(stages.stages[0].labels),
+        metrics=summary,
+        kmeans_scores=kmeans_scores(kmeans, spark),
+        baseline=baseline,
+        confusion=confusion,
+        classes=metrics.class_metrics(confusion, "model"),
+        composition=composition,
+    )
     if save_to is not None:
         save_models(trained, save_to)
     return trained

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Header, no index. For report-sized frames; ordered frames keep their order."""
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """Header, no index. For report-sized frames; ordered frames keep their order.
+
+    Like every named target, what is there already is only replaced on request.
+    """
     df.write.mode(mode).option("header", True).csv(path)
     return path
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Parquet, for frames that grow with the log."""
     df.write.mode(mode).parquet(path)
     return path
