@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,13 +16,35 @@ from trafficlens.shipping import ship_package
 from trafficlens.sources.workspace import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+_TEMPORARY: ContextVar[str | None] = ContextVar("temporary", default=None)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    Inside ``temporary`` the table goes when the block ends, unless it is to ``keep``
+    because a result that is yet to be computed reads it.
+    """
+    root = _TEMPORARY.get()
+    path = scratch_path(df.sparkSession, name) if keep or root is None else f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(df: DataFrame):
+    """Remove the tables stored in this block when it ends; blocks may be nested."""
+    spark = df.sparkSession
+    root = scratch_path(spark, "temporary")
+    token = _TEMPORARY.set(root)
+    try:
+        yield
+    finally:
+        _TEMPORARY.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(
     df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:

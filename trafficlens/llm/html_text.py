@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.frames import map_batches, stored, with_fields
+from trafficlens.llm.frames import map_batches, stored, temporary, with_fields
 from trafficlens.llm.words import shingle_hashes, words
 
 # What elements mean, and words in class, id and role that name side matter.
@@ -180,14 +180,16 @@ def main_text(pages: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
     pages = pages.select(*kept)
     page = F.xxhash64("page_id", "url", "html")
     plain = pages.select("url", "html", page.alias("page"))
-    suffixes = stored(map_batches(plain, _suffixes(how), "host string, prefix long, page long, block int, at int, open boolean"), "suffixes")
-    # neighbours in the sorted suffixes: equal first tokens on distinct pages of a host
-    intervals = suffixes.groupBy("host", "prefix").agg(F.min("page").alias("low"), F.max("page").alias("high"))
-    repeated = stored(intervals.filter("low <> high").select("host", "prefix"), "intervals")
-    covered = suffixes.filter("open").join(repeated, ["host", "prefix"]).groupBy("page").agg(
-        F.collect_set(F.struct("block", "at")).alias("_covered")
-    )
-    joined = pages.withColumn("page", page).join(stored(covered, "covered"), "page", "left").select(*kept, "_covered")
+    with temporary(pages):
+        suffixes = stored(map_batches(plain, _suffixes(how), "host string, prefix long, page long, block int, at int, open boolean"), "suffixes")
+        # neighbours in the sorted suffixes: equal first tokens on distinct pages of a host
+        intervals = suffixes.groupBy("host", "prefix").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+        repeated = stored(intervals.filter("low <> high").select("host", "prefix"), "intervals")
+        covered = suffixes.filter("open").join(repeated, ["host", "prefix"]).groupBy("page").agg(
+            F.collect_set(F.struct("block", "at")).alias("_covered")
+        )
+        covered = stored(covered, "covered", keep=True)
+    joined = pages.withColumn("page", page).join(covered, "page", "left").select(*kept, "_covered")
     return map_batches(joined, _extractor(how), with_fields(pages, text="string", n_chars="long"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.chars import code_points
-from trafficlens.llm.frames import map_batches, stored, with_fields
+from trafficlens.llm.frames import map_batches, stored, temporary, with_fields
 
 ORDER = 4
 EDGE, OTHER = 0, 1
@@ -228,18 +228,20 @@ def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = Perplexity
     is kept. Columns of the input with these names are replaced.
     """
     docs = docs.drop("nats", "chars", "perplexity", "threshold", "kept")
-    trusted = stored(trusted_rows(docs, labels), "trusted")
-    characters = alphabet(trusted, how)
-    counts = run_counts(trusted, characters, how)
-    tables = log_probabilities(model_parts(counts, how), how)
-    limits = stored(_limits(scored(trusted, characters, tables, how), how), "limits")
+    with temporary(docs):
+        trusted = stored(trusted_rows(docs, labels), "trusted")
+        characters = alphabet(trusted, how)
+        counts = run_counts(trusted, characters, how)
+        tables = log_probabilities(model_parts(counts, how), how)
+        limits = stored(_limits(scored(trusted, characters, tables, how), how), "limits", keep=True)
     rate = F.col("nats") / F.col("chars")
     drawn = (F.col("nats") + F.col("middle") * how.prior_chars) / (F.col("chars") + how.prior_chars)
-    general = limits.filter(F.col("_lang").isNull()).select(F.col("middle").alias("m_all"), F.col("most").alias("t_all"))
+    general = limits.filter(F.col("_lang").isNull()).first()
+    m_all, t_all = (F.lit(x).cast("double") for x in (general.middle, general.most))
     own = limits.filter(F.col("_lang").isNotNull())
     of_lang = scored(docs, characters, tables, how).withColumn("_lang", F.coalesce("lang", F.lit(NO_LANG)))
-    joined = of_lang.join(own, "_lang", "left").crossJoin(F.broadcast(general))
-    level = joined.withColumn("middle", F.coalesce("middle", "m_all", rate)).withColumn("most", F.coalesce("most", "t_all"))
+    joined = of_lang.join(own, "_lang", "left")
+    level = joined.withColumn("middle", F.coalesce("middle", m_all, rate)).withColumn("most", F.coalesce("most", t_all))
     return level.select(
         *docs.columns,
         F.when(F.col("chars") > 0, F.exp(drawn)).alias("perplexity"),
@@ -251,7 +253,9 @@ def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = Perplexity
 def _limits(trusted: DataFrame, how: PerplexityLimit) -> DataFrame:
     """(_lang, middle, most): log perplexities; a row with null _lang for all languages together."""
     rates = trusted.select(F.col("lang").alias("_lang"), (F.col("nats") / F.col("chars")).alias("rate"), "chars")
-    found = rates.rollup("_lang").agg(F.percentile_approx("rate", [0.5, how.quantile], 1000).alias("q"))
+    quantiles = F.percentile_approx("rate", [0.5, how.quantile], 1000).alias("q")
+    by_lang = rates.groupBy("_lang").agg(quantiles)
+    found = by_lang.union(rates.agg(quantiles).select(F.lit(None).cast("string"), "q"))
     middle, far = F.col("q")[0], F.col("q")[1]
     return found.select("_lang", middle.alias("middle"), (middle + how.reach * (far - middle)).alias("most"))
 

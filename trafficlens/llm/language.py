@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.chars import SPACE, folded_words
-from trafficlens.llm.frames import crc_fold, map_batches, stored, with_fields
+from trafficlens.llm.frames import crc_fold, map_batches, stored, temporary, with_fields
 
 UNDETERMINED = "und"
 HELD_OUT_FOLD = 2
@@ -146,5 +146,7 @@ def language_of(docs: DataFrame, how: Profiles = Profiles()) -> DataFrame:
     Returns all columns of ``docs`` (doc_id, text, lang) with held_out, lang_pred and score.
     """
     marked = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out())
-    profiles = stored(learned_profiles(marked.filter("NOT held_out"), how), "profiles")
-    return identified(marked, profiles, how)
+    with temporary(docs):
+        # read while the answer is being planned, not afterwards
+        profiles = stored(learned_profiles(marked.filter("NOT held_out"), how), "profiles")
+        return identified(marked, profiles, how)

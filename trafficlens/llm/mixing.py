@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.llm.frames import stored
+from trafficlens.llm.frames import stored, temporary
 
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -52,8 +52,9 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     content = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     digits = how.bits * how.levels // 4
     keyed = sized.withColumn("_hash", F.conv(F.substring(F.md5(content), 1, digits), 16, 10).cast("long"))
-    light = stored(keyed.select(_source(), "size", "_hash"), "sizes")
-    plan = stored(_thresholds(light, _targets(light, how), how), "mix")
+    with temporary(docs):
+        light = stored(keyed.select(_source(), "size", "_hash"), "sizes")
+        plan = stored(_thresholds(light, _targets(light, how), how), "mix", keep=True)
     source, given = _source().alias("_source"), F.col("size")
     copies = (F.col("whole") + F.when(F.col("_hash") <= F.col("threshold"), 1).otherwise(0)).cast("int")
     return (

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
-from trafficlens.llm.frames import map_batches, stored
+from trafficlens.llm.frames import map_batches, stored, temporary
 from trafficlens.llm.minhash import SKETCH_WORDS, MinHasher
 from trafficlens.llm.words import mix, shingle_hashes, words
 
@@ -69,21 +69,23 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     """
     ids = docs.select(F.col("doc_id").cast("long"), "text")
     rows = stored(map_batches(ids, _signer(how), _SIGNATURE), "signatures")
-    same = ["n_shingles", "set_a", "set_b"]
-    filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(
-        filled.groupBy(*same).agg(
-            F.min("doc_id").alias("node"), F.first("bands").alias("bands")
-        ),
-        "classes",
-    )
-    label = components(linked_classes(classes, lambda profile: _sets(ids, profile, how), how))
-    of_class = stored(
-        classes.select(*same, "node")
-        .join(label, "node", "left")
-        .select(*same, F.coalesce("component", "node").alias("component_id")),
-        "class-components",
-    )
+    with temporary(docs):
+        same = ["n_shingles", "set_a", "set_b"]
+        filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = stored(
+            filled.groupBy(*same).agg(
+                F.min("doc_id").alias("node"), F.first("bands").alias("bands")
+            ),
+            "classes",
+        )
+        label = components(linked_classes(classes, lambda profile: _sets(ids, profile, how), how))
+        of_class = stored(
+            classes.select(*same, "node")
+            .join(label, "node", "left")
+            .select(*same, F.coalesce("component", "node").alias("component_id")),
+            "class-components",
+            keep=True,
+        )
     with_set = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     alone = rows.filter(~with_set).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = rows.filter(with_set).select("doc_id", *same).join(of_class, same)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
-from trafficlens.llm.frames import map_batches, stored
+from trafficlens.llm.frames import map_batches, stored, temporary
 from trafficlens.shipping import ship_package
 
 _PAIR = "a long, b long, sim double, near boolean"
@@ -71,37 +71,39 @@ def near_vectors(table: DataFrame, how: Descent = Descent()) -> DataFrame:
     )
     kind = F.struct("label", F.size("embedding").alias("dim"))
     keyed = rows.filter(sound).select("vec_id", F.xxhash64(kind).alias("kind"), "embedding")
-    classes = stored(
-        keyed.groupBy("kind", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "vectors"
-    )
-    sizes = stored(classes.groupBy("kind").agg(F.count("*").alias("many")), "kinds")
-    nodes = classes.join(sizes, "kind").select("node", "kind", "many", "embedding")
-
-    found = stored(_planes(nodes, how, 0), "pairs")
-    lists, links = _best(found, how), _near(found)
-    for _ in range(how.rounds):
-        found = stored(_local_joins(lists, classes, how), "pairs")
-        links = stored(links.union(_near(found)).distinct(), "near")
-        refined = _best(lists.withColumn("near", F.lit(False)).unionByName(found), how)
-        changed = refined.join(lists, ["a", "b"], "left_anti").count()
-        lists = refined
-        if changed <= how.change * how.places * max(1, classes.count()):
-            break
-    for tried in range(1, how.tries + 1):
-        label = stored(components(links.select("a", "b")), "vector-components")
-        if _audited_recall(classes, label, how) >= how.recall or tried == how.tries:
-            break
-        links = stored(links.union(_near(_planes(nodes, how, tried))).distinct(), "near")
-
-    degree = stored(_exact_degrees(classes, label, how), "degrees")
-    of_class = classes.select("kind", "embedding", "node", "n").join(degree, "node", "left")
-    placed = of_class.select(
-        "kind",
-        "embedding",
-        (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
-    )
-    known = keyed.join(stored(placed, "placed"), ["kind", "embedding"])
+    with temporary(table):
+        classes = stored(
+            keyed.groupBy("kind", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "vectors"
+        )
+        sizes = stored(classes.groupBy("kind").agg(F.count("*").alias("many")), "kinds")
+        nodes = classes.join(sizes, "kind").select("node", "kind", "many", "embedding")
+
+        found = stored(_planes(nodes, how, 0), "pairs")
+        lists, links = _best(found, how), _near(found)
+        for _ in range(how.rounds):
+            found = stored(_local_joins(lists, classes, how), "pairs")
+            links = stored(links.union(_near(found)).distinct(), "near")
+            refined = _best(lists.withColumn("near", F.lit(False)).unionByName(found), how)
+            changed = refined.join(lists, ["a", "b"], "left_anti").count()
+            lists = refined
+            if changed <= how.change * how.places * max(1, classes.count()):
+                break
+        for tried in range(1, how.tries + 1):
+            label = stored(components(links.select("a", "b")), "vector-components")
+            if _audited_recall(classes, label, how) >= how.recall or tried == how.tries:
+                break
+            links = stored(links.union(_near(_planes(nodes, how, tried))).distinct(), "near")
+
+        degree = stored(_exact_degrees(classes, label, how), "degrees")
+        of_class = classes.select("kind", "embedding", "node", "n").join(degree, "node", "left")
+        placed = of_class.select(
+            "kind",
+            "embedding",
+            (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+            F.coalesce("component", "node").alias("component_id"),
+        )
+        placed = stored(placed, "placed", keep=True)
+    known = keyed.join(placed, ["kind", "embedding"])
     alone = rows.filter(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (
         known.select("vec_id", "n_links", "component_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.frames import map_batches, stored
+from trafficlens.llm.frames import map_batches, stored, temporary
 from trafficlens.llm.tokens import TokenBytes
 
 FAN_IN = 16
@@ -55,18 +55,19 @@ def packed(docs: DataFrame, how: Packing) -> DataFrame:
     are ignored. The offsets of a sequence run from 0 without gaps. An empty table
     gives an empty result.
     """
-    cut = stored(pieces(docs, how), "pieces")
-    buckets = -(-cut.count() // how.bucket_pieces)
-    todo = cut.withColumn("bucket", (F.col("slot") % max(1, buckets)).cast("long"))
-    done, level = [], 0
-    while True:
-        last = buckets <= 1
-        now = stored(todo.groupBy("bucket").applyInPandas(_packer(how, level, last), _PACKED), "packed")
-        done.append(now.filter("NOT open"))
-        if last:
-            break
-        buckets, level = -(-buckets // FAN_IN), level + 1
-        todo = now.filter("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
+    with temporary(docs):
+        cut = stored(pieces(docs, how), "pieces")
+        buckets = -(-cut.count() // how.bucket_pieces)
+        todo = cut.withColumn("bucket", (F.col("slot") % max(1, buckets)).cast("long"))
+        done, level = [], 0
+        while True:
+            last = buckets <= 1
+            now = stored(todo.groupBy("bucket").applyInPandas(_packer(how, level, last), _PACKED), "packed", keep=True)
+            done.append(now.filter("NOT open"))
+            if last:
+                break
+            buckets, level = -(-buckets // FAN_IN), level + 1
+            todo = now.filter("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
     out = done[0]
     for more in done[1:]:
         out = out.union(more)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
-from trafficlens.llm.frames import map_batches, stored, with_fields
+from trafficlens.llm.frames import map_batches, stored, temporary, with_fields
 from trafficlens.llm.minhash import MinHasher
 from trafficlens.llm.near_dedup import NearDuplicates, linked_classes
 from trafficlens.llm.words import Words, mix, shingle_hashes, words
@@ -65,13 +65,15 @@ def without_repeats(docs: DataFrame, rules: PassageRules = PassageRules()) -> Da
     """
     docs = docs.drop("removed_words")
     ids = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    units = stored(map_batches(ids, _splitter(rules), _UNIT), "units")
-    marked = _marked_sentences(units).withColumn("whole", F.lit(False))
-    doubled = _doubled_paragraphs(ids, units, rules).withColumn("whole", F.lit(True))
-    cuts = marked.unionByName(doubled).groupBy("doc_id").agg(
-        F.collect_list(F.struct("text_key", "lo", "hi", "whole")).alias("_cuts")
-    )
-    joined = docs.join(stored(cuts, "cuts"), "doc_id", "left").select(*docs.columns, "_cuts")
+    with temporary(docs):
+        units = stored(map_batches(ids, _splitter(rules), _UNIT), "units")
+        marked = _marked_sentences(units).withColumn("whole", F.lit(False))
+        doubled = _doubled_paragraphs(ids, units, rules).withColumn("whole", F.lit(True))
+        cuts = marked.unionByName(doubled).groupBy("doc_id").agg(
+            F.collect_list(F.struct("text_key", "lo", "hi", "whole")).alias("_cuts")
+        )
+        cuts = stored(cuts, "cuts", keep=True)
+    joined = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
     return map_batches(joined, _cutter(rules), with_fields(docs, removed_words="long"))
 
 

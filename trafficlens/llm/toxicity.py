@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.frames import map_batches, stored, with_fields
+from trafficlens.llm.frames import map_batches, stored, temporary, with_fields
 from trafficlens.llm.language import held_out
 from trafficlens.llm.words import shingle_hashes, words
 
@@ -313,12 +313,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Grammar = Grammar()) -> Da
     of the input with these names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("held_out", "score", *_FEATURES)]
-    rows = stored(training_rows(docs, labels, how), "toxic-training")
-    lexicon = stored(learned_terms(rows, how), "insults")
-    spark = docs.sparkSession
-    # a term needs proof from labelled text: as many as labels can prove, each a word or a word's beginning
-    weights = spark.sparkContext.broadcast({r.term: r.weight for r in lexicon.toLocalIterator()})
-    curve = fitted_curve(_feature_frame(rows, weights, how), how)
+    with temporary(docs):
+        rows = stored(training_rows(docs, labels, how), "toxic-training")
+        lexicon = stored(learned_terms(rows, how), "insults")
+        spark = docs.sparkSession
+        # a term needs proof from labelled text: as many as labels can prove, each a word or a word's beginning
+        weights = spark.sparkContext.broadcast({r.term: r.weight for r in lexicon.toLocalIterator()})
+        curve = fitted_curve(_feature_frame(rows, weights, how), how)
     scored = _feature_frame(docs.select(*kept), weights, how)
     inner = sum((w * x for w, x in zip(curve, _inputs(*map(F.col, _FEATURES)), strict=True)), F.lit(0.0))
     return scored.select(*kept, held_out().alias("held_out"), (1 / (1 + F.exp(-inner))).alias("score"))
