@@ -234,7 +234,7 @@ def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = Perplexity
         counts = run_counts(trusted, characters, how)
         tables = log_probabilities(model_parts(counts, how), how)
         limits = stored(_limits(scored(trusted, characters, tables, how), how), "limits", keep=True)
-    rate = F.col("nats") / F.col("chars")
+    rate = F.try_divide("nats", "chars")
     drawn = (F.col("nats") + F.col("middle") * how.prior_chars) / (F.col("chars") + how.prior_chars)
     general = limits.filter(F.col("_lang").isNull()).first()
     m_all, t_all = (F.lit(x).cast("double") for x in (general.middle, general.most))
