@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions import rules
 from trafficlens.functions.rules import Thresholds
 
+_LENGTHS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+
 
 def window_counts(
     enriched: DataFrame,
@@ -38,17 +43,20 @@ def window_counts(
         timed = timed.filter(F.col("timestamp") >= F.lit(start).cast("timestamp"))
     if end is not None:
         timed = timed.filter(F.col("timestamp") < F.lit(end).cast("timestamp"))
-    counts = timed.groupBy(key, F.window("timestamp", duration, slide)).agg(
-        F.count("*").alias("request_count"),
-        F.sum("is_error").alias("error_count"),
-        F.avg("bytes").alias("avg_bytes"),
-        endpoints.alias("unique_endpoints"),
-        F.sum("is_bot").alias("bot_requests"),
-        F.sum("is_off_hours").alias("off_hours_requests"),
-        F.count_if(level == "fatal").alias("fatal_count"),
-        F.count_if(level == "medium").alias("medium_count"),
-        F.count_if(level == "low").alias("low_count"),
-    )
+    if slide is not None and approximate is None:
+        counts = _sliding_counts(timed, duration, slide, key)
+    else:
+        counts = timed.groupBy(key, F.window("timestamp", duration, slide)).agg(
+            F.count("*").alias("request_count"),
+            F.sum("is_error").alias("error_count"),
+            F.avg("bytes").alias("avg_bytes"),
+            endpoints.alias("unique_endpoints"),
+            F.sum("is_bot").alias("bot_requests"),
+            F.sum("is_off_hours").alias("off_hours_requests"),
+            F.count_if(level == "fatal").alias("fatal_count"),
+            F.count_if(level == "medium").alias("medium_count"),
+            F.count_if(level == "low").alias("low_count"),
+        )
     measures = [c for c in counts.columns if c not in (key, "window")]
     return counts.select(
         key,
@@ -59,6 +67,54 @@ def window_counts(
     )
 
 
+def _seconds(duration: str) -> int:
+    """Length of an interval such as "1 day 6 hours"."""
+    parts = re.findall(r"(\d+)\s*(second|minute|hour|day|week)s?", duration)
+    if not parts or re.sub(r"(\d+)\s*(second|minute|hour|day|week)s?|\s", "", duration):
+        raise ValueError(f"not a length in seconds to weeks: {duration!r}")
+    return sum(int(n) * _LENGTHS[unit] for n, unit in parts)
+
+
+def _sliding_counts(timed: DataFrame, duration: str, slide: str, key: str) -> DataFrame:
+    """Requests are summed once per pane, the longest step that window length and slide
+    are multiples of; only panes are copied into the windows that hold them."""
+    pane = math.gcd(_seconds(duration), _seconds(slide))
+    level = F.col("error_severity")
+    sums = {
+        "request_count": F.count("*"),
+        "error_count": F.sum("is_error"),
+        "bot_requests": F.sum("is_bot"),
+        "off_hours_requests": F.sum("is_off_hours"),
+        "fatal_count": F.count_if(level == "fatal"),
+        "medium_count": F.count_if(level == "medium"),
+        "low_count": F.count_if(level == "low"),
+        "bytes_sum": F.sum("bytes"),
+        "bytes_known": F.count("bytes"),
+    }
+    panes = timed.groupBy(key, "endpoint", F.window("timestamp", f"{pane} seconds").alias("pane")).agg(
+        *(total.alias(name) for name, total in sums.items())
+    )
+    totals = [F.sum(name).alias(name) for name in sums]
+    begin = panes.select(key, "endpoint", F.col("pane.start").alias("begin"), *sums)
+    of_endpoint = begin.groupBy(key, "endpoint", F.window("begin", duration, slide)).agg(*totals)
+    counts = of_endpoint.groupBy(key, "window").agg(
+        *totals, F.count("endpoint").alias("unique_endpoints")
+    )
+    return counts.select(
+        key,
+        "window",
+        "request_count",
+        "error_count",
+        F.try_divide(F.col("bytes_sum").cast("double"), "bytes_known").alias("avg_bytes"),
+        "unique_endpoints",
+        "bot_requests",
+        "off_hours_requests",
+        "fatal_count",
+        "medium_count",
+        "low_count",
+    )
+
+
 def apply_rules(counts: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """Add anomaly type, severity score and severity to window measures."""
     scored = counts.select(

@@ -26,13 +26,12 @@ def stream_lines(
 def lines_per_file(spark: SparkSession, path: PathOrPaths) -> DataFrame:
     """(file, lines) for every file under ``path``, empty files included, in one job.
 
-    Empty files have no rows to count; their names come from the file listing that
-    the reader holds anyway.
+    Empty files have no rows to count; their names come from a second scan that reads
+    names only.
     """
     lines = spark.read.text(path)
-    listed = spark.createDataFrame(
-        [(name,) for name in lines.inputFiles()], "file string"
-    ).withColumn("n", F.lit(0))
+    names = spark.read.format("binaryFile").load(path)
+    listed = names.select(F.col("_metadata.file_path").alias("file"), F.lit(0).alias("n"))
     read = lines.select(F.col("_metadata.file_path").alias("file"), F.lit(1).alias("n"))
     # the two spell local paths with one and with three slashes
     name = F.regexp_replace("file", "^file:/+", "file:/").alias("file")
