@@ -31,7 +31,9 @@ def lines_per_file(spark: SparkSession, path: PathOrPaths) -> DataFrame:
     """
     lines = spark.read.text(path)
     names = spark.read.format("binaryFile").load(path)
-    listed = names.select(F.col("_metadata.file_path").alias("file"), F.lit(0).alias("n"))
+    # without a look at the path itself the reader passes empty files over
+    name = F.when(F.col("path").isNotNull(), F.col("_metadata.file_path"))
+    listed = names.select(name.alias("file"), F.lit(0).alias("n"))
     read = lines.select(F.col("_metadata.file_path").alias("file"), F.lit(1).alias("n"))
     # the two spell local paths with one and with three slashes
     name = F.regexp_replace("file", "^file:/+", "file:/").alias("file")
