@@ -13,7 +13,7 @@ import pyarrow as pa
 from trafficlens.llm.words import words
 
 # words a worker remembers; beyond it starts anew
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _LOADED: dict[str, TokenBytes] = {}
 
 
