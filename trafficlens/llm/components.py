@@ -49,7 +49,7 @@ def _parents(edges: DataFrame) -> DataFrame:
     """(node, parent) of every node, after following parents twice."""
     both = edges.union(edges.select("b", "a"))
     smallest = both.groupBy("a").agg(F.min("b").alias("b"))
-    first = stored(smallest.select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), "parents")
+    first = smallest.select(F.col("a").alias("node"), F.least("a", "b").alias("parent"))
     second = first.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
     return first.join(second, "parent", "left").select(
         "node", F.coalesce("above", "parent").alias("parent")
