@@ -7,7 +7,10 @@ import pytest
 from brute import SF
 
 from trafficlens.llm.kneser_ney import (
+    OPEN_EDGE,
     PerplexityLimit,
+    _counted_runs,
+    _runs_of_shards,
     _Scorer,
     _symbol_table,
     alphabet,
@@ -15,6 +18,7 @@ from trafficlens.llm.kneser_ney import (
     keep_fluent,
     log_probabilities,
     model_parts,
+    open_log_probabilities,
     run_counts,
 )
 
@@ -92,3 +96,36 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.kept for r in judged(odd_docs, none).collect() if r.text} == {True}
     assert judged(no_docs, labels).collect() == []
+
+
+def test_open_probabilities(spark):
+    texts = ["abab яя cab", "bca яbba", "語語a", "cc яbab", "dad abc"]
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = sorted({ord(c) for t in texts for c in t})
+    asked = [*texts, "zя語 ab", "zz"]
+    wanted = _runs_of_shards(spark.createDataFrame([(0, t) for t in asked], "_shard long, text string"))
+    got = {(r.context, r.last): r.log_p for r in open_log_probabilities(wanted, _counted_runs(trusted)).collect()}
+    # edge and unseen are symbols 0 and 1 of the plain model
+    p = plain_probability(texts, seen, len(seen) + 2)
+    place = {OPEN_EDGE: 0, **{c: i + 2 for i, c in enumerate(seen)}}
+    assert len(got) > 30
+    for (context, last), log_p in got.items():
+        run = tuple(place.get(c, 1) for c in (context >> 42, context >> 21 & 0x1FFFFF, context & 0x1FFFFF, last))
+        assert np.exp(log_p) == pytest.approx(p(run), rel=1e-9)
+
+
+def test_scores_other_scripts(spark):
+    """Shuffled Cyrillic letters beside mostly Latin text are told from fluent ones."""
+    rng = np.random.default_rng(5)
+    symbols = [chr(c) for c in range(33, 127)]
+    latin = [" ".join("".join(rng.choice(symbols, 6)) for _ in range(150)) for _ in range(60)]
+    lexicon = "дом река лес поле город человек время слово работа дорога вода книга".split()
+    fluent = [" ".join(rng.choice(lexicon, 80)) for _ in range(30)]
+    letters = sorted(set("".join(lexicon)))
+    junk = [" ".join("".join(rng.choice(letters, len(w))) for w in t.split()) for t in fluent[:10]]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([*((t, "en") for t in latin), *((t, "ru") for t in fluent), *((t, "ru") for t in junk)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(85)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in judged(docs, labels).collect()}
+    assert all(kept[i] for i in range(90))
+    assert not any(kept[i] for i in range(90, 100))

@@ -1,12 +1,16 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model is over characters: the most frequent characters of trusted text are
-symbols, all others share one, and a text's edges are a symbol too. Counts of
-four-symbol runs are summed over all trusted text; joins of those counts with the
-counts of their contexts and of their shorter ends give the probabilities. With a
-fixed number of symbols the finished table has a fixed greatest size, so every task
-can hold it and documents are scored where they are read. Thresholds are quantiles
-of trusted text by language.
+The model is over characters. Every character is a symbol, a text's edges are one too,
+and characters that trusted text lacks have the share of one more. Counts of
+four-symbol runs are summed over all trusted text and stay in tables, which grow with
+it: no part of them is broadcast or collected. Documents are dealt into shards of
+bounded size; the distinct runs of all shards are joined with the counts of runs,
+contexts and shorter ends, and every shard meets the log probabilities of its own
+runs. Thresholds are quantiles of trusted text by language.
+
+With a limit on ``symbols`` the most frequent characters have a symbol each and all
+others share one. Then the finished table has a fixed greatest size, every task can
+hold it and documents are scored where they are read.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +31,18 @@ ORDER = 4
 EDGE, OTHER = 0, 1
 # unknown language of a row
 NO_LANG = ""
+# an open run is a context of three code points of 21 bits and the code point behind it
+BITS = 21
+OPEN_EDGE = 0x110000
+# code points of a shard, and of the texts whose runs are counted at once
+SHARD_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 21
 
 
 @dataclass(frozen=True)
 class PerplexityLimit:
     """symbols: size of the alphabet, with the edge and the symbol for all other characters.
+    None gives every character its own symbol.
 
     A document is rejected if its log perplexity lies further above the trusted median
     of its language than ``reach`` times the distance from the median to the
@@ -38,7 +50,7 @@ class PerplexityLimit:
     ``prior_chars`` characters of median text came before it.
     """
 
-    symbols: int = 64
+    symbols: int | None = None
     quantile: float = 0.95
     reach: float = 3.5
     prior_chars: int = 100
@@ -49,13 +61,18 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The text is zlib-compressed UTF-8: all documents are shuffled to meet their labels.
     """
-    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"))
     given = docs.filter("doc_id IS NOT NULL AND length(text) > 0").select(
         F.col("doc_id").cast("long"), F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text"
     )
     packed = map_batches(given, _compressed, "doc_id long, lang string, text binary")
     # merged at every size: the trusted ids grow with the documents
-    return packed.join(good.filter("_q = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select("text", "lang")
+    return packed.join(_trusted_ids(labels).hint("merge"), "doc_id", "left_semi").select("text", "lang")
+
+
+def _trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of documents whose labels (doc_id, quality) all say 1."""
+    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"))
+    return good.filter("_q = 1").select("doc_id")
 
 
 def _compressed(batches):
@@ -121,6 +138,14 @@ def run_counts(trusted: DataFrame, characters: np.ndarray, how: PerplexityLimit)
     return map_batches(trusted.select("text"), count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
+def _discount(of_counts: dict[int, int]):
+    """What a run's count loses, from the numbers of runs that occur once to four times."""
+    n1, n2, n3, n4 = (of_counts.get(k, 0) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
+    steps = [max(0.0, k - (k + 1) * y * b / a) if a else y for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return F.when(F.col("n") == 1, steps[0]).when(F.col("n") == 2, steps[1]).otherwise(steps[2])
+
+
 def model_parts(counts: DataFrame, how: PerplexityLimit) -> DataFrame:
     """(size, run, share) and (size, context, kept back) of all orders, as (size, kind, key, value).
 
@@ -132,11 +157,7 @@ def model_parts(counts: DataFrame, how: PerplexityLimit) -> DataFrame:
     for size in range(ORDER, 0, -1):
         level = stored(level, f"runs-{size}")
         of_counts = {r.n: r.many for r in level.filter("n <= 4").groupBy("n").agg(F.count("*").alias("many")).collect()}
-        n1, n2, n3, n4 = (of_counts.get(k, 0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-        steps = [max(0.0, k - (k + 1) * y * b / a) if a else y for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        off = F.when(F.col("n") == 1, steps[0]).when(F.col("n") == 2, steps[1]).otherwise(steps[2])
-        runs = level.withColumn("off", off).withColumn("context", F.floor(F.col("run") / how.symbols))
+        runs = level.withColumn("off", _discount(of_counts)).withColumn("context", F.floor(F.col("run") / how.symbols))
         contexts = runs.groupBy("context").agg(F.sum("n").alias("all"), F.sum("off").alias("held"))
         shares = runs.join(contexts, "context").select(
             F.lit(size).alias("size"),
@@ -218,6 +239,210 @@ def scored(docs: DataFrame, characters: np.ndarray, tables, how: PerplexityLimit
     return map_batches(docs, score, with_fields(docs, nats="double", chars="long"))
 
 
+# -- open alphabet ----------------------------------------------------------------
+
+
+def _sharded(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with _row, a number of each row, and _shard.
+
+    Rows that are read together share a shard until it has ``SHARD_CHARS``.
+    """
+
+    def number(batches):
+        row = TaskContext.get().partitionId() << 36
+        shard, size = row, 0
+        for batch in batches:
+            shards = []
+            for i, text in enumerate(batch.column("text")):
+                n = len(text.as_py() or "")
+                if size and size + n > SHARD_CHARS:
+                    shard, size = row + i, 0
+                size += n
+                shards.append(shard)
+            rows = pa.array(np.arange(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            yield pa.record_batch(
+                [*batch.columns, rows, pa.array(shards, pa.int64())], names=[*batch.schema.names, "_row", "_shard"]
+            )
+
+    return map_batches(docs, number, with_fields(docs, _row="long", _shard="long"))
+
+
+def _open_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, last, begin of each text) of the runs of non-empty texts."""
+    edge = np.full(ORDER - 1, OPEN_EDGE, np.int64)
+    codes = [code_points(t).astype(np.int64) for t in texts]
+    x = np.concatenate([part for c in codes for part in (edge, c, edge[:1])])
+    size = np.array([len(c) + 1 for c in codes])
+    begins = np.cumsum(size) - size
+    # the runs of a text end behind its first three edges
+    at = np.arange(size.sum()) + np.repeat((ORDER - 1) * np.arange(1, len(codes) + 1), size)
+    context = x[at - 3] << 2 * BITS | x[at - 2] << BITS | x[at - 1]
+    return context, x[at], begins
+
+
+def _distinct(context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, last, n) of distinct runs."""
+    order = np.lexsort((last, context)) if len(np.unique(last)) >> 10 else None
+    if order is None:
+        # few symbols: contexts and lasts are numbered, and one key is sorted
+        contexts, of_context = np.unique(context, return_inverse=True)
+        lasts, of_last = np.unique(last, return_inverse=True)
+        key, n = np.unique(of_context * len(lasts) + of_last, return_counts=True)
+        return contexts[key // len(lasts)], lasts[key % len(lasts)], n
+    context, last = context[order], last[order]
+    new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (last[1:] != last[:-1])]))
+    return context[new], last[new], np.diff(np.append(new, len(context)))
+
+
+def _chunks(texts):
+    """Lists of non-empty texts with at most ``CHUNK_CHARS`` together, or one longer text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > CHUNK_CHARS:
+            yield part
+            part, size = [], 0
+        if text:
+            part.append(text)
+            size += len(text)
+    if part:
+        yield part
+
+
+def _counted_runs(trusted: DataFrame) -> DataFrame:
+    """(context, last, n): how often each run of any characters occurs in all trusted text."""
+
+    def count(batches):
+        for batch in batches:
+            for part in _chunks(_texts(batch)):
+                context, last, n = _distinct(*_open_runs(part)[:2])
+                yield pa.record_batch({"context": pa.array(context), "last": pa.array(last), "n": pa.array(n, pa.int64())})
+
+    found = map_batches(trusted.select("text"), count, "context long, last long, n long")
+    return found.groupBy("context", "last").agg(F.sum("n").alias("n"))
+
+
+def _shorter(size: int):
+    """The context of a run of ``size`` symbols without its first symbol."""
+    return F.col("context").bitwiseAND(F.lit((1 << BITS * (size - 2)) - 1).cast("long")) if size > 1 else F.lit(0)
+
+
+def _runs_of_shards(texts: DataFrame) -> DataFrame:
+    """Distinct (_shard, context, last) of ``texts`` (_shard, text)."""
+
+    def take(batches):
+        for batch in batches:
+            shards = batch.column("_shard").to_numpy()
+            edges = np.flatnonzero(np.diff(shards)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(shards)], strict=True):
+                for part in _chunks(_texts(batch.slice(lo, hi - lo))):
+                    context, last, _ = _distinct(*_open_runs(part)[:2])
+                    shard = pa.array(np.full(len(last), shards[lo]), pa.int64())
+                    yield pa.record_batch({"_shard": shard, "context": pa.array(context), "last": pa.array(last)})
+
+    return map_batches(texts.select("_shard", "text"), take, "_shard long, context long, last long").distinct()
+
+
+def open_log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """(context, last, log_p) of the distinct runs of ``wanted`` under the model of ``counts``."""
+    levels, needs = {ORDER: stored(counts, f"runs-{ORDER}")}, {ORDER: stored(wanted.select("context", "last").distinct(), "wanted")}
+    for size in range(ORDER - 1, 0, -1):
+        context = _shorter(size + 1).alias("context")
+        levels[size] = stored(levels[size + 1].groupBy(context, "last").agg(F.count("*").alias("n")), f"runs-{size}")
+        needs[size] = needs[size + 1].select(context, "last").distinct()
+    # all symbols seen, the edge, and one for the unseen
+    symbols = levels[1].filter(F.col("last") != OPEN_EDGE).count() + 2
+    below = None
+    for size in range(1, ORDER + 1):
+        level, need = levels[size], needs[size]
+        of_counts = {r.n: r.many for r in level.filter("n <= 4").groupBy("n").agg(F.count("*").alias("many")).collect()}
+        runs = level.withColumn("off", _discount(of_counts))
+        contexts = runs.groupBy("context").agg(F.sum("n").alias("all"), F.sum("off").alias("held"))
+        need = need.join(runs, ["context", "last"], "left")
+        if size == 1:
+            whole = contexts.first()
+            need = need.withColumns({"all": F.lit(whole["all"] if whole else 1), "held": F.lit(whole["held"] if whole else 1.0)})
+            need = need.withColumn("lower", F.lit(1.0 / symbols))
+        else:
+            need = need.join(contexts, "context", "left").withColumn("shorter", _shorter(size))
+            need = need.join(below, ["shorter", "last"])
+        p = F.coalesce((F.col("n") - F.col("off")) / F.col("all"), F.lit(0.0)) + F.coalesce(F.col("held") / F.col("all"), F.lit(1.0)) * F.col("lower")
+        level_p = stored(need.select("context", "last", p.alias("p")), f"chances-{size}")
+        below = level_p.select(F.col("context").alias("shorter"), "last", F.col("p").alias("lower"))
+    return level_p.select("context", "last", F.log("p").alias("log_p"))
+
+
+def _shard_scores(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(_row, nats, chars) of ``texts`` (_row, _shard, text) by ``known`` (_shard, context, last, log_p).
+
+    A shard's probabilities arrive before its texts, so a task holds those of one shard.
+    """
+    kinds = {"_row": "long", "text": "string", "context": "long", "last": "long", "log_p": "double"}
+
+    def rows(df):
+        return df.select("_shard", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+
+    both = rows(known).union(rows(texts)).repartition("_shard").sortWithinPartitions("_shard", F.col("_row").isNotNull())
+
+    def score(batches):
+        shard, parts, lookup = None, [], None
+        for batch in batches:
+            shards = batch.column("_shard").to_numpy()
+            is_text = batch.column("_row").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(shards) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(shards)], strict=True):
+                if hi == lo:
+                    continue
+                if shards[lo] != shard:
+                    shard, parts, lookup = shards[lo], [], None
+                piece = batch.slice(lo, hi - lo)
+                if not is_text[lo]:
+                    parts.append([piece.column(c).to_numpy(zero_copy_only=False) for c in ("context", "last", "log_p")])
+                    continue
+                lookup = lookup or _Lookup(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+                parts = []
+                at = 0
+                for part in _chunks(_texts(piece)):
+                    context, last, begins = _open_runs(part)
+                    nats = -np.add.reduceat(lookup.log_p(context, last), begins)
+                    own = piece.column("_row").slice(at, len(part))
+                    at += len(part)
+                    yield pa.record_batch({"_row": own, "nats": pa.array(nats), "chars": pa.array([len(t) for t in part], pa.int64())})
+
+    return map_batches(both, score, "_row long, nats double, chars long")
+
+
+class _Lookup:
+    """Log probabilities by run: all runs asked for are known."""
+
+    def __init__(self, context: np.ndarray, last: np.ndarray, log_p: np.ndarray):
+        self._contexts, self._lasts = np.unique(context), np.unique(last)
+        key = self._key(context, last)
+        order = np.argsort(key)
+        self._keys, self._log_p = key[order], log_p[order]
+
+    def _key(self, context, last):
+        return np.searchsorted(self._contexts, context) * len(self._lasts) + np.searchsorted(self._lasts, last)
+
+    def log_p(self, context, last):
+        return self._log_p[np.searchsorted(self._keys, self._key(context, last))]
+
+
+def _open_scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all columns of ``docs`` with nats and chars, the same of trusted rows without text)."""
+    rows = stored(_sharded(docs), "shards", keep=True)
+    texts = rows.filter("length(text) > 0").select("_row", "_shard", "text")
+    counts = _counted_runs(trusted_rows(rows, labels))
+    wanted = stored(_runs_of_shards(texts), "shard-runs")
+    known = wanted.join(open_log_probabilities(wanted, counts), ["context", "last"])
+    scores = stored(_shard_scores(texts, known), "scores", keep=True)
+    good = _trusted_ids(labels)
+    trusted = rows.select("_row", "lang", F.col("doc_id").cast("long")).join(good, "doc_id", "left_semi").join(scores, "_row")
+    none = {"nats": F.coalesce("nats", F.lit(0.0)), "chars": F.coalesce("chars", F.lit(0))}
+    every = rows.join(scores, "_row", "left").withColumns(none).drop("_row", "_shard")
+    return every, trusted.withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
+
+
 def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = PerplexityLimit()) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, lang) with perplexity, threshold and kept.
 
@@ -229,17 +454,21 @@ def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = Perplexity
     """
     docs = docs.drop("nats", "chars", "perplexity", "threshold", "kept")
     with temporary(docs):
-        trusted = stored(trusted_rows(docs, labels), "trusted")
-        characters = alphabet(trusted, how)
-        counts = run_counts(trusted, characters, how)
-        tables = log_probabilities(model_parts(counts, how), how)
-        limits = stored(_limits(scored(trusted, characters, tables, how), how), "limits", keep=True)
+        if how.symbols is None:
+            with_scores, trusted_scores = _open_scored(docs, labels)
+        else:
+            trusted = stored(trusted_rows(docs, labels), "trusted")
+            characters = alphabet(trusted, how)
+            counts = run_counts(trusted, characters, how)
+            tables = log_probabilities(model_parts(counts, how), how)
+            with_scores, trusted_scores = (scored(x, characters, tables, how) for x in (docs, trusted))
+        limits = stored(_limits(trusted_scores, how), "limits", keep=True)
     rate = F.try_divide("nats", "chars")
     drawn = (F.col("nats") + F.col("middle") * how.prior_chars) / (F.col("chars") + how.prior_chars)
     general = limits.filter(F.col("_lang").isNull()).first()
     m_all, t_all = (F.lit(x).cast("double") for x in (general.middle, general.most))
     own = limits.filter(F.col("_lang").isNotNull())
-    of_lang = scored(docs, characters, tables, how).withColumn("_lang", F.coalesce("lang", F.lit(NO_LANG)))
+    of_lang = with_scores.withColumn("_lang", F.coalesce("lang", F.lit(NO_LANG)))
     joined = of_lang.join(own, "_lang", "left")
     level = joined.withColumn("middle", F.coalesce("middle", m_all, rate)).withColumn("most", F.coalesce("most", t_all))
     return level.select(
