@@ -47,3 +47,20 @@ def test_odd_rows(spark):
     assert by_id[1] == "" and by_id[2] == "plain text" and by_id[3] == "unclosed bold" and by_id[5] == "x" and by_id[7] == ""
     assert by_id[6] == "\n".join(["w & x"] * 20000)
     assert main_text(frame.limit(0), Boilerplate()).collect() == []
+
+
+def test_side_matter_around_and_on_articles(spark):
+    body = "<div><p>" + " ".join(f"word{i}" for i in range(60)) + "</p></div>"
+    comment = '<section id="comments"><article><p>A reader says</p></article></section>'
+    rows = [
+        (1, "<article><p>The text</p></article>" + comment),
+        (2, "<article><p>The text</p></article><article class='comment depth-2'><p>Reader</p></article>"),
+        (3, body + comment),
+        (4, body + "<article><p>A teaser</p></article>"),
+        (5, "<form id='f'><article class='post has-comments'><p>The text</p></article></form>"),
+    ]
+    frame = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(frame).collect()}
+    assert got[1] == got[2] == got[5] == "The text"
+    assert got[3] == " ".join(f"word{i}" for i in range(60))
+    assert got[4].startswith("word0 word1") and got[4].endswith("A teaser")

@@ -2,7 +2,8 @@
 
 A page is read as blocks of text. Blocks inside an article or main element are its
 text; blocks in menus, headers, footers, side columns, notices, adverts, forms and
-reader comments are not. On a page without such an element the blocks outside all of
+reader comments are not, also if articles stand inside these or are comments themselves.
+On a page where such elements hold little or none of the text the blocks outside all of
 these remain, and for them the host's other pages decide: the token streams of a host's
 pages are one string, its suffixes are sorted by their first tokens, and neighbours
 that agree in all of them but stand on distinct pages belong to boilerplate. A longer
@@ -41,6 +42,9 @@ SIDE_WORDS = frozenset(
 )
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+# main blocks with a smaller part of a page's text than this do not stand for the page
+SMALL_PART = 0.25
+
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
     re.DOTALL,
@@ -66,10 +70,12 @@ class _Reader:
     text: list[str] = field(default_factory=list)
 
     def kind(self) -> str:
-        kinds = [k for _, k in self.stack if k]
-        if "side" in kinds[kinds.index("main") :] if "main" in kinds else "side" in kinds:
+        kinds = [(name, k) for name, k in self.stack if k]
+        first = next((i for i, (_, k) in enumerate(kinds) if k == "main"), None)
+        # a form around main text is that of the whole page
+        if any(k == "side" and not (name == "form" and first is not None and i < first) for i, (name, k) in enumerate(kinds)):
             return "side"
-        return "main" if "main" in kinds else "open"
+        return "open" if first is None else "main"
 
     def flush(self) -> None:
         joined = " ".join(unescape("".join(self.text)).split())
@@ -113,7 +119,7 @@ def _meaning(name: str, attributes: str) -> str | None:
     """ "main", "side" or nothing, from an element's name and attributes."""
     if name in SIDE:
         return "side"
-    if attributes and name not in ("html", "body", *CONTENT):
+    if attributes and name not in ("html", "body"):
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -122,8 +128,13 @@ def _meaning(name: str, attributes: str) -> str | None:
                 return "side"
             if key == "role" and value in ("main", "article"):
                 return "main"
-            if key in ("class", "id") and not SIDE_WORDS.isdisjoint(_WORD.findall(value)):
-                return "side"
+            if key in ("class", "id"):
+                named = _WORD.findall(value)
+                if name in CONTENT:
+                    # main text may say that it has comments; a comment is named so first
+                    named = [found[0] for x in value.split() if (found := _WORD.findall(x))]
+                if not SIDE_WORDS.isdisjoint(named):
+                    return "side"
     return "main" if name in CONTENT else None
 
 
@@ -163,6 +174,12 @@ def page_blocks(html: str | None) -> list[tuple[str, str]]:
     return reader.blocks
 
 
+def _is_small(blocks: list[tuple[str, str]]) -> bool:
+    """Whether main blocks are missing or hold little of the text outside side matter."""
+    main, other = (sum(len(text) for kind, text in blocks if kind == k) for k in ("main", "open"))
+    return main < SMALL_PART * (main + other) or not main
+
+
 def host_of(url: str | None) -> str:
     found = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", (url or "").strip(), re.IGNORECASE)
     return found[1].lower() if found else ""
@@ -202,7 +219,7 @@ def _suffixes(how: Boilerplate):
             hosts, pages, blocks, opens, texts = [], [], [], [], []
             for url, html, page in zip(*(batch.column(c) for c in ("url", "html", "page")), strict=True):
                 found = page_blocks(html.as_py())
-                bare = all(kind != "main" for kind, _ in found)
+                bare = _is_small(found)
                 host = host_of(url.as_py())
                 for k, (kind, text) in enumerate(found):
                     if kind != "main":
@@ -245,14 +262,16 @@ def _extractor(how: Boilerplate):
 def _extracted(html: str | None, covered, how: Boilerplate) -> str:
     blocks = page_blocks(html)
     main = [text for kind, text in blocks if kind == "main"]
-    if main:
+    if main and not _is_small(blocks):
         return "\n".join(main)
     drop: dict[int, set[int]] = {}
     for c in covered:
         drop.setdefault(c["block"], set()).update(range(c["at"], c["at"] + how.depth))
     kept = []
     for k, (kind, text) in enumerate(blocks):
-        if kind == "open":
+        if kind == "main":
+            kept.append(text)
+        elif kind == "open":
             # the same words as those of the suffixes: blocks hold single spaces only
             rest = " ".join(w for i, w in enumerate(text.split(" ")) if i not in drop.get(k, ()))
             if rest:
