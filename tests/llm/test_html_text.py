@@ -64,3 +64,26 @@ def test_side_matter_around_and_on_articles(spark):
     assert got[1] == got[2] == got[5] == "The text"
     assert got[3] == " ".join(f"word{i}" for i in range(60))
     assert got[4].startswith("word0 word1") and got[4].endswith("A teaser")
+
+
+def test_repeats_inside_articles(spark):
+    notice = " ".join(f"notice{i}" for i in range(25))
+    quote = " ".join(f"quote{i}" for i in range(15))
+    page = "<article><p>{}</p><p>" + notice + "</p><p>" + quote + "</p></article>"
+    own = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(5)]
+    # what lies between differs, so that the two repeats do not become one run
+    rows = [(i, "http://h/", page.format(own[i]).replace("</p><p>quote0", f"</p><p>between{i}</p><p>quote0")) for i in range(5)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{own[i]}\nbetween{i}\n{quote}" for i in range(5))
+
+
+def test_pages_that_must_agree(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    phrase = "this is an ordinary phrase that some of the writers like to use often"
+    rows = [(i, "http://pair/", f"<p>{text}</p>") for i in range(4)]
+    rows += [(10 + i, "http://big/", f"<p>a{i} b{i} c{i} {phrase if i < 3 else ''} d{i}</p>") for i in range(100)]
+    rows += [(200 + i, "http://short/", f"<p>one two three four five six own{i}</p>") for i in range(5)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text for i in range(4))
+    assert all(got[10 + i] == f"a{i} b{i} c{i} {phrase} d{i}" for i in range(3))
+    assert all(got[200 + i] == f"one two three four five six own{i}" for i in range(5))

@@ -1,19 +1,26 @@
-"""Main text of web pages: page structure, and a suffix array for each host.
+"""Main text of web pages: page structure, and repeated substrings of each host.
 
 A page is read as blocks of text. Blocks inside an article or main element are its
 text; blocks in menus, headers, footers, side columns, notices, adverts, forms and
 reader comments are not, also if articles stand inside these or are comments themselves.
-On a page where such elements hold little or none of the text the blocks outside all of
-these remain, and for them the host's other pages decide: the token streams of a host's
-pages are one string, its suffixes are sorted by their first tokens, and neighbours
-that agree in all of them but stand on distinct pages belong to boilerplate. A longer
-common prefix never covers other tokens than its parts of that depth do, so sorting to
-that depth finds all that is covered. Covered runs go, unique runs stay.
+On a page where such elements hold little or none of the text the blocks outside all
+of these remain too.
+
+The tokens of all blocks of a page are one stream. A run of tokens that many distinct
+pages of a host share is boilerplate: it goes from the blocks that remain, and inside
+main blocks if it is long. Suffixes whose first ``depth`` tokens agree are an interval of
+the host's sorted suffixes; a longer common prefix covers no other tokens than its
+parts of that depth do, so such intervals, found by a hash of host and prefix, find all
+that is covered, and covered parts that meet or overlap are one run. Most suffixes need
+not be compared: each window of ``depth`` tokens has an anchor, its least short run, and
+only windows whose anchor stands on several pages of the host can repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -23,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.frames import map_batches, stored, temporary, with_fields
-from trafficlens.llm.words import shingle_hashes, words
+from trafficlens.llm.words import mix, shingle_hashes, words
 
 # What elements mean, and words in class, id and role that name side matter.
 NO_TEXT = frozenset("head script style noscript template svg math iframe object canvas select textarea title".split())
@@ -42,6 +49,8 @@ SIDE_WORDS = frozenset(
 )
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+# words of the short runs that stand for longer ones
+ANCHOR_WORDS = 5
 # main blocks with a smaller part of a page's text than this do not stand for the page
 SMALL_PART = 0.25
 
@@ -56,9 +65,16 @@ _RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script",
 
 @dataclass(frozen=True)
 class Boilerplate:
-    """depth: tokens that must agree on two pages of a host for a run to be boilerplate."""
+    """depth: tokens that must agree on pages of a host for a run to be boilerplate.
 
-    depth: int = 6
+    main_depth: tokens of a run, of parts of that depth, that goes from main blocks too.
+    pages, share: distinct pages that must agree, at least, and as a part of the host's.
+    """
+
+    depth: int = 12
+    main_depth: int = 20
+    pages: int = 3
+    share: float = 0.05
 
 
 @dataclass
@@ -189,7 +205,7 @@ def main_text(pages: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
     """All columns of ``pages`` (page_id, url, html) with text and n_chars.
 
     Blocks are joined by line feeds. A null or empty page has an empty text. Pages
-    without a host are one host. Rows equal in all three columns are one page, so their
+    without a host are one host. Pages of equal words on a host count as one, so their
     agreement is no boilerplate. Every row is returned; columns of the input with these
     names are replaced.
     """
@@ -198,50 +214,95 @@ def main_text(pages: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
     page = F.xxhash64("page_id", "url", "html")
     plain = pages.select("url", "html", page.alias("page"))
     with temporary(pages):
-        suffixes = stored(map_batches(plain, _suffixes(how), "host string, prefix long, page long, block int, at int, open boolean"), "suffixes")
-        # neighbours in the sorted suffixes: equal first tokens on distinct pages of a host
-        intervals = suffixes.groupBy("host", "prefix").agg(F.min("page").alias("low"), F.max("page").alias("high"))
-        repeated = stored(intervals.filter("low <> high").select("host", "prefix"), "intervals")
-        covered = suffixes.filter("open").join(repeated, ["host", "prefix"]).groupBy("page").agg(
-            F.collect_set(F.struct("block", "at")).alias("_covered")
-        )
+        marks = stored(map_batches(plain, _anchors(how), "page long, content long, host long, anchor long"), "anchors")
+        sizes = marks.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+        least = stored(sizes.select("host", F.greatest(F.lit(how.pages), F.ceil(F.col("contents") * how.share)).alias("least")), "hosts")
+        # an anchor on one content only is in no repeat
+        anchors = marks.filter("anchor IS NOT NULL")
+        several = anchors.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high")
+        asked = anchors.join(several.select("anchor"), "anchor").groupBy("page").agg(F.collect_set("anchor").alias("_anchors"))
+        asked = stored(asked, "asked")
+        # suffixes that hold such an anchor within their depth; equal prefixes are an interval of the sorted suffixes
+        some = plain.join(asked, "page")
+        suffixes = stored(map_batches(some, _suffixes(how), "host long, prefix long, page long, content long, at int"), "suffixes")
+        on = suffixes.select("host", "prefix", "content").distinct().groupBy("host", "prefix").agg(F.count("*").alias("many"))
+        repeated = stored(on.join(least, "host").filter("many >= least").select("host", "prefix"), "intervals")
+        covered = suffixes.join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set("at").alias("_covered"))
         covered = stored(covered, "covered", keep=True)
     joined = pages.withColumn("page", page).join(covered, "page", "left").select(*kept, "_covered")
     return map_batches(joined, _extractor(how), with_fields(pages, text="string", n_chars="long"))
 
 
+def _streams(htmls) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, token hashes) of pages: the tokens of all blocks of a page one after another."""
+    texts = [" ".join(text for _, text in page_blocks(html.as_py())) for html in htmls]
+    for part in words(pa.array(texts, pa.string())):
+        for i in range(len(part)):
+            yield part.first + i, part.hashes[part.offsets[i] : part.offsets[i + 1]]
+
+
+def _content(own: np.ndarray) -> int:
+    spread = mix(own + np.arange(1, len(own) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return int(spread.sum(dtype=np.uint64).view(np.int64))
+
+
+def _host_key(url: str | None) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(host_of(url).encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
+
+
+def _anchored(own: np.ndarray, host: np.ndarray, how: Boilerplate) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all short runs, whether a run is the least of one of the windows of ``depth`` tokens it stands in).
+
+    A repeat of ``depth`` tokens has the same least run wherever it stands.
+    """
+    keys = mix(shingle_hashes(own, ANCHOR_WORDS) ^ host)
+    width = how.depth - ANCHOR_WORDS + 1
+    least = np.lib.stride_tricks.sliding_window_view(keys, width).min(axis=1)
+    chosen = np.zeros(len(keys), bool)
+    for step in range(width):
+        chosen[step : step + len(least)] |= keys[step : step + len(least)] == least
+    return keys, chosen
+
+
+def _anchors(how: Boilerplate):
+    """The anchors of every page; a page too short for any has one row without."""
+
+    def take(batches):
+        for batch in batches:
+            urls, pages = batch.column("url"), batch.column("page")
+            for row, own in _streams(batch.column("html")):
+                host, found = _host_key(urls[row].as_py()), np.zeros(0, np.int64)
+                if len(own) >= how.depth:
+                    keys, chosen = _anchored(own, host, how)
+                    found = np.unique(keys[chosen]).view(np.int64)
+                n = max(1, len(found))
+                same = [pages[row].as_py(), _content(own), int(host.view(np.int64)[0])]
+                columns = [pa.array(np.full(n, x, np.int64)) for x in same]
+                columns.append(pa.array(found) if len(found) else pa.nulls(1, pa.int64()))
+                yield pa.record_batch(columns, names=["page", "content", "host", "anchor"])
+
+    return take
+
+
 def _suffixes(how: Boilerplate):
-    """The first tokens of every suffix of the blocks outside main elements, and whether
-    what they cover is in question: a block in the open of a page without main text."""
+    """The first ``depth`` tokens of the suffixes of a page that hold one of its given anchors."""
 
     def take(batches):
         for batch in batches:
-            hosts, pages, blocks, opens, texts = [], [], [], [], []
-            for url, html, page in zip(*(batch.column(c) for c in ("url", "html", "page")), strict=True):
-                found = page_blocks(html.as_py())
-                bare = _is_small(found)
-                host = host_of(url.as_py())
-                for k, (kind, text) in enumerate(found):
-                    if kind != "main":
-                        hosts.append(host)
-                        pages.append(page.as_py())
-                        blocks.append(k)
-                        opens.append(bare and kind == "open")
-                        texts.append(text)
-            for part in words(pa.array(texts, pa.string())):
-                rows = {"host": [], "prefix": [], "page": [], "block": [], "at": [], "open": []}
-                for i in range(len(part)):
-                    own = part.hashes[part.offsets[i] : part.offsets[i + 1]]
-                    if len(own) < how.depth:
-                        continue
-                    prefix = shingle_hashes(own, how.depth).view(np.int64).tolist()
-                    n, row = len(prefix), part.first + i
-                    rows["prefix"] += prefix
-                    rows["at"] += range(n)
-                    for name, value in (("host", hosts), ("page", pages), ("block", blocks), ("open", opens)):
-                        rows[name] += [value[row]] * n
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-                yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
+            urls, pages, asked = batch.column("url"), batch.column("page"), batch.column("_anchors")
+            for row, own in _streams(batch.column("html")):
+                if len(own) < how.depth:
+                    continue
+                host = _host_key(urls[row].as_py())
+                keys, chosen = _anchored(own, host, how)
+                given = chosen & np.isin(keys.view(np.int64), asked[row].values.to_numpy())
+                width = how.depth - ANCHOR_WORDS + 1
+                at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(given, width).any(axis=1))
+                prefix = shingle_hashes(own, how.depth)[at]
+                same = {"page": pages[row].as_py(), "content": _content(own), "host": int(host.view(np.int64)[0])}
+                columns = {k: pa.array(np.full(len(at), x, np.int64)) for k, x in same.items()}
+                columns |= {"prefix": pa.array(prefix.view(np.int64)), "at": pa.array(at.astype(np.int32))}
+                yield pa.record_batch({k: columns[k] for k in ("host", "prefix", "page", "content", "at")})
 
     return take
 
@@ -261,19 +322,23 @@ def _extractor(how: Boilerplate):
 
 def _extracted(html: str | None, covered, how: Boilerplate) -> str:
     blocks = page_blocks(html)
-    main = [text for kind, text in blocks if kind == "main"]
-    if main and not _is_small(blocks):
-        return "\n".join(main)
-    drop: dict[int, set[int]] = {}
-    for c in covered:
-        drop.setdefault(c["block"], set()).update(range(c["at"], c["at"] + how.depth))
-    kept = []
-    for k, (kind, text) in enumerate(blocks):
-        if kind == "main":
-            kept.append(text)
-        elif kind == "open":
-            # the same words as those of the suffixes: blocks hold single spaces only
-            rest = " ".join(w for i, w in enumerate(text.split(" ")) if i not in drop.get(k, ()))
+    small = _is_small(blocks)
+    # the same tokens as those of the suffixes: blocks hold single spaces only
+    tokens = [text.split(" ") for _, text in blocks]
+    drop = np.zeros(sum(map(len, tokens)), bool)
+    for at in covered:
+        drop[at : at + how.depth] = True
+    # a run must be longer to be no text of a main block
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
+    long = np.zeros(len(drop), bool)
+    for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+        long[lo:hi] = hi - lo >= how.main_depth
+    kept, begin = [], 0
+    for (kind, _), own in zip(blocks, tokens, strict=True):
+        gone = (long if kind == "main" else drop)[begin : begin + len(own)]
+        begin += len(own)
+        if kind == "main" or (kind == "open" and small):
+            rest = " ".join(w for w, x in zip(own, gone.tolist(), strict=True) if not x)
             if rest:
                 kept.append(rest)
     return "\n".join(kept)
