@@ -68,3 +68,15 @@ def test_sketch_tells_similar_from_unlike():
         odd = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
         similarity = common / (2 * len(a) - common)
         assert (odd <= limit) == passes, (similarity, odd, limit)
+
+
+def test_sketch_keeps_pairs_at_the_threshold():
+    """By simulation: flips of differing samples fall on random bits."""
+    hasher, rng = NearDuplicates().sketcher(), np.random.default_rng(2)
+    limit, over = hasher.most_odd_bits(0.8), 0
+    for _ in range(20):
+        flips = 2 * rng.binomial(hasher.n, 0.2, 5000)
+        at = np.repeat(np.arange(5000), flips) * SKETCH_BITS + rng.integers(0, SKETCH_BITS, flips.sum())
+        bits = np.bincount(at, minlength=5000 * SKETCH_BITS).reshape(5000, SKETCH_BITS)
+        over += int(((bits & 1).sum(axis=1) > limit).sum())
+    assert over == 0
