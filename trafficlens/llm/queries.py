@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from trafficlens.llm.html_text import main_text
 from trafficlens.llm.kneser_ney import judged
 from trafficlens.llm.language import language_of
+from trafficlens.llm.merkle import folded, leaf_digest, manifest
 from trafficlens.llm.mixing import mixed
 from trafficlens.llm.near_dedup import NearDuplicates, near_duplicates
 from trafficlens.llm.neighbours import near_vectors
 from trafficlens.llm.packing import Packing, packed
 from trafficlens.llm.paragraphs import without_repeats
 from trafficlens.llm.repetition import repetition
+from trafficlens.llm.token_counts import TokenCounts, token_counts
 from trafficlens.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +146,71 @@ def op7(spark, d):
 @query("op6_main_text")
 def op6(spark, d):
     return main_text(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op11_token_counts")
+def op11(spark, d):
+    return token_counts(table(spark, d, "documents"), TokenCounts(word_tokenizer()))
+
+
+# All levels of each tree as lists, then the proofs and the folding of every document; the
+# crc32 of the decimal doc_id is taken bit by bit.
+MERKLE_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, c FROM (
+    WITH RECURSIVE t AS (SELECT i::UBIGINT AS i, i::UBIGINT AS c, 0 AS k FROM range(256) r(i)
+      UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8)
+    SELECT i, c FROM t WHERE k = 8)),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits),
+docs AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+      lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)), 4294967295::UBIGINT) % 7 = 0 AS tampered
+  FROM documents, crc_table),
+parts AS (SELECT doc_id, lang, n_chars, tampered,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+    coalesce(strlen(text) || ':' || text, '-') AS back FROM docs),
+leaves AS (SELECT doc_id, lang, sha256(front || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || back) AS leaf,
+    sha256(front || coalesce(strlen(CAST(n_chars + CAST(coalesce(tampered, false) AS INT) AS VARCHAR)) || ':'
+      || (n_chars + CAST(coalesce(tampered, false) AS INT)), '-') || back) AS claim FROM parts),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS node FROM leaves),
+trees AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, list(leaf ORDER BY node) AS nodes
+  FROM placed GROUP BY lang),
+levels AS (SELECT tree, 0 AS level, nodes FROM trees
+  UNION ALL SELECT tree, level + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)]
+  FROM levels WHERE len(nodes) > 1),
+subroots AS (SELECT tree, nodes[1] AS subroot FROM levels WHERE len(nodes) = 1),
+tops AS (SELECT 0 AS level, (SELECT list(subroot ORDER BY tree) FROM subroots) AS nodes
+  UNION ALL SELECT level + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)]
+  FROM tops WHERE len(nodes) > 1),
+-- one list of steps for each document: below its subroot, then above it
+steps AS (
+  SELECT p.doc_id, p.lang, p.node AS leaf_node, l.level AS step, p.node >> l.level AS place, l.nodes
+  FROM placed p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang JOIN levels l ON l.tree = t.tree WHERE len(l.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.node, 1000 + l.level, t.tree >> l.level, l.nodes
+  FROM placed p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang JOIN tops l ON len(l.nodes) > 1),
+proofs AS (SELECT lang, leaf_node,
+    list({'odd': place & 1, 'other': coalesce(nodes[CAST(xor(place, 1) AS BIGINT) + 1], '')} ORDER BY step) AS path
+  FROM steps GROUP BY ALL),
+joined AS (SELECT p.*, s.subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root, coalesce(path, []) AS path
+  FROM placed p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang JOIN subroots s ON s.tree = t.tree
+  LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.node = q.leaf_node),
+found AS (SELECT doc_id, leaf, subroot, root, sha256(list_reduce(list_prepend('', [x.other FOR x IN path]), lambda a, b: a || b)) AS proof_sha256,
+    list_reduce(list_prepend({'odd': 0::BIGINT, 'other': claim}, path),
+      lambda a, b: {'odd': 0::BIGINT, 'other': sha256(CASE WHEN b.odd = 1 THEN b.other || a.other ELSE a.other || b.other END)}).other AS folded_root
+  FROM joined)
+SELECT *, folded_root = root AS verified FROM found
+"""
+
+
+@query("op13_merkle_proofs", MERKLE_SQL)
+def op13(spark, d):
+    docs = table(spark, d, "documents")
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    # a decimal, so that the greatest long has a successor
+    n_chars = F.col("n_chars").cast("decimal(20, 0)") + F.when(altered, 1).otherwise(0)
+    claim = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars.cast("decimal(20, 0)"), F.col("text"))
+    found = folded(manifest(docs, claims={"tampered": claim}), ["tampered"])
+    as_text = (F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root"))
+    return found.select("doc_id", *as_text, "proof_sha256", F.col("tampered_root").alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )
