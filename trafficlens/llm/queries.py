@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.collocations import collocations
 from trafficlens.llm.html_text import main_text
 from trafficlens.llm.kneser_ney import judged
 from trafficlens.llm.language import language_of
@@ -214,3 +215,31 @@ def op13(spark, d):
     return found.select("doc_id", *as_text, "proof_sha256", F.col("tampered_root").alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root")
     )
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS words
+  FROM listed, range(1, 4) t(k) WHERE len(w) >= k),
+counts AS (SELECT lang, words, list_aggregate(words, 'string_agg', ' ') AS phrase, len(words) AS size, count(*)::HUGEINT AS f
+  FROM grams GROUP BY lang, words),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE size > 1 AND f >= 10),
+kept AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates d
+  WHERE d.lang = c.lang AND d.size > c.size AND (d.words[1:2] = c.words OR d.words[2:3] = c.words) AND 100 * d.f >= 50 * c.f)),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (1000000 * c.f * c.f) // (l.f * r.f) AS score
+  FROM kept c, range(1, 3) t(k), counts l, counts r
+  WHERE k < c.size AND l.lang = c.lang AND r.lang = c.lang AND l.words = c.words[1:k] AND r.words = c.words[k + 1:c.size]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASE_SQL)
+def op12(spark, d):
+    return collocations(table(spark, d, "documents"))
