@@ -77,15 +77,15 @@ def _ranked(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, Da
     return numbered, stored(parts, f"{name}-offsets"), same
 
 
-def _block(base: int, payload: list[str]):
+def _block(base: int, payload: list[str], levels: int):
     """The nodes of a block above ``base``, up to its top or the root, with their siblings."""
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         size, first = table.column("size")[0].as_py(), table.column("node")[0].as_py()
         digests, out = table.column("digest").to_pylist(), []
-        for up in range(BLOCK_LEVELS + 1):
-            top = up == BLOCK_LEVELS or size == 1
+        for up in range(levels + 1):
+            top = up == levels or size == 1
             for i, digest in enumerate(digests):
                 # the last node of a level may stand alone
                 sibling = digests[i ^ 1] if not top and (i ^ 1) < len(digests) else None
@@ -115,19 +115,18 @@ def _nodes(leaves: DataFrame, payload: list[str], name: str) -> tuple[DataFrame,
     largest = leaves.agg(F.max("size")).first()[0] or 0
     height, base, made = max(largest - 1, 0).bit_length(), 0, []
     fields = {f.name: f.dataType.simpleString() for f in leaves.schema.fields}
+    sizes = stored(leaves.select("tree", F.col("size").alias("whole")).distinct(), f"{name}-sizes")
     while True:
         carried = payload if base == 0 else []
         schema = _NODE + "".join(f", {c} {fields[c]}" for c in carried)
         blocks = leaves.select("tree", "node", "size", "digest", *carried).groupBy(
             "tree", F.shiftright("node", BLOCK_LEVELS).alias("block")
         )
-        made.append(stored(blocks.applyInArrow(_block(base, carried), schema), f"{name}-nodes", keep=base == 0))
+        made.append(stored(blocks.applyInArrow(_block(base, carried, BLOCK_LEVELS), schema), f"{name}-nodes", keep=base == 0))
         base += BLOCK_LEVELS
         if base > height:
             break
-        ups = made[-1].filter("top AND NOT root").join(
-            stored(leaves.select("tree", F.col("size").alias("whole")).distinct(), f"{name}-sizes"), "tree"
-        )
+        ups = made[-1].filter("top AND NOT root").join(sizes, "tree")
         leaves = ups.select("tree", "node", F.expr(f"shiftright(whole - 1, {base}) + 1").alias("size"), "digest")
     inner = made[0].filter("level > 0 AND (root OR NOT top)").drop(*payload)
     for more in made[1:]:
@@ -220,12 +219,12 @@ def manifest(docs: DataFrame, how: Manifest = Manifest(), claims: dict[str, Colu
             "subroots",
         )
         tops, above, levels = _nodes(subroots, ["rows"], "top")
-        whole = tops.filter("root").select("digest").union(above.filter("root").select("digest"))
+        whole = tops.filter("root").select("tree", "digest").union(above.filter("root").select("tree", "digest"))
         paths = _paths(tops, above, levels, "top").select(
-            F.col("node").alias("number"), "rows", F.col("digest").alias("subroot"), F.col("segment").alias("further")
+            "tree", F.col("node").alias("number"), "rows", F.col("digest").alias("subroot"), F.col("segment").alias("further")
         )
         # one row at most, so it may go to every task
-        paths = paths.join(F.broadcast(whole.select(F.col("digest").alias("root"), F.lit(True).alias("one"))), F.col("one"))
+        paths = paths.join(F.broadcast(whole.select("tree", F.col("digest").alias("root"))), "tree").drop("tree")
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         paths = stored(paths.join(listed.select("number", "trees"), "number").select("*", salt), "top-paths", keep=True)
         leaves = _paths(leaves, inner, height, "tree").drop("root")
