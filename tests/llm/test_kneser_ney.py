@@ -6,25 +6,18 @@ import numpy as np
 import pytest
 from brute import SF
 
+from trafficlens.llm import kneser_ney
 from trafficlens.llm.kneser_ney import (
-    OPEN_EDGE,
-    PerplexityLimit,
+    _SHARD,
+    EDGE,
+    _chunks,
     _counted_runs,
     _runs_of_shards,
-    _Scorer,
-    _symbol_table,
-    alphabet,
     judged,
     keep_fluent,
-    log_probabilities,
-    model_parts,
     open_log_probabilities,
-    run_counts,
 )
 
-SMALL = PerplexityLimit(symbols=8)
-
-
 def plain_probability(texts, characters, symbols):
     """p(run) by the definition: interpolated modified Kneser-Ney, longest order four."""
     place = {chr(c): i + 2 for i, c in enumerate(characters)}
@@ -59,22 +52,6 @@ def plain_probability(texts, characters, symbols):
     return p
 
 
-def test_probabilities(spark):
-    texts = ["abab abc cab", "bca abba", "a", "cc abab", "dad abc"]
-    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
-    characters = alphabet(trusted, SMALL)
-    tables = log_probabilities(model_parts(run_counts(trusted, characters, SMALL), SMALL), SMALL)
-    scorer = _Scorer(characters, tables, SMALL.symbols)
-    p = plain_probability(texts, characters, SMALL.symbols)
-    rng = np.random.default_rng(3)
-    for code in [*rng.integers(0, 8**4, 300).tolist(), *tables[0].tolist()]:
-        run = tuple(code // 8**k % 8 for k in (3, 2, 1, 0))
-        assert np.exp(scorer._log[code]) == pytest.approx(p(run), rel=1e-4)
-    sums = np.exp(scorer._log.astype(float)).reshape(-1, 8).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    assert _symbol_table(characters)[ord("a")] > 1
-
-
 def test_keeps_clean_and_rejects_junk(spark, sf_docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = judged(sf_docs, labels).join(labels, "doc_id").collect()
@@ -103,11 +80,11 @@ def test_open_probabilities(spark):
     trusted = spark.createDataFrame([(t,) for t in texts], "text string")
     seen = sorted({ord(c) for t in texts for c in t})
     asked = [*texts, "zя語 ab", "zz"]
-    wanted = _runs_of_shards(spark.createDataFrame([(0, t) for t in asked], "_shard long, text string"))
+    wanted = _runs_of_shards(spark.createDataFrame([(0, t) for t in asked], f"{_SHARD} long, text string"))
     got = {(r.context, r.last): r.log_p for r in open_log_probabilities(wanted, _counted_runs(trusted)).collect()}
     # edge and unseen are symbols 0 and 1 of the plain model
     p = plain_probability(texts, seen, len(seen) + 2)
-    place = {OPEN_EDGE: 0, **{c: i + 2 for i, c in enumerate(seen)}}
+    place = {EDGE: 0, **{c: i + 2 for i, c in enumerate(seen)}}
     assert len(got) > 30
     for (context, last), log_p in got.items():
         run = tuple(place.get(c, 1) for c in (context >> 42, context >> 21 & 0x1FFFFF, context & 0x1FFFFF, last))
@@ -129,3 +106,54 @@ def test_scores_other_scripts(spark):
     kept = {r.doc_id: r.kept for r in judged(docs, labels).collect()}
     assert all(kept[i] for i in range(280))
     assert not any(kept[i] for i in range(280, 290))
+
+
+def plain_perplexities(rows, trusted):
+    """{doc_id: (perplexity before drawing, characters)} by the plain model."""
+    texts = [t for d, t in rows if d in trusted and t]
+    seen = sorted({ord(c) for t in texts for c in t})
+    place = {chr(c): i + 2 for i, c in enumerate(seen)}
+    p, out = plain_probability(texts, seen, len(seen) + 2), {}
+    for d, t in rows:
+        x = [0, 0, 0, *(place.get(c, 1) for c in t or ""), 0]
+        nats = -sum(np.log(max(5e-324, p(tuple(x[i : i + 4])))) for i in range(len(x) - 3)) if t else 0.0
+        out[d] = (nats, len(t or ""))
+    return out
+
+
+def test_judged_as_a_whole(spark):
+    """Perplexity, threshold and verdict of every row against the plain model and quantiles."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "abc", "яб"], 8))) for i in range(24)] + [(24, "zzqq zq"), (25, None)]
+    trusted = set(range(18))
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d in trusted] + [(20, 0)], "doc_id long, quality int")
+    plain = plain_perplexities(rows, trusted)
+    rates = sorted(plain[d][0] / plain[d][1] for d in trusted)
+    middle, far = rates[8], rates[17]
+    most = middle + 3.5 * (far - middle)
+    for r in judged(docs, labels).collect():
+        nats, chars = plain[r.doc_id]
+        drawn = (nats + 100 * middle) / (chars + 100)
+        assert r.threshold == pytest.approx(np.exp(most), rel=1e-9)
+        assert r.perplexity == (pytest.approx(np.exp(drawn), rel=1e-9) if chars else None)
+        assert r.kept == (chars > 0 and drawn <= most + 1e-9)
+
+
+def test_chunks_of_long_texts_are_seamless(monkeypatch):
+    texts = ["abcdefghij" * 7, "", None, "xy", "q" * 30]
+    whole = [np.concatenate(x) for x in zip(*_chunks(texts), strict=True)]
+    monkeypatch.setattr(kneser_ney, "CHUNK_CHARS", 8)
+    cut = [np.concatenate(x) for x in zip(*_chunks(texts), strict=True)]
+    assert len(whole[0]) == sum(len(t) + 1 for t in texts if t)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
+def test_clashing_columns_come_back(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    names = "middle most nats chars perplexity threshold".split()
+    docs = odd_docs.selectExpr("*", *(f"size AS {n}" for n in names))
+    out = keep_fluent(docs, labels)
+    assert out.columns == docs.columns
+    assert all({r[n] for n in names} == {r["size"]} for r in out.collect())
+    assert {"middle", "most", "nats", "chars"} <= set(judged(docs, labels).columns)

@@ -25,12 +25,17 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     Inside ``temporary`` the table goes when the block ends, unless it is to ``keep``
     because a result that is yet to be computed reads it.
     """
-    root = _TEMPORARY.get()
-    path = scratch_path(df.sparkSession, name) if keep or root is None else f"{root}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name) if keep else temporary_path(df, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def temporary_path(df: DataFrame, name: str) -> str:
+    """A fresh path that goes with the enclosing ``temporary`` block, if there is one."""
+    root = _TEMPORARY.get()
+    return scratch_path(df.sparkSession, name) if root is None else f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 @contextmanager
 def temporary(df: DataFrame):
     """Remove the tables stored in this block when it ends; blocks may be nested."""

@@ -4,138 +4,69 @@ The model is over characters. Every character is a symbol, a text's edges are on
 and characters that trusted text lacks have the share of one more. Counts of
 four-symbol runs are summed over all trusted text and stay in tables, which grow with
 it: no part of them is broadcast or collected. Documents are dealt into shards of
-bounded size; the distinct runs of all shards are joined with the counts of runs,
-contexts and shorter ends, and every shard meets the log probabilities of its own
-runs. Thresholds are quantiles of trusted text by language.
-
-With a limit on ``symbols`` the most frequent characters have a symbol each and all
-others share one. Then the finished table has a fixed greatest size, every task can
-hold it and documents are scored where they are read.
+bounded size where they are read and written once, in buckets of shards. The distinct
+runs of all shards are joined with the counts of runs, contexts and shorter ends; the
+log probabilities of a shard's runs then travel to its texts, which stay where they
+are. Thresholds are quantiles of trusted text by language.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.chars import code_points
-from trafficlens.llm.frames import map_batches, stored, temporary, with_fields
+from trafficlens.llm.frames import map_batches, stored, temporary, temporary_path, with_fields
+from trafficlens.shipping import ship_package
 
 ORDER = 4
-EDGE, OTHER = 0, 1
 # unknown language of a row
 NO_LANG = ""
-# an open run is a context of three code points of 21 bits and the code point behind it
+# a run is a context of three code points of 21 bits and the code point behind it
 BITS = 21
-OPEN_EDGE = 0x110000
-# code points of a shard, and of the texts whose runs are counted at once
-SHARD_CHARS = 1 << 24
-CHUNK_CHARS = 1 << 21
+EDGE = 0x110000
+# code points of a shard, and of the texts whose runs are taken at once; bytes of a bucket
+SHARD_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 18
+BUCKET_BYTES = 1 << 24
+# runs that a task holds before it hands them on
+HELD_RUNS = 1 << 19
+LEAST = 5e-324
+# names of columns on the way, which no table of documents is expected to have
+_SHARD, _NATS, _CHARS = "__shard", "__nats", "__chars"
 
 
 @dataclass(frozen=True)
 class PerplexityLimit:
-    """symbols: size of the alphabet, with the edge and the symbol for all other characters.
-    None gives every character its own symbol.
-
-    A document is rejected if its log perplexity lies further above the trusted median
+    """A document is rejected if its log perplexity lies further above the trusted median
     of its language than ``reach`` times the distance from the median to the
     ``quantile`` of trusted text. A text of few characters is drawn towards that median as if
     ``prior_chars`` characters of median text came before it.
     """
 
-    symbols: int | None = None
     quantile: float = 0.95
     reach: float = 3.5
     prior_chars: int = 100
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, lang) of non-empty ``docs`` whose labels (doc_id, quality) all say 1.
-
-    The text is zlib-compressed UTF-8: all documents are shuffled to meet their labels.
-    """
-    given = docs.filter("doc_id IS NOT NULL AND length(text) > 0").select(
-        F.col("doc_id").cast("long"), F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text"
-    )
-    packed = map_batches(given, _compressed, "doc_id long, lang string, text binary")
-    # merged at every size: the trusted ids grow with the documents
-    return packed.join(_trusted_ids(labels).hint("merge"), "doc_id", "left_semi").select("text", "lang")
-
-
 def _trusted_ids(labels: DataFrame) -> DataFrame:
     """doc_id of documents whose labels (doc_id, quality) all say 1."""
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    return good.filter("_q = 1").select("doc_id")
-
-
-def _compressed(batches):
-    for batch in batches:
-        texts = [zlib.compress(x.as_py().encode(), 1) for x in batch.column("text")]
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "text": pa.array(texts, pa.binary())})
-
-
-def _texts(batch: pa.RecordBatch):
-    """The texts of a batch, whether compressed or not."""
-    for x in batch.column("text"):
-        value = x.as_py()
-        yield zlib.decompress(value).decode() if isinstance(value, bytes) else value
-
-
-def alphabet(trusted: DataFrame, how: PerplexityLimit) -> np.ndarray:
-    """The characters with a symbol of their own, by code point."""
-    counts = map_batches(trusted.select("text"), _count_characters, "code int, n long")
-    top = counts.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(how.symbols - 2)
-    return np.array(sorted(r.code for r in top.collect()), np.int64)
-
-
-def _count_characters(batches):
-    for batch in batches:
-        total = np.zeros(0x110000, np.int64)
-        for text in _texts(batch):
-            codes, n = np.unique(code_points(text), return_counts=True)
-            total[codes] += n
-        codes = np.flatnonzero(total)
-        yield pa.record_batch({"code": pa.array(codes.astype(np.int32)), "n": pa.array(total[codes])})
-
-
-def _symbol_table(characters: np.ndarray) -> np.ndarray:
-    table = np.full(0x110000, OTHER, np.int64)
-    table[characters] = np.arange(2, len(characters) + 2)
-    return table
+    return good.filter("_q = 1").select(F.col("doc_id").cast("long").alias("_trusted_id"))
 
 
-def _runs(text: str | None, table: np.ndarray, symbols: int) -> np.ndarray:
-    """The number of each four-symbol run; the last symbol is the one being predicted."""
-    x = np.concatenate([np.full(ORDER - 1, EDGE), table[code_points(text)], [EDGE]])
-    code = x[: -(ORDER - 1)]
-    for k in range(1, ORDER):
-        code = code * symbols + x[k : len(x) - (ORDER - 1) + k]
-    return code
-
-
-def run_counts(trusted: DataFrame, characters: np.ndarray, how: PerplexityLimit) -> DataFrame:
-    """(run, n): how often each four-symbol run occurs in all trusted text."""
-
-    def count(batches):
-        table = _symbol_table(characters)
-        for batch in batches:
-            parts, size = [], 0
-            for i, text in enumerate(_texts(batch), 1):
-                parts.append(_runs(text, table, how.symbols))
-                size += len(parts[-1])
-                if size > 1 << 22 or i == batch.num_rows:
-                    run, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.record_batch({"run": pa.array(run), "n": pa.array(n)})
-                    parts, size = [], 0
-
-    return map_batches(trusted.select("text"), count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+def _only_trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Spark sends the ids to the rows if their table is small, and else moves both."""
+    ids = _trusted_ids(labels)
+    return rows.join(ids, F.col("doc_id").cast("long") == F.col("_trusted_id"), "left_semi")
 
 
 def _discount(of_counts: dict[int, int]):
@@ -146,104 +77,9 @@ def _discount(of_counts: dict[int, int]):
     return F.when(F.col("n") == 1, steps[0]).when(F.col("n") == 2, steps[1]).otherwise(steps[2])
 
 
-def model_parts(counts: DataFrame, how: PerplexityLimit) -> DataFrame:
-    """(size, run, share) and (size, context, kept back) of all orders, as (size, kind, key, value).
-
-    kind "p": the discounted share of a run in its context. kind "g": the weight a
-    context leaves to the next shorter context. Below the longest order a run counts
-    once for each symbol seen before it.
-    """
-    parts, level = None, counts
-    for size in range(ORDER, 0, -1):
-        level = stored(level, f"runs-{size}")
-        of_counts = {r.n: r.many for r in level.filter("n <= 4").groupBy("n").agg(F.count("*").alias("many")).collect()}
-        runs = level.withColumn("off", _discount(of_counts)).withColumn("context", F.floor(F.col("run") / how.symbols))
-        contexts = runs.groupBy("context").agg(F.sum("n").alias("all"), F.sum("off").alias("held"))
-        shares = runs.join(contexts, "context").select(
-            F.lit(size).alias("size"),
-            F.lit("p").alias("kind"),
-            F.col("run").alias("key"),
-            ((F.col("n") - F.col("off")) / F.col("all")).alias("value"),
-        )
-        weights = contexts.select(F.lit(size), F.lit("g"), "context", F.col("held") / F.col("all"))
-        both = shares.union(weights)
-        parts = both if parts is None else parts.union(both)
-        shorter = F.col("run") % how.symbols ** (size - 1)
-        level = level.groupBy(shorter.alias("run")).agg(F.count("*").alias("n"))
-    return parts
-
-
-def log_probabilities(parts: DataFrame, how: PerplexityLimit) -> tuple[np.ndarray, ...]:
-    """Dense tables from the parts: a row for each symbol and order below the longest.
-
-    Returns (runs, their log probability) of the longest order and, for other runs, the
-    weights of the contexts and the log probabilities of the next order: at most
-    symbols ** 4 entries in all, whatever the corpus.
-    """
-    frame = parts.toPandas()
-    base = np.full(how.symbols, 1.0 / how.symbols)
-    for size in range(1, ORDER):
-        base = _interpolated(frame, size, base, how.symbols)
-    shares = frame[(frame["size"] == ORDER) & (frame["kind"] == "p")].sort_values("key")
-    weights = np.ones(how.symbols ** (ORDER - 1))
-    own = frame[(frame["size"] == ORDER) & (frame["kind"] == "g")]
-    weights[own["key"].to_numpy()] = own["value"].to_numpy()
-    runs = shares["key"].to_numpy(np.int64)
-    p = shares["value"].to_numpy() + weights[runs // how.symbols] * base[runs % len(base)]
-    with np.errstate(divide="ignore"):
-        return runs, np.log(p).astype(np.float32), np.log(weights).astype(np.float32), np.log(base).astype(np.float32)
-
-
-def _interpolated(frame, size: int, lower: np.ndarray, symbols: int) -> np.ndarray:
-    """Probabilities of all runs of this size, from those one shorter."""
-    weights = np.ones(symbols ** (size - 1))
-    own = frame[(frame["size"] == size) & (frame["kind"] == "g")]
-    weights[own["key"].to_numpy()] = own["value"].to_numpy()
-    runs = np.arange(symbols**size)
-    p = weights[runs // symbols] * lower[runs % len(lower)]
-    shares = frame[(frame["size"] == size) & (frame["kind"] == "p")]
-    p[shares["key"].to_numpy()] += shares["value"].to_numpy()
-    return p
-
-
-class _Scorer:
-    """Log probability of every run in one dense table."""
-
-    def __init__(self, characters, tables, symbols: int):
-        runs, seen, weights, base = tables
-        self._symbols, self._table = symbols, _symbol_table(characters)
-        self._log = (weights[:, None] + base.reshape(-1, symbols)[np.arange(symbols ** (ORDER - 1)) % symbols ** (ORDER - 2)]).ravel()
-        self._log[runs] = seen
-
-    def nats(self, text: str | None) -> tuple[float, int]:
-        """Minus the log probability of a text and the number of its characters."""
-        if not text:
-            return 0.0, 0
-        runs = _runs(text, self._table, self._symbols)
-        return float(-self._log[runs].sum(dtype=np.float64)), len(runs) - 1
-
-
-def scored(docs: DataFrame, characters: np.ndarray, tables, how: PerplexityLimit) -> DataFrame:
-    """All columns of ``docs`` (text) with nats and chars."""
-    # at most symbols ** 4 entries of eight bytes and what is far smaller
-    model = docs.sparkSession.sparkContext.broadcast((characters, tables))
-
-    def score(batches):
-        scorer = None
-        for batch in batches:
-            scorer = scorer or _Scorer(*model.value, how.symbols)
-            found = [scorer.nats(text) for text in _texts(batch)]
-            arrays = [pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
-            yield pa.record_batch([*batch.columns, *arrays], names=[*batch.schema.names, "nats", "chars"])
-
-    return map_batches(docs, score, with_fields(docs, nats="double", chars="long"))
-
-
-# -- open alphabet ----------------------------------------------------------------
-
 
 def _sharded(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with _row, a number of each row, and _shard.
+    """All columns of ``docs`` with the number of a shard.
 
     Rows that are read together share a shard until it has ``SHARD_CHARS``.
     """
@@ -253,35 +89,63 @@ def _sharded(docs: DataFrame) -> DataFrame:
         shard, size = row, 0
         for batch in batches:
             shards = []
-            for i, text in enumerate(batch.column("text")):
-                n = len(text.as_py() or "")
+            for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
                 if size and size + n > SHARD_CHARS:
                     shard, size = row + i, 0
                 size += n
                 shards.append(shard)
-            rows = pa.array(np.arange(row, row + batch.num_rows), pa.int64())
             row += batch.num_rows
-            yield pa.record_batch(
-                [*batch.columns, rows, pa.array(shards, pa.int64())], names=[*batch.schema.names, "_row", "_shard"]
-            )
-
-    return map_batches(docs, number, with_fields(docs, _row="long", _shard="long"))
-
-
-def _open_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, last, begin of each text) of the runs of non-empty texts."""
-    edge = np.full(ORDER - 1, OPEN_EDGE, np.int64)
-    codes = [code_points(t).astype(np.int64) for t in texts]
-    x = np.concatenate([part for c in codes for part in (edge, c, edge[:1])])
-    size = np.array([len(c) + 1 for c in codes])
-    begins = np.cumsum(size) - size
-    # the runs of a text end behind its first three edges
-    at = np.arange(size.sum()) + np.repeat((ORDER - 1) * np.arange(1, len(codes) + 1), size)
+            yield pa.record_batch([*batch.columns, pa.array(shards, pa.int64())], names=[*batch.schema.names, _SHARD])
+
+    return map_batches(docs, number, with_fields(docs, **{_SHARD: "long"}))
+
+
+def _in_buckets(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` in shards, written once in buckets of whole shards, and the name of that table.
+
+    Every task has shards of its own, so writing needs no shuffle, and a task that reads a
+    bucket has all rows of its shards.
+    """
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    name = f"shards_{uuid.uuid4().hex}"
+    table = _sharded(docs).write.bucketBy(max(1, -(-size // BUCKET_BYTES)), _SHARD)
+    table.option("path", temporary_path(docs, "shards")).option("compression", "zstd").saveAsTable(name)
+    return docs.sparkSession.table(name), name
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, last, text) of the runs of texts, about ``CHUNK_CHARS`` at a time.
+
+    A long text is cut; the part behind a cut sees the three symbols before it.
+    """
+    edge = np.full(ORDER - 1, EDGE, np.int64)
+    parts, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text or ""), CHUNK_CHARS):
+            codes = code_points(text[max(0, at - ORDER + 1) : at + CHUNK_CHARS]).astype(np.int64)
+            codes = np.concatenate([edge, codes] if at == 0 else [codes])
+            if at + CHUNK_CHARS >= len(text):
+                codes = np.append(codes, EDGE)
+            parts.append(codes)
+            owners.append(i)
+            size += len(codes)
+            if size > CHUNK_CHARS:
+                yield _runs(parts, owners)
+                parts, owners, size = [], [], 0
+    if parts:
+        yield _runs(parts, owners)
+
+
+def _runs(parts: list[np.ndarray], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.concatenate(parts)
+    size = np.array([len(p) - ORDER + 1 for p in parts])
+    # the runs of a part end behind its first three symbols
+    at = np.arange(size.sum()) + np.repeat((ORDER - 1) * np.arange(1, len(parts) + 1), size)
     context = x[at - 3] << 2 * BITS | x[at - 2] << BITS | x[at - 1]
-    return context, x[at], begins
+    return context, x[at], np.repeat(owners, size)
 
 
-def _distinct(context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, last, n) of distinct runs."""
     order = np.lexsort((last, context)) if len(np.unique(last)) >> 10 else None
     if order is None:
@@ -295,18 +159,32 @@ def _distinct(context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.nda
     return context[new], last[new], np.diff(np.append(new, len(context)))
 
 
-def _chunks(texts):
-    """Lists of non-empty texts with at most ``CHUNK_CHARS`` together, or one longer text."""
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-        if text:
-            part.append(text)
-            size += len(text)
-    if part:
-        yield part
+def _held(chunks) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, last, n) of distinct runs of chunks, handed on when ``HELD_RUNS`` are held."""
+    parts, size = [], 0
+    for context, last, _ in chunks:
+        parts.append(_numbered(context, last))
+        size += len(parts[-1][0])
+        if size > HELD_RUNS:
+            parts = [_summed(parts)]
+            size = len(parts[0][0])
+            if size > HELD_RUNS // 2:
+                yield parts[0]
+                parts, size = [], 0
+    if parts:
+        yield _summed(parts)
+
+
+def _summed(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    context, last, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((last, context))
+    context, last = context[order], last[order]
+    new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (last[1:] != last[:-1])]))
+    return context[new], last[new], np.add.reduceat(n[order], new)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    return (x.as_py() for x in batch.column("text"))
 
 
 def _counted_runs(trusted: DataFrame) -> DataFrame:
@@ -314,8 +192,7 @@ def _counted_runs(trusted: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for part in _chunks(_texts(batch)):
-                context, last, n = _distinct(*_open_runs(part)[:2])
+            for context, last, n in _held(_chunks(list(_texts(batch)))):
                 yield pa.record_batch({"context": pa.array(context), "last": pa.array(last), "n": pa.array(n, pa.int64())})
 
     found = map_batches(trusted.select("text"), count, "context long, last long, n long")
@@ -327,20 +204,21 @@ def _shorter(size: int):
     return F.col("context").bitwiseAND(F.lit((1 << BITS * (size - 2)) - 1).cast("long")) if size > 1 else F.lit(0)
 
 
-def _runs_of_shards(texts: DataFrame) -> DataFrame:
-    """Distinct (_shard, context, last) of ``texts`` (_shard, text)."""
+def _runs_of_shards(rows: DataFrame) -> DataFrame:
+    """Distinct (shard, context, last) of the texts of shards."""
 
     def take(batches):
         for batch in batches:
-            shards = batch.column("_shard").to_numpy()
+            shards = batch.column(_SHARD).to_numpy()
             edges = np.flatnonzero(np.diff(shards)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(shards)], strict=True):
-                for part in _chunks(_texts(batch.slice(lo, hi - lo))):
-                    context, last, _ = _distinct(*_open_runs(part)[:2])
+                if hi == lo:
+                    continue
+                for context, last, _ in _held(_chunks(list(_texts(batch.slice(lo, hi - lo))))):
                     shard = pa.array(np.full(len(last), shards[lo]), pa.int64())
-                    yield pa.record_batch({"_shard": shard, "context": pa.array(context), "last": pa.array(last)})
+                    yield pa.record_batch({_SHARD: shard, "context": pa.array(context), "last": pa.array(last)})
 
-    return map_batches(texts.select("_shard", "text"), take, "_shard long, context long, last long").distinct()
+    return map_batches(rows.select(_SHARD, "text"), take, f"{_SHARD} long, context long, last long").distinct()
 
 
 def open_log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
@@ -351,7 +229,7 @@ def open_log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
         levels[size] = stored(levels[size + 1].groupBy(context, "last").agg(F.count("*").alias("n")), f"runs-{size}")
         needs[size] = needs[size + 1].select(context, "last").distinct()
     # all symbols seen, the edge, and one for the unseen
-    symbols = levels[1].filter(F.col("last") != OPEN_EDGE).count() + 2
+    symbols = levels[1].filter(F.col("last") != EDGE).count() + 2
     below = None
     for size in range(1, ORDER + 1):
         level, need = levels[size], needs[size]
@@ -369,47 +247,8 @@ def open_log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
         p = F.coalesce((F.col("n") - F.col("off")) / F.col("all"), F.lit(0.0)) + F.coalesce(F.col("held") / F.col("all"), F.lit(1.0)) * F.col("lower")
         level_p = stored(need.select("context", "last", p.alias("p")), f"chances-{size}")
         below = level_p.select(F.col("context").alias("shorter"), "last", F.col("p").alias("lower"))
-    return level_p.select("context", "last", F.log("p").alias("log_p"))
-
-
-def _shard_scores(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(_row, nats, chars) of ``texts`` (_row, _shard, text) by ``known`` (_shard, context, last, log_p).
-
-    A shard's probabilities arrive before its texts, so a task holds those of one shard.
-    """
-    kinds = {"_row": "long", "text": "string", "context": "long", "last": "long", "log_p": "double"}
-
-    def rows(df):
-        return df.select("_shard", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
-
-    both = rows(known).union(rows(texts)).repartition("_shard").sortWithinPartitions("_shard", F.col("_row").isNotNull())
-
-    def score(batches):
-        shard, parts, lookup = None, [], None
-        for batch in batches:
-            shards = batch.column("_shard").to_numpy()
-            is_text = batch.column("_row").is_valid().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(shards) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(shards)], strict=True):
-                if hi == lo:
-                    continue
-                if shards[lo] != shard:
-                    shard, parts, lookup = shards[lo], [], None
-                piece = batch.slice(lo, hi - lo)
-                if not is_text[lo]:
-                    parts.append([piece.column(c).to_numpy(zero_copy_only=False) for c in ("context", "last", "log_p")])
-                    continue
-                lookup = lookup or _Lookup(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-                parts = []
-                at = 0
-                for part in _chunks(_texts(piece)):
-                    context, last, begins = _open_runs(part)
-                    nats = -np.add.reduceat(lookup.log_p(context, last), begins)
-                    own = piece.column("_row").slice(at, len(part))
-                    at += len(part)
-                    yield pa.record_batch({"_row": own, "nats": pa.array(nats), "chars": pa.array([len(t) for t in part], pa.int64())})
-
-    return map_batches(both, score, "_row long, nats double, chars long")
+    # a run that the model rules out has the smallest number there is
+    return level_p.select("context", "last", F.log(F.greatest("p", F.lit(LEAST))).alias("log_p"))
 
 
 class _Lookup:
@@ -428,67 +267,83 @@ class _Lookup:
         return self._log_p[np.searchsorted(self._keys, self._key(context, last))]
 
 
-def _open_scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all columns of ``docs`` with nats and chars, the same of trusted rows without text)."""
-    rows = stored(_sharded(docs), "shards", keep=True)
-    texts = rows.filter("length(text) > 0").select("_row", "_shard", "text")
-    counts = _counted_runs(trusted_rows(rows, labels))
-    wanted = stored(_runs_of_shards(texts), "shard-runs")
-    known = wanted.join(open_log_probabilities(wanted, counts), ["context", "last"])
-    scores = stored(_shard_scores(texts, known), "scores", keep=True)
-    good = _trusted_ids(labels)
-    trusted = rows.select("_row", "lang", F.col("doc_id").cast("long")).join(good, "doc_id", "left_semi").join(scores, "_row")
-    none = {"nats": F.coalesce("nats", F.lit(0.0)), "chars": F.coalesce("chars", F.lit(0))}
-    every = rows.join(scores, "_row", "left").withColumns(none).drop("_row", "_shard")
-    return every, trusted.withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
+def _scorer(kept: list[str]):
+    def score(key: tuple[pa.Scalar, ...], rows: pa.Table, known: pa.Table) -> pa.Table:
+        lookup = _Lookup(*(known.column(c).to_numpy() for c in ("context", "last", "log_p")))
+        nats = np.zeros(rows.num_rows)
+        for context, last, text in _chunks([x.as_py() for x in rows.column("text")]):
+            nats -= np.bincount(text, lookup.log_p(context, last), rows.num_rows)
+        chars = pc.fill_null(pc.utf8_length(rows.column("text")), 0).cast(pa.int64())
+        return rows.select(kept).append_column(_NATS, pa.array(nats)).append_column(_CHARS, chars)
+
+    return score
+
+
+def _scored(docs: DataFrame, labels: DataFrame, kept: list[str]) -> DataFrame:
+    """The ``kept`` columns of ``docs`` with minus the log probability and the length of the text."""
+    ship_package(docs.sparkSession)
+    rows, name = _in_buckets(docs)
+    counts = _counted_runs(_only_trusted(rows.filter("length(text) > 0"), labels))
+    wanted = stored(_runs_of_shards(rows.filter("length(text) > 0")), "shard-runs")
+    known = wanted.join(open_log_probabilities(wanted, counts), ["context", "last"]).select(_SHARD, "context", "last", "log_p")
+    schema = with_fields(docs.select(kept), **{_NATS: "double", _CHARS: "long"})
+    scored = rows.groupBy(_SHARD).cogroup(known.groupBy(_SHARD)).applyInArrow(_scorer(kept), schema)
+    scored = stored(scored, "scores", keep=True)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return scored
 
 
-def judged(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = PerplexityLimit()) -> DataFrame:
+def judged(
+    docs: DataFrame, labels: DataFrame, how: PerplexityLimit = PerplexityLimit(), with_text: bool = True
+) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, lang) with perplexity, threshold and kept.
 
     Trains on all documents that ``labels`` (doc_id, quality) trusts. perplexity is
     per character, after drawing short texts to the median. A language without trusted
     text, or none, has the quantiles of all trusted text. A null or empty text is
     rejected and has no perplexity. Without any trusted text every document with text
-    is kept. Columns of the input with these names are replaced.
+    is kept. Repeated rows are judged each by itself and count each in the model if trusted.
+    An empty table gives an empty result. A very long text is read in parts. Input columns
+    named perplexity, threshold or kept are replaced; the text itself is left out if it is
+    not wanted ``with_text``, which saves a copy.
     """
-    docs = docs.drop("nats", "chars", "perplexity", "threshold", "kept")
+    docs = docs.drop("perplexity", "threshold", "kept")
+    kept = [c for c in docs.columns if with_text or c != "text"]
     with temporary(docs):
-        if how.symbols is None:
-            with_scores, trusted_scores = _open_scored(docs, labels)
-        else:
-            trusted = stored(trusted_rows(docs, labels), "trusted")
-            characters = alphabet(trusted, how)
-            counts = run_counts(trusted, characters, how)
-            tables = log_probabilities(model_parts(counts, how), how)
-            with_scores, trusted_scores = (scored(x, characters, tables, how) for x in (docs, trusted))
-        limits = stored(_limits(trusted_scores, how), "limits", keep=True)
-    rate = F.try_divide("nats", "chars")
-    drawn = (F.col("nats") + F.col("middle") * how.prior_chars) / (F.col("chars") + how.prior_chars)
-    general = limits.filter(F.col("_lang").isNull()).first()
-    m_all, t_all = (F.lit(x).cast("double") for x in (general.middle, general.most))
-    own = limits.filter(F.col("_lang").isNotNull())
-    of_lang = with_scores.withColumn("_lang", F.coalesce("lang", F.lit(NO_LANG)))
-    joined = of_lang.join(own, "_lang", "left")
-    level = joined.withColumn("middle", F.coalesce("middle", m_all, rate)).withColumn("most", F.coalesce("most", t_all))
+        rows = _scored(docs, labels, kept)
+        limits = stored(_limits(_only_trusted(rows.filter(F.col(_CHARS) > 0), labels), how), "limits", keep=True)
+    chars, nats, middle, most = (F.col(c) for c in (_CHARS, _NATS, "__middle", "__most"))
+    general = limits.filter(F.col("__lang").isNull()).first()
+    m_all, t_all = (F.lit(x).cast("double") for x in (general["__middle"], general["__most"]))
+    own = limits.filter(F.col("__lang").isNotNull())
+    joined = rows.withColumn("__lang", F.coalesce("lang", F.lit(NO_LANG))).join(own, "__lang", "left")
+    level = joined.withColumn("__middle", F.coalesce(middle, m_all, F.try_divide(nats, chars))).withColumn(
+        "__most", F.coalesce(most, t_all)
+    )
+    drawn = (nats + middle * how.prior_chars) / (chars + how.prior_chars)
     return level.select(
-        *docs.columns,
-        F.when(F.col("chars") > 0, F.exp(drawn)).alias("perplexity"),
-        F.exp("most").alias("threshold"),
-        ((F.col("chars") > 0) & F.coalesce(drawn <= F.col("most") + 1e-9, F.lit(True))).alias("kept"),
+        *kept,
+        F.when(chars > 0, F.exp(drawn)).alias("perplexity"),
+        F.exp(most).alias("threshold"),
+        ((chars > 0) & F.coalesce(drawn <= most + 1e-9, F.lit(True))).alias("kept"),
     )
 
 
 def _limits(trusted: DataFrame, how: PerplexityLimit) -> DataFrame:
-    """(_lang, middle, most): log perplexities; a row with null _lang for all languages together."""
-    rates = trusted.select(F.col("lang").alias("_lang"), (F.col("nats") / F.col("chars")).alias("rate"), "chars")
+    """(__lang, __middle, __most): log perplexities; a row with null __lang for all languages together."""
+    rates = trusted.select(F.coalesce("lang", F.lit(NO_LANG)).alias("__lang"), (F.col(_NATS) / F.col(_CHARS)).alias("rate"))
     quantiles = F.percentile_approx("rate", [0.5, how.quantile], 1000).alias("q")
-    by_lang = rates.groupBy("_lang").agg(quantiles)
+    by_lang = rates.groupBy("__lang").agg(quantiles)
     found = by_lang.union(rates.agg(quantiles).select(F.lit(None).cast("string"), "q"))
     middle, far = F.col("q")[0], F.col("q")[1]
-    return found.select("_lang", middle.alias("middle"), (middle + how.reach * (far - middle)).alias("most"))
+    return found.select("__lang", middle.alias("__middle"), (middle + how.reach * (far - middle)).alias("__most"))
 
 
 def keep_fluent(docs: DataFrame, labels: DataFrame, how: PerplexityLimit = PerplexityLimit()) -> DataFrame:
-    """The documents that ``judged`` keeps, with the columns of ``docs``."""
-    return judged(docs, labels, how).filter("kept").select(*docs.columns)
+    """The documents that ``judged`` keeps, with the columns of ``docs``.
+
+    Columns of the input named perplexity, threshold or kept come back as they were.
+    """
+    own = {c: f"__own_{c}" for c in ("perplexity", "threshold", "kept") if c in docs.columns}
+    found = judged(docs.withColumnsRenamed(own), labels, how).filter("kept").drop("perplexity", "threshold", "kept")
+    return found.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
