@@ -118,12 +118,13 @@ def dictionary_slices(texts: pa.Array, alphabet: Alphabet, size: int, ahead: int
         text = np.searchsorted(offsets[lo : hi + 1], starts + begin, side="right") - 1
         marks = kind == 2
         marks[cuts] = True
-        pieces = np.cumsum(marks)[starts] if len(starts) else starts
+        pieces = np.searchsorted(np.flatnonzero(marks), starts, side="right")
         at = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(ends - starts, out=at[1:])
         packed = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(fold[part[inside]])]
         )
         coded = packed.dictionary_encode()
+        del part, kind, inside, marks, packed
         ids = coded.indices.to_numpy(zero_copy_only=False)
         yield Slice(lo, hi - lo, ids, text, pieces, coded.dictionary, int(np.searchsorted(starts, stop - begin)))
