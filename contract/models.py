@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contract import tables
@@ -191,24 +191,65 @@ def _splits(spark, d):
     return [training.part(scaled, s) for s in ("train", "validation", "test")]
 
 
-@query("i07_logistic_fixed")
+_SUPPORTS = """SELECT anomaly_type, count(*) AS support FROM split_frame
+  WHERE split = 'test' AND anomaly_type IN (SELECT anomaly_type FROM split_frame WHERE split = 'train')
+  GROUP BY anomaly_type"""
+
+
+@query(
+    "i07_logistic_fixed",
+    f"""SELECT anomaly_type, support, true AS in_range, true AS beats_majority FROM ({_SUPPORTS})""",
+)
 def logistic_fixed(spark, d):
-    train, validation, test = _splits(spark, d)
+    """Test windows of each class, whether its scores are possible, and whether the model is
+    right more often than the most common class would be."""
+    stages, scaled = training.prepare(_stored_windows(spark, d))
+    scaled = cut(scaled, scratch_path(spark, "scaled"))
+    train, validation, test = (training.part(scaled, s) for s in ("train", "validation", "test"))
     fixed_point = [{"regParam": 0.01, "elasticNetParam": 0.0}]
     model = training.train_logistic(train, validation, fixed_point).model
-    return metrics.weighted_metrics(metrics.confusion(model.transform(test)))
+    classes = metrics.class_metrics(metrics.confusion(model.transform(test)))
+    support = (F.col("tp") + F.col("fn")).alias("support")
+    every = Window.partitionBy()
+    rated = classes.select(
+        F.col("class").alias("label_index"),
+        support,
+        (F.least("precision", "recall", "f1") >= 0) & (F.greatest("precision", "recall", "f1") <= 1),
+        F.sum("tp").over(every) >= F.max(support).over(every),
+    ).toDF("label_index", "support", "in_range", "beats_majority")
+    return rated.join(ft.label_table(stages, spark), "label_index").filter("support > 0").select(
+        "anomaly_type", "support", "in_range", "beats_majority"
+    )
 
 
-@query("i08_logistic_grid")
+def _consistent(selection, spark):
+    """Parameters of every candidate, and whether exactly the first of the best was chosen."""
+    best = max(score for _, score, _ in selection.tried)
+    first = next(params for params, score, _ in selection.tried if score == best)
+    rows = [
+        {**params, "possible": -1.0 <= score <= 1.0, "as_scored": (params == selection.params) == (params == first)}
+        for params, score, _ in selection.tried
+    ]
+    return spark.createDataFrame(rows)
+
+
+@query(
+    "i08_logistic_grid",
+    """SELECT unnest([0.001, 0.001, 0.01, 0.01, 0.1, 0.1])::DOUBLE AS "regParam",
+      unnest([0.0, 0.5, 0.0, 0.5, 0.0, 0.5])::DOUBLE AS "elasticNetParam", true AS possible, true AS as_scored""",
+)
 def logistic_grid(spark, d):
     train, validation, _ = _splits(spark, d)
-    return training.train_logistic(train, validation, parallelism=4).table(spark)
+    return _consistent(training.train_logistic(train, validation, parallelism=4), spark)
+
+
+_FOREST_GRID = """unnest([50, 50, 100, 100])::BIGINT AS "numTrees", unnest([5, 10, 5, 10])::BIGINT AS "maxDepth\""""
 
 
-@query("i09_forest_grid")
+@query("i09_forest_grid", f"SELECT {_FOREST_GRID}, true AS possible, true AS as_scored")
 def forest_grid(spark, d):
     train, validation, _ = _splits(spark, d)
-    return training.train_forest(train, validation, parallelism=4).table(spark)
+    return _consistent(training.train_forest(train, validation, parallelism=4), spark)
 
 
 @query("i10_knn", "SELECT vec_id, label, prediction AS prediction_5 FROM knn")
@@ -224,57 +265,99 @@ def _voted(spark, d):
     )
 
 
-@query("i10_knn_grid")
+@query(
+    "i10_knn_approximate",
+    """SELECT (SELECT count(*) FROM embeddings) AS searched, true AS reported, true AS reached,
+      true AS cells_left_out""",
+)
+def knn_approximate(spark, d):
+    """An approximate search set to 95 % against the exact one over the whole table."""
+    points = tables.embeddings(spark, d)
+    names = {"id_column": "vec_id", "features": "embedding", "label": "label"}
+    exact = knn.nearest_vectors(points, points, fixed.KNN_K, **names)
+    found, how = knn.nearest_with_report(points, points, fixed.KNN_K, recall=0.95, **names)
+    ids = F.transform("neighbours", lambda n: n["id"])
+    both = exact.select("features", ids.alias("all")).join(found.select("features", ids.alias("some")), "features")
+    hits, all_ = F.sum(F.size(F.array_intersect("all", "some"))), F.sum(F.size("all"))
+    return both.agg(F.count("*").alias("searched"), (hits >= 0.9 * all_).alias("reached")).select(
+        "searched",
+        F.lit(how.recall >= 0.95).alias("reported"),
+        "reached",
+        F.lit(how.probes < how.cells).alias("cells_left_out"),
+    )
+
+
+@query("i10_knn_grid", "SELECT unnest([3, 5, 11])::BIGINT AS k, true AS possible, true AS as_scored")
 def knn_grid(spark, d):
     """k chosen on the validation windows."""
     key = F.xxhash64("ip", "window_start").alias("id")
     train, validation, _ = _splits(spark, d)
-    chosen = training.select_knn(train.select("*", key), validation.select("*", key))
-    return chosen.table(spark)
+    return _consistent(training.select_knn(train.select("*", key), validation.select("*", key)), spark)
 
 
-@query("i11_holdout_selection")
+@query(
+    "i11_holdout_selection",
+    f"""SELECT {_FOREST_GRID}, n AS rows, true AS same_score FROM
+      (SELECT count(*) AS n FROM split_frame WHERE split = 'validation')""",
+)
 def holdout_selection(spark, d):
-    """Every candidate of the forest with its score, and which one was chosen."""
+    """Every candidate's hold-out score against the same score from our own counts."""
     train, validation, _ = _splits(spark, d)
-    return training.train_forest(train, validation, parallelism=4).table(spark)
+    chosen = training.train_forest(train, validation, parallelism=4)
+    counts = [
+        metrics.confusion(model.transform(validation)).withColumn("candidate", F.lit(i))
+        for i, (_, _, model) in enumerate(chosen.tried)
+    ]
+    counts = reduce(DataFrame.unionByName, counts)
+    scored = metrics.weighted_metrics(counts, "candidate").join(
+        counts.groupBy("candidate").agg(F.sum("count").alias("rows")), "candidate"
+    )
+    given = [{**params, "candidate": i, "score": score} for i, (params, score, _) in enumerate(chosen.tried)]
+    return scored.join(spark.createDataFrame(given), "candidate").select(
+        "numTrees", "maxDepth", "rows", (F.abs(F.col("f1") - F.col("score")) < 1e-9).alias("same_score")
+    )
 
 
-@query("i12_kmeans_sweep")
+@query(
+    "i12_kmeans_sweep",
+    """SELECT unnest([3, 4, 5, 6, 7, 8])::BIGINT AS k, n AS rows, true AS possible, true AS as_scored
+      FROM (SELECT count(*) AS n FROM split_frame WHERE split = 'validation')""",
+)
 def kmeans_sweep(spark, d):
+    """Validation windows that each k puts into one of its clusters, and how k was chosen."""
     train, validation, _ = _splits(spark, d)
     sweep = training.train_kmeans(train, validation, parallelism=4)
-    return training.kmeans_scores(sweep, spark)
+    placed = [
+        model.transform(validation).agg(
+            F.lit(params["k"]).cast("long").alias("k"), F.count_if(F.col("prediction") < params["k"]).alias("rows")
+        )
+        for params, _, model in sweep.tried
+    ]
+    return reduce(DataFrame.unionByName, placed).join(_consistent(sweep, spark), "k")
 
 
 @query(
     "i13_wssse",
-    """SELECT unnest([3, 4, 5, 6, 7, 8])::INTEGER AS k, n AS rows, true AS same_cost
+    """SELECT unnest([3, 4, 5, 6, 7, 8])::INTEGER AS k, n AS rows, true AS not_above, true AS near_if_settled
       FROM (SELECT count(*) AS n FROM split_frame WHERE split = 'train')""",
 )
 def wssse(spark, d):
-    """For each k the training cost against the squared distances to the nearest centre."""
+    """The error of the returned centres against the cost that the fit reports for the ones before.
+
+    An update never makes the sum of squares greater. When the fit settled, no centre moved
+    by more than the tolerance t, so no distance changed by more: the sums differ by at
+    most 2 t sqrt(rows * cost) + rows * t * t.
+    """
     train, validation, _ = _splits(spark, d)
     sweep = training.train_kmeans(train, validation, parallelism=4)
-    compared = [_recomputed(train, params["k"], model) for params, _, model in sweep.tried]
-    return reduce(DataFrame.unionByName, compared)
-
-
-def _recomputed(train, k, model):
-    x = vector_to_array("features")
-    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    centre = F.element_at(centres, F.col("prediction") + 1)
-    squares = F.transform(F.zip_with(x, centre, lambda a, b: a - b), lambda v: v * v)
-    distance = F.aggregate(squares, F.lit(0.0), lambda total, v: total + v)
-    found = model.transform(train).agg(
-        F.count("*").alias("rows"), F.sum(distance).alias("recomputed")
-    )
-    cost = model.summary.trainingCost
-    return found.select(
-        F.lit(k).alias("k"),
-        "rows",
-        (F.abs(F.col("recomputed") - cost) <= 1e-9 * F.lit(cost)).alias("same_cost"),
-    )
+    errors, rows = training.squared_distance_sums(sweep, train), train.count()
+    out = []
+    for params, _, model in sweep.tried:
+        k, cost, moved = params["k"], model.summary.trainingCost, model.getTol()
+        settled = model.summary.numIter < model.getMaxIter()
+        allowed = 2 * moved * (rows * cost) ** 0.5 + rows * moved**2
+        out.append((k, rows, errors[k] <= cost * (1 + 1e-9), not settled or cost - errors[k] <= allowed + 1e-9 * cost))
+    return spark.createDataFrame(out, "k int, rows long, not_above boolean, near_if_settled boolean")
 
 
 @query(
@@ -310,16 +393,30 @@ def saved_models(spark, d):
     return compared[0].unionByName(compared[1]).unionByName(compared[2])
 
 
-@query("i15_training")
+_MODELS = "unnest(['Logistic Regression', 'Random Forest', 'Nearest Neighbours', 'K-Means'])"
+
+
+@query(
+    "i15_training",
+    f"""SELECT {_MODELS} AS model, unnest([true, true, true, false]) AS supervised, true AS possible""",
+)
 def train_all(spark, d):
-    windows = _stored_windows(spark, d)
-    return training.run_training(windows, parallelism=4).metrics
+    """One row for each model of the run with the figures of its kind, all between 0 and 1."""
+    summary = training.run_training(_stored_windows(spark, d), parallelism=4).metrics
+    supervised, clusters = ("accuracy", "f1", "precision", "recall"), ("silhouette", "purity")
+    own = F.when(F.col("accuracy").isNotNull(), F.array(*supervised)).otherwise(F.array(*clusters))
+    none = F.when(F.col("accuracy").isNotNull(), F.coalesce(*clusters)).otherwise(F.coalesce(*supervised))
+    return summary.select(
+        F.regexp_replace("model", " [(]k=[0-9]+[)]", "").alias("model"),
+        F.col("accuracy").isNotNull().alias("supervised"),
+        (F.forall(own, lambda x: x.between(-1, 1)) & none.isNull()).alias("possible"),
+    )
 
 
 @query(
     "i15_tables",
     """SELECT unnest(['confusion', 'class_metrics', 'composition']) AS "table",
-      unnest([2 * n, 2 * n, n]) AS rows FROM
+      unnest([3 * n, 3 * n, n]) AS rows FROM
       (SELECT count(*) AS n FROM split_frame WHERE split = 'test')""",
 )
 def training_tables(spark, d):
@@ -410,14 +507,39 @@ def rule_baseline(spark, d):
     return metrics.baseline_metrics(tables.windows(spark, d), "anomaly_type")
 
 
-@query("j08_model_summary")
+@query(
+    "j08_model_summary",
+    """SELECT unnest(['Logistic Regression', 'Random Forest', 'Nearest Neighbours']) AS model, n AS rows,
+      true AS same_accuracy, true AS same_recall FROM
+      (SELECT count(*) AS n FROM split_frame WHERE split = 'test')""",
+)
 def model_summary(spark, d):
-    windows = _stored_windows(spark, d)
-    return training.run_training(windows, parallelism=4).metrics
+    """The summary's figures against the confusion table of the same run."""
+    trained = training.run_training(_stored_windows(spark, d), parallelism=4)
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0))
+    counted = trained.confusion.groupBy("model").agg(F.sum("count").alias("rows"), right.alias("right"))
+    share = F.col("right") / F.col("rows")
+    return counted.join(trained.metrics, "model").select(
+        F.regexp_replace("model", " [(]k=[0-9]+[)]", "").alias("model"),
+        "rows",
+        (F.abs(F.col("accuracy") - share) < 1e-12).alias("same_accuracy"),
+        # weighted by class size, recall is accuracy
+        (F.abs(F.col("recall") - share) < 1e-12).alias("same_recall"),
+    )
 
 
-@query("j09_kmeans_scores")
+@query(
+    "j09_kmeans_scores",
+    """SELECT unnest([3, 4, 5, 6, 7, 8])::INTEGER AS k, true AS possible, true AS below_one_cluster""",
+)
 def kmeans_table(spark, d):
+    """Silhouettes are possible, and every k leaves less error than one cluster would."""
     train, validation, _ = _splits(spark, d)
-    sweep = training.train_kmeans(train, validation, parallelism=4)
-    return training.kmeans_scores(sweep, spark)
+    scores = training.kmeans_scores(training.train_kmeans(train, validation, parallelism=4), train)
+    spread = train.select(F.posexplode(vector_to_array("features"))).groupBy("pos").agg(
+        (F.var_pop("col") * F.count("*")).alias("own")
+    )
+    whole = spread.agg(F.sum("own")).first()[0]
+    return scores.select(
+        "k", F.col("silhouette").between(-1, 1).alias("possible"), (F.col("wssse") < whole).alias("below_one_cluster")
+    )

@@ -60,20 +60,70 @@ def test_neighbours_against_brute_force(spark, kind, k):
     assert got == {tuple(v): brute_force(train, v, k) for _, v, _ in query}
 
 
-def test_cells_are_pruned(spark):
+def cells_met(index, asked):
+    """(share of all cells that queries visit in both rounds, bins a query is sent to at most)."""
+    first = knn._best(knn._met(index, knn.first_visits(index, asked)), index.k)
+    visits = knn.first_visits(index, asked).unionByName(knn.second_visits(index, asked, first))
+    sent = visits.select("qid", F.size("cells").alias("cells")).collect()
+    queries, cells = asked.count(), len(index.cells.pivots)
+    return sum(r.cells for r in sent) / queries / cells, max(Counter(r.qid for r in sent).values())
+
+
+def test_clusters_are_pruned(spark):
     rng = np.random.default_rng(0)
-    points = vectors(rng, "clusters", 400, 0)
+    centres = rng.normal(size=(60, 4)) * 100
+    points = [(i, (centres[i % 60] + rng.normal(size=4)).tolist(), 0) for i in range(3000)]
+    df = spark.createDataFrame(points, "id long, features array<double>, label int")
+    index = knn.build_index(df, 5)
+    share, _ = cells_met(index, knn._asked(index, df, "features"))
+    index.close()
+    assert share < 0.1
+
+
+def test_random_vectors_are_sent_once_to_a_bin(spark):
+    rng = np.random.default_rng(1)
+    points = [(i, rng.normal(size=32).tolist(), 0) for i in range(600)]
     df = spark.createDataFrame(points, "id long, features array<double>, label int")
-    pivots = np.array([p for _, p, _ in points[:20]])
-    cell = knn._squared_distances(np.array([p for _, p, _ in points]), pivots).argmin(1)
-    radius = np.sqrt(((np.array([p for _, p, _ in points]) - pivots[cell]) ** 2).sum(1))
-    inner = np.array([radius[cell == c].min() for c in range(20)])
-    outer = np.array([radius[cell == c].max() for c in range(20)])
-    near = np.sort(np.where(cell[None] == np.arange(20)[:, None], radius[None], np.inf), 1)[:, :3]
-    sc = spark.sparkContext
-    visit = knn._router(sc.broadcast(pivots), sc.broadcast((inner, outer, near)))
-    sizes = df.select(F.avg(F.size(visit("features")))).first()[0]
-    assert sizes < 12
+    index = knn.build_index(df, 5, block_rows=150)
+    _, bins = cells_met(index, knn._asked(index, df, "features"))
+    index.close()
+    # every cell has to be visited, but in bins of 150 vectors; both rounds may meet a bin
+    assert len(index.cells.pivots) > 20 and bins <= 2 * (600 / 150 + 2)
+
+
+def test_bins_hold_what_they_should():
+    rng = np.random.default_rng(2)
+    pivots, members = rng.normal(size=(50, 3)), rng.integers(1, 90, 50)
+    members[7] = 1000
+    first, blocks = knn._laid_out(pivots, members, 100)
+    assert blocks[7] == 10 and all(blocks[np.arange(50) != 7] == 1)
+    held = Counter()
+    for c in range(50):
+        for b in range(first[c], first[c] + blocks[c]):
+            held[b] += members[c] / blocks[c]
+    assert max(held.values()) <= 100 and sorted(held) == list(range(len(held)))
+
+
+@pytest.mark.parametrize("wanted", [0.5, 0.9, 1.0])
+def test_approximate_search_reaches_its_recall(spark, wanted):
+    rng = np.random.default_rng(5)
+    points = [(i, rng.normal(size=6).tolist(), int(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(points, "id long, features array<double>, label int")
+    exact = {tuple(r.features): {n.id for n in r.neighbours} for r in knn.nearest_vectors(df, df, 5).collect()}
+    found, how = knn.nearest_with_report(df, df, 5, recall=wanted)
+    rows = found.collect()
+    hits = sum(len(exact[tuple(r.features)] & {n.id for n in r.neighbours}) for r in rows)
+    assert len(rows) == 900 and how.recall >= wanted and how.sampled == 256
+    assert hits >= (wanted - 0.05) * 5 * 900
+    assert wanted == 1.0 or how.probes < 20
+
+
+def test_search_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(knn, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    df = spark.createDataFrame([(i, [float(i)], 0) for i in range(30)], "id long, features array<double>, label int")
+    found = knn.nearest_vectors(df, df, 2)
+    assert [p.name for p in tmp_path.iterdir()] == ["neighbours"]
+    assert found.count() == 30
 
 
 def test_fewer_rows_than_neighbours(spark):
@@ -183,7 +233,8 @@ def test_training_run(spark, windows, tmp_path):
         parallelism=2,
     )
     rows = {r.model.split()[0]: r for r in trained.metrics.collect()}
-    assert set(rows) == {"Logistic", "Random", "K-Means"}
+    assert set(rows) == {"Logistic", "Random", "Nearest", "K-Means"}
+    assert trained.neighbours.model in (3, 5, 11)
     assert 0 <= rows["Logistic"].accuracy <= 1
     assert rows["Random"].recall == pytest.approx(rows["Random"].accuracy)
     assert 1 / len(trained.label_names) <= rows["K-Means"].purity <= 1

@@ -1,21 +1,26 @@
-"""Exact k-nearest-neighbour classification as partitioned Spark jobs.
+"""k-nearest-neighbour search and classification as partitioned Spark jobs.
 
-Every vector is assigned to its nearest pivot. The triangle inequality then tells
-which cells can hold one of a query's k nearest vectors, and the query visits only
-those; which cells these are is exact, so no neighbour is ever missed. Cells and
-the queries that visit them are split into blocks of bounded size, each block pair
-is compared inside one task, and only the k best per query leave it.
+Every vector is assigned to the cell of its nearest pivot; neighbouring cells are laid
+together into bins of bounded size. The exact search has two rounds. In the first a
+query meets the vectors of its own cell, which gives k vectors that are truly that
+near. In the second the triangle inequality tells which other cells can hold a nearer
+one, and the query is sent once to each bin that has such cells. So no neighbour is
+ever missed, and a query is copied at most once for each bin, whatever the data.
+
+The approximate search probes the nearest cells only. How many is not guessed: the
+exact answers of a sample of the queries say how many cells reach the wanted recall.
 
 Equal vectors share their answer: of the training copies of one vector only the k
 smallest ids can be neighbours, and each distinct query vector is searched once.
-
 Neighbours are ordered by distance, then id, so results are repeatable.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,12 +30,14 @@ from pyspark.sql import types as T
 
 from trafficlens.shipping import ship_package
 from trafficlens.sources.sinks import cut
-from trafficlens.sources.workspace import scratch_path
+from trafficlens.sources.workspace import remove_tree, scratch_path
 
 # share of the vector lengths that covers rounding in distances taken through dot products
 _SLACK = 1e-6
 # distances held at once inside a task
 _PAIRS_AT_ONCE = 1_000_000
+# a vector's copies are thinned in this many parts before they meet
+_COPY_PARTS = 64
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -47,13 +54,51 @@ def _row_slices(rows: int, width: int) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, rows, step))
 
 
-def _pivot_count(vectors: int, dims: int, k: int, max_pivots: int) -> int:
-    """About the square root of the vectors, bounded so that the pivots (64 MB) and the
-    k distances kept per cell (8 MB) fit anywhere."""
-    bound = min(max_pivots, 8_000_000 // max(dims, 1), 1_000_000 // max(k, 1))
+def _pivot_count(vectors: int, dims: int, max_pivots: int) -> int:
+    """About the square root of the vectors, bounded so that the pivots (64 MB) fit anywhere."""
+    bound = min(max_pivots, 8_000_000 // max(dims, 1))
     return max(1, min(bound, math.isqrt(max(vectors, 1) - 1) + 1))
 
 
+@dataclass(frozen=True)
+class Cells:
+    """What routing needs to know of every cell; a few numbers for each pivot.
+
+    A cell lies in ``blocks`` bins from ``bin`` on: several if it is larger than a bin, and
+    else in one together with cells near it.
+    """
+
+    pivots: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    members: np.ndarray
+    bin: np.ndarray
+    blocks: np.ndarray
+
+
+def _laid_out(pivots: np.ndarray, members: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bin, number of bins) of each cell.
+
+    Small cells are taken in the order of a walk that goes to the nearest pivot left.
+    """
+    bins, blocks, used = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64), 0
+    left, here = set(range(len(pivots))), 0
+    room = 0
+    while left:
+        rest = np.fromiter(left, np.int64, len(left))
+        here = int(rest[_squared_distances(pivots[here : here + 1], pivots[rest])[0].argmin()])
+        left.remove(here)
+        if members[here] > block_rows:
+            blocks[here] = -(-members[here] // block_rows)
+            bins[here], used, room = used, used + blocks[here], 0
+        else:
+            if members[here] > room:
+                used, room = used + 1, block_rows
+            bins[here] = used - 1
+            room -= members[here]
+    return bins, blocks
+
+
 def _assigner(pivots):
     """Vector -> (nearest pivot, distance to it)."""
 
@@ -69,209 +114,345 @@ def _assigner(pivots):
     return assign
 
 
-def _router(pivots, layout):
-    """Query vector -> the cells that can hold one of its k nearest vectors."""
+def _own_cells(d: np.ndarray, members: np.ndarray, k: int) -> np.ndarray:
+    """For each query the nearest cells that together have k vectors, as a mask."""
+    order = np.argsort(d, axis=1, kind="stable")
+    before = np.cumsum(members[order], axis=1) - members[order]
+    mask = np.zeros(d.shape, bool)
+    np.put_along_axis(mask, order, before < k, 1)
+    return mask
 
-    @F.pandas_udf("array<int>")
-    def cells_to_visit(vectors: pd.Series) -> pd.Series:
-        x, p = _matrix(vectors), pivots.value
-        inner, outer, nearest = layout.value
-        k = nearest.shape[1]
-        between = np.sqrt(_squared_distances(p, p))
-        reach = np.sqrt((p * p).sum(1)).max() + outer.max()
-        visits = []
-        close = min(len(p), 16)
-        for s in _row_slices(len(x), max(len(p), close * k)):
-            d = np.sqrt(_squared_distances(x[s], p))
-            slack = (_SLACK * (np.sqrt((x[s] * x[s]).sum(1)) + reach))[:, None]
-            # k vectors are known to lie within this distance
-            order = np.argpartition(d, close - 1, axis=1)[:, :close]
-            known = np.take_along_axis(d, order, 1)[:, :, None] + nearest[order]
-            limit = np.partition(known.reshape(len(d), -1), k - 1, axis=1)[:, k - 1, None]
-            own = d.argmin(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - d.min(1, keepdims=True) ** 2) / (2.0 * between[own])
-            plane = np.where(between[own] > slack, plane, 0.0)
-            # rounding grows when the two pivots are close, hence the wider margin
-            margin = slack * np.where(
-                between[own] > slack, 2.0 + 2.0 * d / np.maximum(between[own], slack), 2.0
-            )
-            at_least = np.maximum(np.maximum(d - outer, inner - d), plane - margin)
-            reachable = at_least <= limit + 2.0 * slack
-            visits.extend(np.flatnonzero(row).astype("int32") for row in reachable)
+
+def _nearest_cells(d: np.ndarray, probes: int) -> np.ndarray:
+    mask = np.zeros(d.shape, bool)
+    np.put_along_axis(mask, np.argsort(d, axis=1, kind="stable")[:, :probes], True, 1)
+    return mask
+
+
+def _least_distances(x: np.ndarray, d: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """(what every vector of a cell is at least away from a query, room for rounding).
+
+    By the spheres around a pivot between which its cell lies, and by the plane halfway
+    between a cell's pivot and the query's.
+    """
+    between = np.sqrt(_squared_distances(cells.pivots, cells.pivots))
+    reach = np.sqrt((cells.pivots * cells.pivots).sum(1)).max() + cells.outer.max()
+    slack = (_SLACK * (np.sqrt((x * x).sum(1)) + reach))[:, None]
+    own = d.argmin(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d * d - d.min(1, keepdims=True) ** 2) / (2.0 * between[own])
+    plane = np.where(between[own] > slack, plane, 0.0)
+    # rounding grows when the two pivots are close, hence the wider margin
+    margin = slack * np.where(between[own] > slack, 2.0 + 2.0 * d / np.maximum(between[own], slack), 2.0)
+    return np.maximum(np.maximum(d - cells.outer, cells.inner - d), plane - margin), slack
+
+
+def _grouped(mask: np.ndarray, bins: np.ndarray, blocks: np.ndarray) -> list[list[dict]]:
+    """For each query the bins of its cells, each with the cells that are meant."""
+    out = []
+    for row in mask:
+        visits: dict[int, list[int]] = {}
+        for cell in np.flatnonzero(row).tolist():
+            for b in range(bins[cell], bins[cell] + blocks[cell]):
+                visits.setdefault(b, []).append(cell)
+        out.append([{"bin": b, "cells": own} for b, own in visits.items()])
+    return out
+
+
+_VISITS = "array<struct<bin: int, cells: array<int>>>"
+
+
+def _router(layout, k: int, probes: int | None = None):
+    """Query vector -> the bins of the cells to meet first: its own, or the ``probes`` nearest."""
+
+    @F.pandas_udf(_VISITS)
+    def first(vectors: pd.Series) -> pd.Series:
+        x, cells, visits = _matrix(vectors), layout.value, []
+        for s in _row_slices(len(x), len(cells.pivots)):
+            d = np.sqrt(_squared_distances(x[s], cells.pivots))
+            mask = _nearest_cells(d, probes) if probes else _own_cells(d, cells.members, k)
+            visits += _grouped(mask, cells.bin, cells.blocks)
+        return pd.Series(visits)
+
+    return first
+
+
+def _second_router(layout, k: int):
+    """(query vector, distance of its k-th vector so far) -> the bins of the cells that can have a nearer one."""
+
+    @F.pandas_udf(_VISITS)
+    def second(vectors: pd.Series, kth: pd.Series) -> pd.Series:
+        x, limit, cells, visits = _matrix(vectors), kth.to_numpy(float), layout.value, []
+        for s in _row_slices(len(x), len(cells.pivots)):
+            d = np.sqrt(_squared_distances(x[s], cells.pivots))
+            least, slack = _least_distances(x[s], d, cells)
+            mask = (least <= limit[s][:, None] + 2.0 * slack) & ~_own_cells(d, cells.members, k)
+            visits += _grouped(mask, cells.bin, cells.blocks)
         return pd.Series(visits)
 
-    return cells_to_visit
+    return second
+
+
+def _best_of(q, qid, t, ids, labels, k: int):
+    """(qid, squared, id, label) columns of the k nearest rows of t for each row of q."""
+    keep = min(k, len(t))
+    size = (q * q).sum(1)[:, None] + (t * t).sum(1).max()
+    for s in _row_slices(len(q), len(t)):
+        rough = _squared_distances(q[s], t)
+        kth = np.partition(rough, keep - 1, axis=1)[:, keep - 1, None]
+        row, column = np.nonzero(rough <= kth + 1e-11 * size[s])
+        exact = ((q[s][row] - t[column]) ** 2).sum(1)
+        order = np.lexsort((ids[column], exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < keep
+        yield qid[s][row[best]], exact[best], ids[column[best]], labels[column[best]]
 
 
-def _best_in_block(k: int, columns: list[str]):
-    """Compare one block of queries with one block of vectors; k rows per query come out."""
+def _best_in_bin(k: int, columns: list[str]):
+    """Compare a block of queries with the cells of a bin that each of them asks for."""
 
     def compare(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or vectors.empty:
+        found: list[pd.DataFrame] = []
+        if len(queries) and len(vectors):
+            q, t = _matrix(queries["features"]), _matrix(vectors["features"])
+            qid, ids = queries["qid"].to_numpy(), vectors["id"].to_numpy()
+            labels, cell = vectors["label"].to_numpy(), vectors["cell"].to_numpy()
+            wants = queries["cells"].explode().astype("int64")
+            asking = pd.Series(np.repeat(np.arange(len(q)), queries["cells"].str.len())).groupby(wants.to_numpy()).indices
+            row = np.repeat(np.arange(len(q)), queries["cells"].str.len())
+            order = np.argsort(cell, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                c = int(cell[own[0]])
+                if c in asking:
+                    r = row[asking[c]]
+                    for part in _best_of(q[r], qid[r], t[own], ids[own], labels[own], k):
+                        found.append(pd.DataFrame(dict(zip(columns, (*part, np.int32(c)), strict=True))))
+        if not found:
             return pd.DataFrame({c: [] for c in columns})
-        q, t = _matrix(queries["features"]), _matrix(vectors["features"])
-        qid, ids = queries["qid"].to_numpy(), vectors["id"].to_numpy()
-        labels = vectors["label"].to_numpy()
-        keep = min(k, len(t))
-        size = (q * q).sum(1)[:, None] + (t * t).sum(1).max()
-        found = []
-        for s in _row_slices(len(q), len(t)):
-            rough = _squared_distances(q[s], t)
-            kth = np.partition(rough, keep - 1, axis=1)[:, keep - 1, None]
-            row, column = np.nonzero(rough <= kth + 1e-11 * size[s])
-            exact = ((q[s][row] - t[column]) ** 2).sum(1)
-            order = np.lexsort((ids[column], exact, row))
-            row, column, exact = row[order], column[order], exact[order]
-            first = np.searchsorted(row, row, side="left")
-            best = np.arange(len(row)) - first < keep
-            row, column, exact = row[best], column[best], exact[best]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "qid": qid[s][row],
-                        "squared": exact,
-                        "id": ids[column],
-                        "label": labels[column],
-                    }
-                )
-            )
-        return pd.concat(found)[columns]
+        rows = pd.concat(found).sort_values(["qid", "squared", "id"])
+        return rows[rows.groupby("qid").cumcount() < k][columns]
 
     return compare
 
 
-def _with_blocks(rows: DataFrame, members: DataFrame, name: str, block_rows: int) -> DataFrame:
-    """Add the number of blocks of each row's cell; there is one row per pivot to broadcast."""
-    blocks = members.groupBy("cell").agg(
-        F.ceil(F.count("*") / block_rows).cast("int").alias(name)
-    )
-    return rows.join(F.broadcast(blocks), "cell")
+@dataclass
+class Index:
+    """Vectors in bins, and their cells; made by ``build_index`` and to be closed."""
 
+    placed: DataFrame
+    cells: Cells
+    layout: object
+    k: int
+    block_rows: int
+    folder: str
 
-def nearest_vectors(
+    def close(self) -> None:
+        """Remove the stored vectors and what was sent to the executors."""
+        self.layout.destroy()
+        remove_tree(self.placed.sparkSession, self.folder)
+
+
+@dataclass(frozen=True)
+class Probing:
+    """How the approximate search was set: cells probed of how many, recall of the sample, its size."""
+
+    probes: int
+    cells: int
+    recall: float
+    sampled: int
+
+
+def _sound(features: str) -> Column:
+    vector = F.col(features).cast("array<double>")
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite, F.lit(False))
+
+
+def build_index(
     train: DataFrame,
-    queries: DataFrame,
     k: int,
     id_column: str = "id",
     features: str = "features",
     label: str = "label",
     max_pivots: int = 1024,
     block_rows: int = 65_536,
-) -> DataFrame:
-    """(features, neighbours) per distinct query vector, nearest first.
+) -> Index:
+    """Vectors in cells and bins, for searches of up to ``k`` neighbours.
 
-    ``neighbours`` is an array of up to k (distance, id, label). Null vectors, vectors
-    with a null or non-finite component, and those of another length than the training
-    vectors' greatest one take no part. This is an action: it runs jobs, and its
-    intermediate tables go to the shared scratch folder.
+    Null vectors, vectors with a null or non-finite component, and those shorter than the
+    longest take no part.
     """
     spark = train.sparkSession
     ship_package(spark)
+    folder = scratch_path(spark, "knn")
     vector = F.col(features).cast("array<double>").alias("features")
-    sound = F.coalesce(
-        F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
-        F.lit(False),
-    )
-    train = train.filter(sound)
+    train = train.filter(_sound(features))
     longest = train.agg(F.max(F.size(features))).first()[0]
     if longest is None:
         raise ValueError("no training vectors")
-    train = train.filter(F.size(features) == longest)
-    queries = queries.filter(sound & (F.size(features) == longest))
-    copies = Window.partitionBy("features").orderBy("id")
-    kept = (
-        train.select(F.col(id_column).alias("id"), F.col(label).alias("label"), vector)
-        .withColumn("copy", F.row_number().over(copies))
-        .filter(F.col("copy") <= k)
+    # of equal vectors the k smallest ids, thinned in parts first: one vector may be very common
+    rows = train.filter(F.size(features) == longest).select(
+        F.col(id_column).alias("id"), F.col(label).alias("label"), vector
     )
-    kept = cut(kept, scratch_path(spark, "knn-vectors"))
-    distinct = kept.filter(F.col("copy") == 1)
-    shape = distinct.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("dims")).first()
+    part = F.pmod(F.xxhash64("id"), F.lit(_COPY_PARTS))
+    for keys in (("features", part), ("features",)):
+        copy = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+        rows = rows.withColumn("copy", copy).filter(F.col("copy") <= k)
+    rows = cut(rows, f"{folder}/vectors")
+    distinct = rows.filter(F.col("copy") == 1)
 
     # pivots: a uniform pick by hash, the same one on every run
-    wanted = _pivot_count(shape["n"], shape["dims"], k, max_pivots)
+    wanted = _pivot_count(distinct.count(), longest, max_pivots)
     picked = distinct.orderBy(F.xxhash64("features"), "features").limit(wanted)
-    rows = picked.select("features").collect()
-    pivot_matrix = np.array([r["features"] for r in rows], dtype=np.float64)
-    pivots = spark.sparkContext.broadcast(pivot_matrix)
-    cells = len(pivot_matrix)
-
-    placed = kept.select("id", "label", "features", _assigner(pivots)("features").alias("place"))
-    placed = placed.select("id", "label", "features", "place.cell", "place.radius")
-    placed = cut(placed, scratch_path(spark, "knn-placed"))
-
-    # per cell: inner and outer radius, and the k smallest radii
-    inner, outer = np.zeros(cells), np.zeros(cells)
-    for r in placed.groupBy("cell").agg(F.min("radius"), F.max("radius")).collect():
-        inner[r[0]], outer[r[0]] = r[1], r[2]
-    smallest = np.full((cells, k), np.inf)
-    in_cell = Window.partitionBy("cell").orderBy("radius", "id")
-    ranked = placed.select("cell", "radius", F.row_number().over(in_cell).alias("rank"))
-    for r in ranked.filter(F.col("rank") <= k).collect():
-        smallest[r["cell"], r["rank"] - 1] = r["radius"]
-    layout = spark.sparkContext.broadcast((inner, outer, smallest))
-
-    asked = queries.select(vector).distinct()
-    asked = asked.select(
-        F.monotonically_increasing_id().alias("qid"),
-        "features",
-        _router(pivots, layout)("features").alias("cells"),
-    )
-    # written, so that the ids stay the same whatever is computed again later
-    asked = cut(asked, scratch_path(spark, "knn-queries"))
-    visits = asked.select("qid", "features", F.explode("cells").alias("cell"))
-
-    def sized(rows: DataFrame) -> DataFrame:
-        rows = _with_blocks(rows, placed.select("cell"), "vector_blocks", block_rows)
-        return _with_blocks(rows, visits.select("cell"), "query_blocks", block_rows)
-
-    def all_blocks(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    def one_block(key: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-
-    left = sized(visits).select(
-        "qid",
-        "features",
-        "cell",
-        one_block("qid", "query_blocks").alias("query_block"),
-        all_blocks("vector_blocks").alias("vector_block"),
-    )
-    right = sized(placed).select(
-        "id",
-        "label",
-        "features",
-        "cell",
-        one_block("id", "vector_blocks").alias("vector_block"),
-        all_blocks("query_blocks").alias("query_block"),
-    )
+    pivots = np.array([r["features"] for r in picked.select("features").collect()], dtype=np.float64)
+    sent = spark.sparkContext.broadcast(pivots)
+    placed = rows.select("id", "label", "features", _assigner(sent)("features").alias("place"))
+    placed = cut(placed.select("id", "label", "features", "place.cell", "place.radius"), f"{folder}/cells")
+    sent.destroy()
+
+    # three numbers for each pivot
+    inner, outer, members = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in placed.groupBy("cell").agg(F.min("radius"), F.max("radius"), F.count("*")).collect():
+        inner[r[0]], outer[r[0]], members[r[0]] = r[1], r[2], r[3]
+    first, blocks = _laid_out(pivots, members, block_rows)
+    cells = Cells(pivots, inner, outer, members, first, blocks)
+    where = [(i, int(b), int(n)) for i, (b, n) in enumerate(zip(first, blocks, strict=True))]
+    table = spark.createDataFrame(where, "cell int, first int, blocks int")
+    bin_ = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    placed = placed.join(F.broadcast(table), "cell").select("id", "label", "features", "cell", bin_.alias("bin"))
+    return Index(cut(placed, f"{folder}/bins"), cells, spark.sparkContext.broadcast(cells), k, block_rows, folder)
+
+
+def _met(index: Index, visits: DataFrame) -> DataFrame:
+    """(qid, squared, id, label, cell): up to k rows for each query and bin it visits.
+
+    visits: (qid, features, bin, cells), each row a query for one bin. A bin with many
+    visitors is compared in several tasks, each with a block of them.
+    """
+    n = F.ceil(F.count("*") / index.block_rows).cast("int").alias("query_blocks")
+    crowds = visits.groupBy("bin").agg(n)
+    own_block = F.pmod(F.xxhash64("qid"), F.col("query_blocks")).cast("int").alias("query_block")
+    left = visits.join(crowds, "bin").select("bin", own_block, "qid", "features", "cells")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block")
+    right = index.placed.join(crowds, "bin").select("bin", every_block, "id", "label", "features", "cell")
     schema = T.StructType([
         T.StructField("qid", T.LongType()),
         T.StructField("squared", T.DoubleType()),
-        T.StructField("id", kept.schema["id"].dataType),
-        T.StructField("label", kept.schema["label"].dataType),
+        T.StructField("id", index.placed.schema["id"].dataType),
+        T.StructField("label", index.placed.schema["label"].dataType),
+        T.StructField("cell", T.IntegerType()),
     ])
-    pair = ["cell", "query_block", "vector_block"]
-    candidates = (
-        left.groupBy(*pair)
-        .cogroup(right.groupBy(*pair))
-        .applyInPandas(_best_in_block(k, schema.names), schema)
+    pair = ["bin", "query_block"]
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(
+        _best_in_bin(index.k, schema.names), schema
     )
-    best = Window.partitionBy("qid").orderBy("squared", "id")
-    ranked = candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy("squared", "id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _asked(index: Index, queries: DataFrame, features: str) -> DataFrame:
+    """Distinct sound query vectors with a number; written, so that numbers stay."""
+    queries = queries.filter(_sound(features) & (F.size(features) == index.cells.pivots.shape[1]))
+    distinct = queries.select(F.col(features).cast("array<double>").alias("features")).distinct()
+    numbered = distinct.select(F.monotonically_increasing_id().alias("qid"), "features")
+    return cut(numbered, f"{index.folder}/asked-{uuid.uuid4().hex}")
+
+
+def first_visits(index: Index, asked: DataFrame, probes: int | None = None) -> DataFrame:
+    """(qid, features, bin, cells) of the first round, or of the only one with ``probes``."""
+    routed = _router(index.layout, index.k, probes)("features")
+    return asked.select("qid", "features", F.inline(routed))
+
+
+def second_visits(index: Index, asked: DataFrame, first: DataFrame) -> DataFrame:
+    """The same of the second round, after the neighbours that the ``first`` found."""
+    known = first.groupBy("qid").agg(F.count("*").alias("n"), F.max("squared").alias("kth"))
+    limit = F.when(F.col("n") >= index.k, F.sqrt("kth")).otherwise(float("inf"))
+    routed = _second_router(index.layout, index.k)("features", limit)
+    return asked.join(known, "qid").select("qid", "features", F.inline(routed))
+
+
+def search(index: Index, asked: DataFrame, probes: int | None = None) -> DataFrame:
+    """(qid, squared, id, label, cell, rank) of the k nearest, exactly unless ``probes`` are given."""
+    first = _best(_met(index, first_visits(index, asked, probes)), index.k)
+    if probes:
+        return first
+    first = cut(first, f"{index.folder}/first-{uuid.uuid4().hex}").drop("rank")
+    second = _met(index, second_visits(index, asked, first))
+    return _best(first.unionByName(second), index.k)
+
+
+def probes_for(index: Index, queries: DataFrame, recall: float, sample: int = 256) -> Probing:
+    """The fewest cells to probe so that a sample of the queries finds that share of its true neighbours.
+
+    ``sample`` distinct queries, the first by hash, are answered exactly; the place of each
+    true neighbour's cell in the query's order of cells tells what every number of
+    probes would find.
+    """
+    few = queries.orderBy(F.xxhash64("features"), "features").limit(sample)
+    few = cut(few, f"{index.folder}/sample-{uuid.uuid4().hex}")
+    found = search(index, few).join(few, "qid").select("qid", "features", "cell").toPandas()
+    d = np.sqrt(_squared_distances(_matrix(found["features"]), index.cells.pivots))
+    order = np.argsort(d, axis=1, kind="stable")
+    place = (order == found["cell"].to_numpy()[:, None]).argmax(1)
+    share = np.cumsum(np.bincount(place, minlength=d.shape[1])) / len(place)
+    probes = int(np.searchsorted(share, min(recall, 1.0) - 1e-12)) + 1
+    return Probing(probes, d.shape[1], float(share[probes - 1]), int(found["qid"].nunique()))
+
+
+def _neighbours(asked: DataFrame, rows: DataFrame) -> DataFrame:
     neighbour = F.struct("rank", F.sqrt("squared").alias("distance"), "id", "label")
-    found = ranked.groupBy("qid").agg(F.sort_array(F.collect_list(neighbour)).alias("neighbours"))
-    return asked.join(found, "qid").select(
-        "features",
-        F.transform(
-            "neighbours",
-            lambda n: F.struct(
-                n["distance"].alias("distance"), n["id"].alias("id"), n["label"].alias("label")
-            ),
-        ).alias("neighbours"),
+    found = rows.groupBy("qid").agg(F.sort_array(F.collect_list(neighbour)).alias("neighbours"))
+    plain = F.transform(
+        "neighbours",
+        lambda n: F.struct(n["distance"].alias("distance"), n["id"].alias("id"), n["label"].alias("label")),
     )
+    return asked.join(found, "qid").select("features", plain.alias("neighbours"))
+
+
+def nearest_vectors(
+    train: DataFrame,
+    queries: DataFrame,
+    k: int,
+    features: str = "features",
+    recall: float | None = None,
+    **options,
+) -> DataFrame:
+    """(features, neighbours) per distinct query vector, nearest first.
+
+    ``neighbours`` is an array of up to k (distance, id, label). Null vectors, vectors
+    with a null or non-finite component, and those of another length than the training
+    vectors' greatest one take no part. With ``recall`` (0 to 1) the search is approximate
+    and set to find that share; without, it is exact. Other options are those of
+    ``build_index``. This is an action: it runs jobs, and its result is a table in the
+    shared scratch folder; everything else that it stored is removed.
+    """
+    found, _ = nearest_with_report(train, queries, k, features, recall, **options)
+    return found
+
+
+def nearest_with_report(
+    train: DataFrame,
+    queries: DataFrame,
+    k: int,
+    features: str = "features",
+    recall: float | None = None,
+    **options,
+) -> tuple[DataFrame, Probing | None]:
+    """``nearest_vectors`` and how an approximate search was set."""
+    index = build_index(train, k, features=features, **options)
+    try:
+        asked = _asked(index, queries, features)
+        probing = None
+        if recall is not None and not asked.isEmpty():
+            probing = probes_for(index, asked, recall)
+        rows = search(index, asked, probing.probes if probing else None)
+        return cut(_neighbours(asked, rows), scratch_path(train.sparkSession, "neighbours")), probing
+    finally:
+        index.close()
 
 
 def majority(neighbours: Column, k: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from typing import Any
 
@@ -158,12 +159,51 @@ def train_kmeans(
     )
 
 
-def kmeans_scores(sweep: Selection, spark: SparkSession) -> DataFrame:
-    """(k, silhouette, wssse) per fitted k."""
-    rows = [
-        (params["k"], score, model.summary.trainingCost) for params, score, model in sweep.tried
+def squared_distance_sums(sweep: Selection, rows: DataFrame) -> dict[int, float]:
+    """For each fitted k the squared distances of ``rows`` to the nearest centre, summed.
+
+    One pass over the rows for all k. The fit's own ``trainingCost`` belongs to the centres
+    before the last update, so it is greater when a fit stops at its iteration limit.
+    """
+    x = vector_to_array(F.col(FEATURES))
+
+    def squared(centre):
+        differences = F.zip_with(x, F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: a - b)
+        return F.aggregate(differences, F.lit(0.0), lambda total, v: total + v * v)
+
+    sums = [
+        F.sum(F.array_min(F.array(*map(squared, model.clusterCenters())))).alias(str(params["k"]))
+        for params, _, model in sweep.tried
     ]
-    return spark.createDataFrame(rows, "k int, silhouette double, wssse double")
+    found = rows.agg(*sums).first()
+    return {params["k"]: found[str(params["k"])] or 0.0 for params, _, _ in sweep.tried}
+
+
+def kmeans_scores(sweep: Selection, train: DataFrame) -> DataFrame:
+    """(k, silhouette, wssse) per fitted k; the error is that of the returned centres on ``train``."""
+    errors = squared_distance_sums(sweep, train)
+    rows = [(params["k"], score, errors[params["k"]]) for params, score, _ in sweep.tried]
+    return train.sparkSession.createDataFrame(rows, "k int, silhouette double, wssse double")
+
+
+def _knn_votes(train: DataFrame, asked: DataFrame, ks: Sequence[int], id_column: str, *kept: str) -> DataFrame:
+    """(k, kept columns, label, prediction) of every asked row for every k, from one search."""
+
+    def flat(df, *more):
+        return df.select(id_column, *more, LABEL, vector_to_array(FEATURES).alias(FEATURES))
+
+    voted = knn.classify(flat(train), flat(asked, *kept), ks, id_column=id_column, label=LABEL)
+    votes = [
+        F.struct(F.lit(k).alias("k"), F.col(f"prediction_{k}").alias("prediction")) for k in ks
+    ]
+    return voted.select(*kept, LABEL, F.inline(F.array(*votes)))
+
+
+def _best_k(counts: DataFrame, ks: Sequence[int]) -> Selection:
+    by_k = {row["k"]: row["f1"] for row in metrics.weighted_metrics(counts, "k").collect()}
+    tried = [({"k": k}, by_k.get(k, 0.0), k) for k in ks]
+    params, best, k = max(tried, key=lambda outcome: outcome[1])
+    return Selection(k, params, best, tried)
 
 
 def select_knn(
@@ -176,23 +216,24 @@ def select_knn(
 
     The chosen "model" is k itself: use it with ``knn.classify``.
     """
+    counts = _knn_votes(train, validation, ks, id_column).groupBy("k", LABEL, "prediction")
+    return _best_k(counts.agg(F.count("*").alias("count")), ks)
 
-    def flat(df):
-        return df.select(id_column, LABEL, vector_to_array(FEATURES).alias(FEATURES))
 
-    voted = knn.classify(flat(train), flat(validation), ks, id_column=id_column, label=LABEL)
-    votes = [
-        F.struct(F.lit(k).alias("k"), F.col(f"prediction_{k}").alias("prediction")) for k in ks
-    ]
-    counts = (
-        voted.select(LABEL, F.inline(F.array(*votes)))
-        .groupBy("k", LABEL, "prediction")
-        .agg(F.count("*").alias("count"))
-    )
-    by_k = {row["k"]: row["f1"] for row in metrics.weighted_metrics(counts, "k").collect()}
-    tried = [({"k": k}, by_k[k], k) for k in ks]
-    params, best, k = max(tried, key=lambda outcome: outcome[1])
-    return Selection(k, params, best, tried)
+def knn_candidate(
+    train: DataFrame, validation: DataFrame, test: DataFrame, ks: Sequence[int] = fixed.KNN_GRID
+) -> tuple[Selection, DataFrame]:
+    """k chosen on the validation windows and its confusion counts on the test windows.
+
+    Both splits are searched together. Windows are told apart by client and start.
+    """
+    own = F.xxhash64("ip", "window_start").alias("id")
+    asked = validation.unionByName(test).select("*", own)
+    votes = _knn_votes(train.select("*", own), asked, ks, "id", "split")
+    counts = votes.groupBy("k", "split", LABEL, "prediction").agg(F.count("*").alias("count"))
+    counts = train.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    chosen = _best_k(counts.filter("split = 'validation'").drop("split"), ks)
+    return chosen, counts.filter((F.col("split") == "test") & (F.col("k") == chosen.model)).drop("split", "k")
 
 
 @dataclass
@@ -201,6 +242,7 @@ class Trained:
     logistic: Selection
     forest: Selection
     kmeans: Selection
+    neighbours: Selection | None
     label_names: list[str]
     metrics: DataFrame
     kmeans_scores: DataFrame
@@ -227,8 +269,9 @@ def part(frame: DataFrame, split: str) -> DataFrame:
     return frame.filter(F.col("split") == split)
 
 
-def supervised_metrics(name: str, model: Any, test: DataFrame) -> DataFrame:
-    scores = metrics.weighted_metrics(metrics.confusion(model.transform(test)))
+def supervised_metrics(name: str, counts: DataFrame) -> DataFrame:
+    """The summary row of a classifier from its confusion counts."""
+    scores = metrics.weighted_metrics(counts)
     nothing = F.lit(None).cast("double")
     return scores.select(
         F.lit(name).alias("model"),
@@ -263,9 +306,13 @@ def run_training(
     forest_grid: Sequence[Params] | None = None,
     ks: Sequence[int] = fixed.KMEANS_K,
     parallelism: int = 1,
+    knn_ks: Sequence[int] = fixed.KNN_GRID,
 ) -> Trained:
     """Fit, select, evaluate and, with ``save_to``, save all models.
 
+    Nearest neighbours are a candidate like the others, unless ``knn_ks`` is empty; there is
+    nothing of them to save, their model is k and the training rows.
+
     The scaled frame is written once, one folder for each split: the hundreds of small
     jobs of an iterative fit start from the files of their split instead of carrying the
     plan of the windows, and so does the recovery of a lost executor.
@@ -280,21 +327,25 @@ def run_training(
     forest = train_forest(train, validation, forest_grid, parallelism=parallelism)
     kmeans = train_kmeans(train, validation, ks, parallelism=parallelism)
     cluster_name = f"K-Means (k={kmeans.params['k']})"
-    summary = supervised_metrics("Logistic Regression", logistic.model, test).unionByName(
-        supervised_metrics("Random Forest", forest.model, test)
-    )
-    summary = summary.unionByName(cluster_metrics(cluster_name, kmeans.model, test))
-    first, second = (
-        metrics.confusion(chosen.model.transform(test)).withColumn("model", F.lit(name))
-        for name, chosen in (("Logistic Regression", logistic), ("Random Forest", forest))
-    )
-    confusion = first.unionByName(second)
+    named = {
+        "Logistic Regression": metrics.confusion(logistic.model.transform(test)),
+        "Random Forest": metrics.confusion(forest.model.transform(test)),
+    }
+    neighbours = None
+    if knn_ks:
+        neighbours, counts = knn_candidate(train, validation, test, knn_ks)
+        named[f"Nearest Neighbours (k={neighbours.model})"] = counts.select(LABEL, "prediction", "count")
     # a handful of rows each: kept as values, so that looking at them scores nothing again
-    summary, confusion, composition, baseline = (
+    named = {name: spark.createDataFrame(df.collect(), df.schema) for name, df in named.items()}
+    summaries = [supervised_metrics(name, counts) for name, counts in named.items()]
+    summary = reduce(DataFrame.unionByName, [*summaries, cluster_metrics(cluster_name, kmeans.model, test)])
+    confusion = reduce(
+        DataFrame.unionByName, [counts.withColumn("model", F.lit(name)) for name, counts in named.items()]
+    )
+    summary, composition, baseline = (
         spark.createDataFrame(df.collect(), df.schema)
         for df in (
             summary,
-            confusion,
             metrics.cluster_composition(kmeans.model.transform(test)),
             metrics.baseline_metrics(test),
         )
@@ -304,9 +355,10 @@ def run_training(
         logistic=logistic,
         forest=forest,
         kmeans=kmeans,
+        neighbours=neighbours,
         label_names=list(stages.stages[0].labels),
         metrics=summary,
-        kmeans_scores=kmeans_scores(kmeans, spark),
+        kmeans_scores=kmeans_scores(kmeans, train),
         baseline=baseline,
         confusion=confusion,
         classes=metrics.class_metrics(confusion, "model"),

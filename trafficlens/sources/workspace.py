@@ -22,3 +22,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="trafficlens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
