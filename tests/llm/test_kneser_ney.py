@@ -5,13 +5,13 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import SF
+from pyspark.sql import functions as F
 
 from trafficlens.llm import kneser_ney
 from trafficlens.llm.kneser_ney import (
     _SHARD,
     EDGE,
     _chunks,
-    _counted_runs,
     _runs_of_shards,
     judged,
     keep_fluent,
@@ -77,11 +77,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 def test_open_probabilities(spark):
     texts = ["abab яя cab", "bca яbba", "語語a", "cc яbab", "dad abc"]
-    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
     seen = sorted({ord(c) for t in texts for c in t})
     asked = [*texts, "zя語 ab", "zz"]
-    wanted = _runs_of_shards(spark.createDataFrame([(0, t) for t in asked], f"{_SHARD} long, text string"))
-    got = {(r.context, r.last): r.log_p for r in open_log_probabilities(wanted, _counted_runs(trusted)).collect()}
+    rows = [(i % 2, i, t) for i, t in enumerate(asked)]
+    labels = spark.createDataFrame([(i, 1) for i in range(len(texts))] + [(len(texts), 0)], "doc_id long, quality int")
+    wanted = _runs_of_shards(spark.createDataFrame(rows, f"{_SHARD} long, doc_id long, text string"), labels)
+    counts = wanted.filter("n > 0").groupBy("context", "last").agg(F.sum("n").alias("n"))
+    got = {(r.context, r.last): r.log_p for r in open_log_probabilities(wanted.drop("n"), counts).collect()}
     # edge and unseen are symbols 0 and 1 of the plain model
     p = plain_probability(texts, seen, len(seen) + 2)
     place = {EDGE: 0, **{c: i + 2 for i, c in enumerate(seen)}}

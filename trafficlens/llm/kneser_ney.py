@@ -37,8 +37,8 @@ EDGE = 0x110000
 SHARD_CHARS = 1 << 22
 CHUNK_CHARS = 1 << 18
 BUCKET_BYTES = 1 << 24
-# runs that a task holds before it hands them on
-HELD_RUNS = 1 << 19
+# runs that a task holds before it sums equal ones
+HELD_RUNS = 1 << 20
 LEAST = 5e-324
 # names of columns on the way, which no table of documents is expected to have
 _SHARD, _NATS, _CHARS = "__shard", "__nats", "__chars"
@@ -64,9 +64,7 @@ def _trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _only_trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Spark sends the ids to the rows if their table is small, and else moves both."""
-    ids = _trusted_ids(labels)
-    return rows.join(ids, F.col("doc_id").cast("long") == F.col("_trusted_id"), "left_semi")
+    return rows.join(_trusted_ids(labels), F.col("doc_id").cast("long") == F.col("_trusted_id"), "left_semi")
 
 
 def _discount(of_counts: dict[int, int]):
@@ -159,20 +157,18 @@ def _numbered(context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.nda
     return context[new], last[new], np.diff(np.append(new, len(context)))
 
 
-def _held(chunks) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context, last, n) of distinct runs of chunks, handed on when ``HELD_RUNS`` are held."""
+def _totals(chunks, counted: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, last, n) of distinct runs of chunks, in at most a few parts; n is 0 unless counted."""
     parts, size = [], 0
     for context, last, _ in chunks:
-        parts.append(_numbered(context, last))
-        size += len(parts[-1][0])
+        context, last, n = _numbered(context, last)
+        parts.append((context, last, n if counted else np.zeros_like(n)))
+        size += len(n)
         if size > HELD_RUNS:
             parts = [_summed(parts)]
-            size = len(parts[0][0])
-            if size > HELD_RUNS // 2:
-                yield parts[0]
-                parts, size = [], 0
-    if parts:
-        yield _summed(parts)
+            # what is held has to double before it is summed again
+            size = 0
+    return parts
 
 
 def _summed(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,42 +179,33 @@ def _summed(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context[new], last[new], np.add.reduceat(n[order], new)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
-    return (x.as_py() for x in batch.column("text"))
-
-
-def _counted_runs(trusted: DataFrame) -> DataFrame:
-    """(context, last, n): how often each run of any characters occurs in all trusted text."""
-
-    def count(batches):
-        for batch in batches:
-            for context, last, n in _held(_chunks(list(_texts(batch)))):
-                yield pa.record_batch({"context": pa.array(context), "last": pa.array(last), "n": pa.array(n, pa.int64())})
-
-    found = map_batches(trusted.select("text"), count, "context long, last long, n long")
-    return found.groupBy("context", "last").agg(F.sum("n").alias("n"))
-
-
 def _shorter(size: int):
     """The context of a run of ``size`` symbols without its first symbol."""
     return F.col("context").bitwiseAND(F.lit((1 << BITS * (size - 2)) - 1).cast("long")) if size > 1 else F.lit(0)
 
 
-def _runs_of_shards(rows: DataFrame) -> DataFrame:
-    """Distinct (shard, context, last) of the texts of shards."""
-
-    def take(batches):
-        for batch in batches:
-            shards = batch.column(_SHARD).to_numpy()
-            edges = np.flatnonzero(np.diff(shards)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(shards)], strict=True):
-                if hi == lo:
-                    continue
-                for context, last, _ in _held(_chunks(list(_texts(batch.slice(lo, hi - lo))))):
-                    shard = pa.array(np.full(len(last), shards[lo]), pa.int64())
-                    yield pa.record_batch({_SHARD: shard, "context": pa.array(context), "last": pa.array(last)})
+def _runs_of_shards(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shard, context, last, n): the distinct runs of a shard's texts, n of them in trusted text.
 
-    return map_batches(rows.select(_SHARD, "text"), take, f"{_SHARD} long, context long, last long").distinct()
+    Ids of trusted documents travel to the shards, texts stay in their buckets.
+    """
+    ids = rows.select(F.col(_SHARD).alias("__of"), F.col("doc_id").cast("long").alias("_trusted_id")).distinct()
+    ids = ids.join(_trusted_ids(labels), "_trusted_id")
+
+    def take(key: tuple[pa.Scalar, ...], rows: pa.Table, ids: pa.Table) -> pa.Table:
+        trusted = pc.is_in(rows.column("doc_id").cast(pa.int64()), ids.column("_trusted_id"))
+        parts = []
+        for counted in (True, False):
+            own = rows.column("text").filter(trusted if counted else pc.invert(trusted))
+            parts += _totals(_chunks([x.as_py() for x in own]), counted)
+        context, last, n = _summed(parts) if parts else (np.zeros(0, np.int64),) * 3
+        shard = np.full(len(n), key[0].as_py() if len(n) else 0, np.int64)
+        return pa.table({_SHARD: shard, "context": context, "last": last, "n": n.astype(np.int64)})
+
+    texts = rows.select(_SHARD, "doc_id", "text")
+    return texts.groupBy(_SHARD).cogroup(ids.groupBy("__of")).applyInArrow(
+        take, f"{_SHARD} long, context long, last long, n long"
+    )
 
 
 def open_log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
@@ -283,9 +270,9 @@ def _scored(docs: DataFrame, labels: DataFrame, kept: list[str]) -> DataFrame:
     """The ``kept`` columns of ``docs`` with minus the log probability and the length of the text."""
     ship_package(docs.sparkSession)
     rows, name = _in_buckets(docs)
-    counts = _counted_runs(_only_trusted(rows.filter("length(text) > 0"), labels))
-    wanted = stored(_runs_of_shards(rows.filter("length(text) > 0")), "shard-runs")
-    known = wanted.join(open_log_probabilities(wanted, counts), ["context", "last"]).select(_SHARD, "context", "last", "log_p")
+    wanted = stored(_runs_of_shards(rows, labels), "shard-runs")
+    counts = wanted.filter("n > 0").groupBy("context", "last").agg(F.sum("n").alias("n"))
+    known = wanted.drop("n").join(open_log_probabilities(wanted, counts), ["context", "last"]).select(_SHARD, "context", "last", "log_p")
     schema = with_fields(docs.select(kept), **{_NATS: "double", _CHARS: "long"})
     scored = rows.groupBy(_SHARD).cogroup(known.groupBy(_SHARD)).applyInArrow(_scorer(kept), schema)
     scored = stored(scored, "scores", keep=True)
@@ -311,7 +298,7 @@ def judged(
     kept = [c for c in docs.columns if with_text or c != "text"]
     with temporary(docs):
         rows = _scored(docs, labels, kept)
-        limits = stored(_limits(_only_trusted(rows.filter(F.col(_CHARS) > 0), labels), how), "limits", keep=True)
+        limits = stored(_limits(_only_trusted(rows.filter(F.col(_CHARS) > 0).select("doc_id", "lang", _NATS, _CHARS), labels), how), "limits", keep=True)
     chars, nats, middle, most = (F.col(c) for c in (_CHARS, _NATS, "__middle", "__most"))
     general = limits.filter(F.col("__lang").isNull()).first()
     m_all, t_all = (F.lit(x).cast("double") for x in (general["__middle"], general["__most"]))
