@@ -27,6 +27,33 @@ def test_chain_of_near_copies(spark):
     assert {c for _, c in found(got).values()} == {89}
 
 
+def test_large_family_is_no_square(spark, monkeypatch):
+    """600 texts of one template, some words changed: nearly half of the pairs link, some members hardly."""
+    from trafficlens.llm import near_dedup
+
+    rng = np.random.default_rng(4)
+    template = [f"w{i}" for i in range(150)]
+    docs = []
+    for d in range(600):
+        own = list(template)
+        for k in rng.choice(150, 1 + d % 9, replace=False):
+            own[k] = f"x{rng.integers(10**6)}"
+        docs.append((d, " ".join(own)))
+    checked, stored = {}, near_dedup.stored
+
+    def counting(df, name, **options):
+        out = stored(df, name, **options)
+        if name in ("met", "across"):
+            checked[name] = checked.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counting)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), NearDuplicates(shingle_words=2))
+    assert found(got) == brute.near_duplicates(docs, 2)
+    # of all 179,700 pairs; those of members that hardly link at all are checked one by one
+    assert checked.get("met", 0) + checked.get("across", 0) < 0.2 * 179_700, checked
+
+
 def test_odd_rows(odd_docs):
     rows = near_duplicates(odd_docs, NearDuplicates(shingle_words=2)).collect()
     assert len(rows) == 14

@@ -7,9 +7,9 @@ bits in the XOR of two sketches tells how many samples differ. Pairs that differ
 too much are dropped by that count inside the join; the rest is confirmed on the
 full sets.
 
-Large groups do not produce all their pairs. First each class is compared with
-one member of a bucket, and with others in later turns; what links is contracted.
-Then only members outside the largest component of their bucket meet the rest of the
+Large groups do not produce all their pairs. First each class is compared with the
+most central member of a bucket, and in later turns with ever more of those that are
+connected already; what links is contracted. Then only members outside the largest component of their bucket meet the rest of the
 bucket, so every two classes of one bucket are either compared or already connected.
 """
 
@@ -31,6 +31,8 @@ from trafficlens.llm.minhash import SKETCH_WORDS, MinHasher
 from trafficlens.llm.words import mix, shingle_hashes, words
 
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+# members of a bucket that are compared with others in one task
+BLOCK_MEMBERS = 1024
 _SET = "doc_id long, set_a long, members array<long>, sketch array<long>"
 
 
@@ -39,7 +41,8 @@ class NearDuplicates:
     """similarity in percent; bands x rows: 32 x 5 misses a pair at 80 % three times in a million.
 
     The odd sketch holds sketch_samples more. hub_turns: how often members outside the
-    main component of a bucket try another member of it before they meet all.
+    main component of a bucket try others of it before they meet all, hubs of them at
+    first and twice as many every turn.
     """
 
     shingle_words: int = 5
@@ -47,7 +50,8 @@ class NearDuplicates:
     bands: int = 32
     rows: int = 5
     sketch_samples: int = 1000
-    hub_turns: int = 3
+    hub_turns: int = 4
+    hubs: int = 8
 
     def hasher(self) -> MinHasher:
         return MinHasher(self.bands, self.rows)
@@ -102,44 +106,55 @@ def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     classes: (node, n_shingles, set_a, bands). sets_of gives (node, members, sketch) for
     some of these rows.
     """
-    shown = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = stored(
-        shown.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1"),
-        "buckets",
-    ).select("bucket", "hub")
+    shown = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = stored(shown.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = stored(shown.join(shared, "bucket"), "members")
-    nodes = members.select("node").distinct()
-    wanted = stored(classes.join(nodes, "node").select("node", "n_shingles", "set_a", "bands"), "wanted")
+    # the hub of a bucket is the member that shares most buckets with others: what copies were made of
+    central = members.groupBy("node").agg(F.sum("size").alias("beside"))
+    hubs = members.join(central, "node").groupBy("bucket").agg(
+        F.max(F.struct("beside", (-F.col("node")).alias("hub"))).alias("most")
+    )
+    hubs = stored(hubs.select("bucket", (-F.col("most.hub")).alias("hub")), "hubs")
+    wanted = stored(
+        classes.join(central.select("node"), "node").select("node", "n_shingles", "set_a", "bands"), "wanted"
+    )
     sets = stored(sets_of(wanted), "sets")
     profile = stored(wanted.join(sets.select("node", "sketch"), "node"), "profiles")
 
     # one hub for each member: the one it shares most buckets with
-    met = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    met = members.join(hubs, "bucket").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
     to_hub = _beside(best.select(F.col("node").alias("a"), (-F.col("best.hub")).alias("b")), profile, how)
     links = stored(_confirmed(to_hub.select("a", "b"), sets, how), "links")
+    placed, open_buckets = _placed(members, links)
     for turn in range(how.hub_turns):
+        if open_buckets.isEmpty():
+            return links
+        links = stored(links.union(_to_other_hubs(placed, open_buckets, profile, sets, how, turn)), "links")
         placed, open_buckets = _placed(members, links)
-        links = stored(links.union(_to_another_hub(placed, open_buckets, profile, sets, how, turn)), "links")
-    placed, open_buckets = _placed(members, links)
     left = stored(
         placed.join(open_buckets, "bucket").join(profile.drop("set_a"), "node"), "open-members"
     )
+    # members of a bucket lie in blocks, and one outside its main component is sent to each of them
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
     a = left.filter("component <> main").select(
-        "bucket", F.col("component").alias("c_a"), F.col("bands").alias("bands_a"), *_side("a")
+        "bucket", every, F.col("component").alias("c_a"), F.col("bands").alias("bands_a"), *_side("a")
     )
-    b = left.select("bucket", F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), *_side("b"))
+    b = left.select("bucket", own, F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), *_side("b"))
     # a pair that shares several buckets comes from the first of them
     first_shared = F.array_intersect("bands_a", "bands_b")[0] == a["bucket"]
+    same = (a["bucket"] == b["bucket"]) & (a["block"] == b["block"])
     across = a.join(
-        b, (a["bucket"] == b["bucket"]) & (F.col("c_a") != F.col("c_b")) & _may_link(how) & first_shared
+        b, same & (F.col("c_a") != F.col("c_b")) & _may_link(how) & first_shared
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.union(_confirmed(stored(across.distinct(), "across"), sets, how))
 
 
 def _placed(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node, component) by the links so far, and (bucket, main) of the buckets with
-    several components, with the largest of them."""
+    """(bucket, node, component) by the links so far, and of the buckets with several
+    components (bucket, main, main_size, members): the largest of them and the sizes."""
     label = components(links)
     placed = stored(
         members.join(label, "node", "left").select(
@@ -150,20 +165,33 @@ def _placed(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_buckets = (
         sizes.groupBy("bucket")
-        .agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("main"))
+        .agg(
+            F.count("*").alias("components"),
+            F.max(F.struct("n", "component")).alias("main"),
+            F.sum("n").alias("members"),
+        )
         .filter("components > 1")
-        .select("bucket", F.col("main.component").alias("main"))
+        .select("bucket", F.col("main.component").alias("main"), F.col("main.n").alias("main_size"), "members")
     )
     return placed, stored(open_buckets, "open-buckets")
 
 
-def _to_another_hub(placed, open_buckets, profile, sets, how: NearDuplicates, turn: int) -> DataFrame:
-    """Links of members outside the main component of a bucket to one inside, the most similar of one a bucket."""
+def _to_other_hubs(placed, open_buckets, profile, sets, how: NearDuplicates, turn: int) -> DataFrame:
+    """Links of members outside the main component of a bucket to some inside.
+
+    In one of its buckets each meets about ``hubs`` members of the main component, twice as
+    many every turn; the one whose sketch is nearest is confirmed. So a member that links
+    with one in p of the main component is inside after about p meetings.
+    """
     inside = placed.join(open_buckets, "bucket")
-    order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-    hubs = stored(inside.filter("component = main").groupBy("bucket").agg(F.min(order)["node"].alias("b")), "hubs")
-    outside = inside.filter("component <> main").select("bucket", F.col("node").alias("a"))
-    near = _beside(outside.join(hubs, "bucket").select("a", "b").distinct(), profile, how)
+    hubs = how.hubs << turn
+    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("main_size")) < hubs
+    hub = inside.filter(F.col("component") == F.col("main")).filter(drawn).select("bucket", F.col("node").alias("b"))
+    order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)), "bucket")
+    outside = (
+        inside.filter(F.col("component") != F.col("main")).groupBy("node").agg(F.min(order)["bucket"].alias("bucket"))
+    )
+    near = _beside(stored(outside.select("bucket", F.col("node").alias("a")).join(hub, "bucket").select("a", "b"), "met"), profile, how)
     best = near.groupBy("a").agg(F.min(F.struct("odd", "b"))["b"].alias("b"))
     return _confirmed(best, sets, how)
 
