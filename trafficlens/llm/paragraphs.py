@@ -4,10 +4,12 @@ A paragraph is a line of enough words. Paragraphs with equal words are one class
 keys of MinHash samples, tuned for high recall, bring classes together, exact Jaccard
 similarity confirms, and of each connected component the first paragraph stays.
 
-A passage pasted into the middle of a line is in no two equal paragraphs. So the
-sentences inside are classes too: a sentence whose words stand in an earlier document
-is marked, and marked sentences that follow each other are removed once they add up to
-a passage. Shorter repeats, such as a common line or greeting, stay.
+A passage pasted into other text is in no two equal paragraphs. So runs of a few words
+are compared too. Which runs is decided by their content alone, wherever lines end: of
+every ``window`` runs that follow each other the one with the least hash is an anchor, so
+two documents that share window + anchor_words - 1 words share an anchor. Anchors that
+an earlier document has are marked, and marked anchors without a gap are removed once
+they add up to a passage. Shorter repeats, such as a common line or greeting, stay.
 """
 
 from __future__ import annotations
@@ -28,27 +30,27 @@ from trafficlens.llm.words import Words, mix, shingle_hashes, words
 
 _UNIT = "doc_id long, text_key long, line boolean, lo int, hi int, node long, n_shingles long, bands array<long>"
 _SET = "node long, members array<long>, sketch array<long>"
-# words on both sides that decide a break inside a long sentence
-_REACH = 5
-_STOPS = np.zeros(256, bool)
-_STOPS[list(b".?!")] = True
 
 
 @dataclass(frozen=True)
 class PassageRules:
-    """paragraph_words, sentence_words: shorter ones are not compared.
+    """passage_words: repeated words in a row that are a passage; paragraphs of fewer stay too.
 
-    passage_words: marked words in a row that are removed. missed: chance that bands of
-    ``rows`` samples miss two paragraphs at ``percent`` similarity.
+    At both ends of a passage up to window - 1 words may lie outside its anchors, so marked
+    words count as a passage from passage_words - 2 * (window - 1) on. missed: chance that
+    bands of ``rows`` samples miss two paragraphs at ``percent`` similarity.
     """
 
     shingle_words: int = 5
     percent: int = 80
     rows: int = 3
     missed: float = 0.001
-    paragraph_words: int = 20
-    sentence_words: int = 5
-    passage_words: int = 30
+    passage_words: int = 50
+    anchor_words: int = 6
+    window: int = 8
+
+    def least_marked(self) -> int:
+        return max(self.anchor_words, self.passage_words - 2 * (self.window - 1))
 
     def near(self) -> NearDuplicates:
         bands = ceil(log(self.missed) / log(1 - (self.percent / 100) ** self.rows))
@@ -60,14 +62,14 @@ def without_repeats(docs: DataFrame, rules: PassageRules = PassageRules()) -> Da
 
     The copy in the smallest doc_id stays whole. Letters A-Z count as a-z. A null text
     stays null; a row without doc_id is not compared and stays as it is; rows equal in
-    doc_id and text are cut alike. Cutting leaves the rest of a text as it was, with one
+    doc_id and text are cut alike. An empty table gives an empty result. Cutting leaves the rest of a text as it was, with one
     space or line feed where a passage was. An input column removed_words is replaced.
     """
     docs = docs.drop("removed_words")
     ids = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     with temporary(docs):
         units = stored(map_batches(ids, _splitter(rules), _UNIT), "units")
-        marked = _marked_sentences(units).withColumn("whole", F.lit(False))
+        marked = _marked_anchors(units).withColumn("whole", F.lit(False))
         doubled = _doubled_paragraphs(ids, units, rules).withColumn("whole", F.lit(True))
         cuts = marked.unionByName(doubled).groupBy("doc_id").agg(
             F.collect_list(F.struct("text_key", "lo", "hi", "whole")).alias("_cuts")
@@ -93,13 +95,12 @@ def keep_first(docs: DataFrame, rules: PassageRules = PassageRules()) -> DataFra
 # -- finding ----------------------------------------------------------------------
 
 
-def _marked_sentences(units: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lo, hi) of sentences that an earlier document has."""
-    sentences = units.filter("NOT line").select("doc_id", "text_key", "lo", "hi", "node")
-    place = F.struct("doc_id", "text_key")
-    first = sentences.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    shared = stored(first.filter("first <> last").select("node", "first"), "shared-sentences")
-    return sentences.join(shared, "node").filter(place != F.col("first")).select("doc_id", "text_key", "lo", "hi")
+def _marked_anchors(units: DataFrame) -> DataFrame:
+    """(doc_id, text_key, lo, hi) of anchors that an earlier document has."""
+    anchors = units.filter("NOT line").select("doc_id", "text_key", "lo", "hi", "node")
+    first = anchors.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    shared = stored(first.filter("first <> last").select("node", "first"), "shared-anchors")
+    return anchors.join(shared, "node").filter("doc_id <> first").select("doc_id", "text_key", "lo", "hi")
 
 
 def _doubled_paragraphs(ids: DataFrame, units: DataFrame, rules: PassageRules) -> DataFrame:
@@ -147,40 +148,31 @@ def _run_keys(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
 
 
-def _breaks(part: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where a line, a sentence, and a word with a capital begins, for each word of a slice."""
+def _line_begins(part: Words) -> np.ndarray:
+    """Whether a line begins with it, for each word of a slice."""
     data, starts, ends = part.data, part.starts, part.ends
     lo, hi = int(starts[0]), int(ends[-1])
-    feeds = np.concatenate([[0], np.cumsum(data[lo:hi] == 10)])
+    feeds = np.flatnonzero(data[lo:hi] == 10) + lo
     line = np.ones(len(starts), bool)
-    line[1:] = feeds[starts[1:] - lo] > feeds[ends[:-1] - lo]
+    line[1:] = np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1])
     line[part.offsets[:-1][part.offsets[:-1] < len(starts)]] = True
-    last, before = data[ends - 1], data[np.maximum(ends - 2, starts)]
-    stop = _STOPS[last] & ~_STOPS[before]
-    sentence = line.copy()
-    sentence[1:] |= stop[:-1]
-    sentence |= _inner_breaks(part.hashes, sentence)
-    a, b = data[starts], data[np.minimum(starts + 1, ends - 1)]
-    ascii_capital = (a >= 65) & (a <= 90) & ((b >= 97) | (ends - starts == 1))
-    latin_capital = (a == 0xC3) & (b >= 0x80) & (b <= 0x9E)
-    return line, sentence, ascii_capital | latin_capital
-
+    return line
 
-def _inner_breaks(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
-    """Breaks of long sentences, where a hash of two words is least among its neighbours.
 
-    They depend on the words around them alone, so copies break at the same words.
-    """
-    n = len(hashes)
-    two = mix(hashes * np.uint64(3) + np.concatenate([hashes[:1], hashes[:-1]]))
-    least = np.ones(n, bool)
-    for step in range(1, min(_REACH, n - 1) + 1):
-        least[step:] &= two[step:] < two[:-step]
-        least[:-step] &= two[:-step] < two[step:]
-    begin = np.flatnonzero(sentence)
-    long = np.diff(np.append(begin, n)) > 3 * _REACH
-    of = np.cumsum(sentence) - 1
-    return least & long[of]
+def _anchors(hashes: np.ndarray, rules: PassageRules) -> np.ndarray:
+    """Where the anchors of one text begin: the last least run of every ``window`` of them."""
+    n = len(hashes) - rules.anchor_words + 1
+    if n < rules.window:
+        return np.zeros(0, np.int64)
+    begin = np.arange(n)
+    keys = _run_keys(hashes, begin, begin + rules.anchor_words).view(np.uint64)
+    best, place = keys[: n - rules.window + 1].copy(), begin[: n - rules.window + 1].copy()
+    for step in range(1, rules.window):
+        other = keys[step : step + len(best)]
+        less = other <= best
+        best[less] = other[less]
+        place[less] = begin[step : step + len(best)][less]
+    return place[np.concatenate([[True], place[1:] != place[:-1]])]
 
 
 def _splitter(rules: PassageRules):
@@ -198,8 +190,8 @@ def _splitter(rules: PassageRules):
 
 
 def _units(part: Words, ids: np.ndarray, hasher: MinHasher, rules: PassageRules):
-    """Record batches of the paragraphs and the sentences of a slice."""
-    line, sentence, capital = _breaks(part)
+    """Record batches of the paragraphs and the anchors of a slice."""
+    line = _line_begins(part)
     n = len(line)
     text = np.repeat(np.arange(len(part)), np.diff(part.offsets))
     keys = np.array([_text_key(part.hashes[a:b]) for a, b in zip(part.offsets[:-1], part.offsets[1:], strict=True)], np.int64)
@@ -225,17 +217,11 @@ def _units(part: Words, ids: np.ndarray, hasher: MinHasher, rules: PassageRules)
             }
         )
 
-    lo, hi = runs(sentence, rules.sentence_words)
-    # a passage may begin inside a sentence: what follows its first capital is a run too
-    inner = np.flatnonzero(capital & ~sentence)
-    if len(inner):
-        of = np.cumsum(sentence)[inner]
-        inner = inner[np.concatenate([[True], of[1:] != of[:-1]])]
-        end = np.append(np.flatnonzero(sentence), n)[np.cumsum(sentence)[inner]]
-        enough = end - inner >= rules.sentence_words
-        lo, hi = np.concatenate([lo, inner[enough]]), np.concatenate([hi, end[enough]])
-    yield columns(lo, hi, False, np.zeros(len(lo), np.int64), [[]] * len(lo))
-    lo, hi = runs(line, max(rules.paragraph_words, rules.shingle_words))
+    found = [_anchors(part.hashes[a:b], rules) + a for a, b in zip(part.offsets[:-1], part.offsets[1:], strict=True)
+             if b - a >= rules.least_marked()]
+    lo = np.concatenate(found) if found else np.zeros(0, np.int64)
+    yield columns(lo, lo + rules.anchor_words, False, np.zeros(len(lo), np.int64), pa.nulls(len(lo), pa.list_(pa.int64())))
+    lo, hi = runs(line, max(rules.passage_words, rules.shingle_words))
     if not len(lo):
         return
     # all shingles of the slice, then those of each paragraph one after another
@@ -304,7 +290,7 @@ def _cutter(rules: PassageRules):
 
 
 def _to_remove(part: Words, i: int, cuts: list[dict] | None, rules: PassageRules) -> list[tuple[int, int]]:
-    """Word spans: whole paragraphs, and marked sentences that make a passage."""
+    """Word spans: whole paragraphs, and marked anchors that make a passage."""
     if not cuts:
         return []
     own = part.hashes[part.offsets[i] : part.offsets[i + 1]]
@@ -313,12 +299,12 @@ def _to_remove(part: Words, i: int, cuts: list[dict] | None, rules: PassageRules
     for c in cuts:
         if c["text_key"] == key:
             (drop if c["whole"] else marked)[c["lo"] : c["hi"]] = True
-    # sentences too short to be compared belong to the marked ones on both sides
+    # anchors that follow each other begin at most a window apart
     for lo, hi in _spans(~(marked | drop)):
-        if lo and hi < len(own) and hi - lo < rules.sentence_words:
+        if lo and hi < len(own) and hi - lo <= rules.window - rules.anchor_words:
             marked[lo:hi] = True
     for lo, hi in _spans(marked | drop):
-        if hi - lo >= rules.passage_words:
+        if hi - lo >= rules.least_marked():
             drop[lo:hi] = True
     return _spans(drop)
 
