@@ -145,15 +145,37 @@ def late_rows(spark, d):
     The last batch is behind the watermark.
     """
     folder = scratch_path(spark, "late")
-    lines = tables.lines(spark, d).select("value")
-    day = F.regexp_extract("value", r"\[(\d{2})/", 1).try_cast("int")
-    newest, oldest = day > 20, day <= 10
-    rest = ~F.coalesce(newest | oldest, F.lit(False))
-    for name, wanted in (("1", newest), ("2", rest), ("3", oldest)):
-        lines.filter(wanted).repartition(4).write.text(f"{folder}/batch={name}")
-    arriving = enrich(clean(parse_common(stream_lines(spark, folder, max_files_per_trigger=4))))
+    arriving = _newest_first(spark, d, folder, files=4)
     notes, checkpoint = scratch_path(spark, "late-rows"), scratch_path(spark, "checkpoint")
     streaming.note_late_rows(
         arriving, notes, checkpoint, duration="1 day", once=True
     ).awaitTermination()
     return streaming.late_row_notes(spark, notes).agg(F.sum("late_rows").alias("late_rows"))
+
+
+def _newest_first(spark, d, folder, files):
+    """The stream of all lines, in three parts by day, that many files a batch."""
+    lines = tables.lines(spark, d).select("value")
+    day = F.regexp_extract("value", r"\[(\d{2})/", 1).try_cast("int")
+    newest, oldest = day > 20, day <= 10
+    rest = ~F.coalesce(newest | oldest, F.lit(False))
+    for name, wanted in (("1", newest), ("2", rest), ("3", oldest)):
+        lines.filter(wanted).repartition(files).write.text(f"{folder}/batch={name}")
+    return enrich(clean(parse_common(stream_lines(spark, folder, max_files_per_trigger=files))))
+
+
+@query(
+    "k02_dropped_rows",
+    """SELECT (SELECT count("timestamp") FROM enriched) AS rows_read, count(*) AS dropped, true AS told_by_state
+      FROM enriched WHERE day(day_start) <= 10""",
+)
+def dropped_rows(spark, d):
+    """What the window job itself dropped of the same delivery, from its own books."""
+    arriving = streaming.observed(_newest_first(spark, d, scratch_path(spark, "late"), files=4))
+    windows = streaming.stream_client_windows(arriving, tables.DAY_LIMITS, duration="1 day")
+    out, checkpoint, ledger = (scratch_path(spark, n) for n in ("stream-windows", "checkpoint", "ledger"))
+    streaming.run_counted(windows, out, checkpoint, ledger)
+    told = streaming.read_ledger(spark, ledger).agg((F.sum("state_rows_dropped") > 0).alias("told_by_state"))
+    return streaming.dropped_rows(spark, out, checkpoint, ledger).select(
+        "rows_read", "dropped", F.lit(bool(told.first()[0])).alias("told_by_state")
+    )

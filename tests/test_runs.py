@@ -139,3 +139,33 @@ def test_scratch_folder_comes_from_the_session(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(session_with(spark_master="spark://x"), "x")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_window_job_accounts_for_every_row(spark, tmp_path, files):
+    """Read, emitted, open and dropped rows of the job itself, over restarts and idle runs."""
+    lines, out, checkpoint, ledger = (str(tmp_path / n) for n in ("lines", "out", "checkpoint", "ledger"))
+    line = '10.0.0.{} - - [{:02d}/Jan/2024:12:{:02d}:00 +0000] "GET /a/{} HTTP/1.1" 200 5'
+
+    def deliver(name, day, n):
+        rows = [(line.format(i % 3, day, i % 60, i % 7),) for i in range(n)] + [("not a line",)]
+        spark.createDataFrame(rows, "value string").repartition(4).write.text(f"{lines}/batch={name}")
+
+    def run():
+        arriving = enrich(clean(parse_common(stream_lines(spark, lines, max_files_per_trigger=files))))
+        windows = streaming.stream_client_windows(streaming.observed(arriving), duration="1 day")
+        streaming.run_counted(windows, out, checkpoint, ledger)
+        return tuple(streaming.dropped_rows(spark, out, checkpoint, ledger).first())
+
+    deliver("1", 20, 40)
+    assert run() == (40, 0, 40, 0)
+    deliver("2", 22, 30)
+    read, emitted, still_open, dropped = run()
+    assert (read, dropped) == (70, 0) and emitted + still_open == 70 and still_open >= 30
+    assert run() == (read, emitted, still_open, 0)  # nothing new
+    deliver("3", 2, 25)  # far behind
+    deliver("4", 22, 10)  # in time
+    read, emitted, still_open, dropped = run()
+    assert (read, dropped) == (105, 25) and emitted + still_open == 80
+    told = streaming.read_ledger(spark, ledger).agg(F.sum("rows"), F.sum("state_rows_dropped") > 0).first()
+    assert tuple(told) == (105, True)
