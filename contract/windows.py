@@ -12,6 +12,7 @@ from trafficlens.operators.clean import clean
 from trafficlens.operators.enrich import enrich
 from trafficlens.operators.parse import parse_common
 from trafficlens.plans.access import access_rows
+from trafficlens.sources.sinks import cut
 from trafficlens.sources.text import stream_lines
 from trafficlens.sources.workspace import scratch_path
 from trafficlens.streaming import windows as streaming
@@ -60,12 +61,28 @@ _measure("e06_severity_counts", "fatal_count", "medium_count", "low_count")
 _measure("e07_error_rate", "error_rate")
 
 
-@query("e05_approximate_endpoints")
+_SLIDING = """SELECT *, time_bucket(INTERVAL 6 HOUR, "timestamp", TIMESTAMP '1970-01-01')
+    - to_hours(6 * step) AS slide_start FROM enriched, (SELECT unnest([0, 1, 2, 3]) AS step)"""
+
+
+@query("e05_approximate_endpoints", "SELECT ip, window_start, unique_endpoints FROM day_counts")
 def approximate_endpoints(spark, d):
+    """By sketches, which hold as few endpoints as a day has here exactly."""
     counts = ops.window_counts(tables.enriched(spark, d), tables.DAY, approximate=0.02)
     return counts.select("ip", "window_start", "unique_endpoints")
 
 
+@query(
+    "e05_merged_sketches",
+    f""", slid AS ({_SLIDING}), sliding AS ({window_counts("1 DAY", "slide_start", "slid")})
+      SELECT ip, window_start, {MEASURES} FROM sliding""",
+)
+def merged_sketches(spark, d):
+    """Sliding days from sketches stored by hour, without going back to the requests."""
+    hours = cut(ops.pane_sketches(tables.enriched(spark, d), "1 hour"), scratch_path(spark, "sketches"))
+    return ops.from_sketches(hours, tables.DAY, "6 hours").drop("window_end")
+
+
 @query("f01_anomaly_type", "SELECT ip, window_start, anomaly_type FROM windows")
 def anomaly_type(spark, d):
     return tables.windows(spark, d).select("ip", "window_start", "anomaly_type")
@@ -94,10 +111,6 @@ def client_windows(spark, d):
     return ops.client_windows(tables.enriched(spark, d))
 
 
-_SLIDING = """SELECT *, time_bucket(INTERVAL 6 HOUR, "timestamp", TIMESTAMP '1970-01-01')
-    - to_hours(6 * step) AS slide_start FROM enriched, (SELECT unnest([0, 1, 2, 3]) AS step)"""
-
-
 @query(
     "k03_sliding_windows",
     f""", slid AS ({_SLIDING}), sliding AS ({window_counts("1 DAY", "slide_start", "slid")}),

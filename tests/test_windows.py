@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trafficlens.functions.rules import Thresholds
+from trafficlens.operators import windows as ops
 from trafficlens.operators.clean import clean
 from trafficlens.operators.enrich import enrich, request_profile
 from trafficlens.operators.histogram import histogram
@@ -191,3 +192,27 @@ def test_empty_files_are_listed(spark, tmp_path):
     (tmp_path / "d e.log").write_text("three")
     rows = {r.file.rsplit("/", 1)[1]: r.lines for r in lines_per_file(spark, f"{tmp_path}/*.log").collect()}
     assert rows == {"a.log": 2, "b%20c.log": 0, "d%20e.log": 1}
+
+
+def test_sketches_merge_within_their_error(spark):
+    """Hours from minutes, overlapping, with many endpoints: sums exact, distinct counts near."""
+    n = 60_000
+    seconds = F.col("id") % 7200
+    rows = spark.range(n).select(
+        F.lit("10.0.0.1").alias("ip"),
+        F.timestamp_seconds(1704067200 + seconds).alias("timestamp"),
+        F.concat(F.lit("/"), (F.col("id") * 7919 % 20011).cast("string")).alias("endpoint"),
+        F.col("id").alias("bytes"),
+        F.lit(0).alias("is_error"), F.lit(0).alias("is_bot"), F.lit(0).alias("is_off_hours"),
+        F.lit("none").alias("error_severity"),
+    )
+    panes = ops.pane_sketches(rows, "1 minute", error=0.02)
+    merged = {r.window_start: r for r in ops.from_sketches(panes, "1 hour", "20 minutes").collect()}
+    exact = {r.window_start: r for r in ops.window_counts(rows, "1 hour", "20 minutes").collect()}
+    assert merged.keys() == exact.keys() and len(exact) == 8
+    for at, own in exact.items():
+        assert merged[at].request_count == own.request_count
+        assert merged[at].avg_bytes == pytest.approx(own.avg_bytes)
+        assert abs(merged[at].unique_endpoints - own.unique_endpoints) <= 4 * 0.02 * own.unique_endpoints
+    direct = {r.window_start: r.unique_endpoints for r in ops.window_counts(rows, "1 hour", "20 minutes", approximate=0.02).collect()}
+    assert direct == {at: r.unique_endpoints for at, r in merged.items()}
