@@ -12,7 +12,7 @@ from trafficlens.functions.rules import Thresholds
 from trafficlens.operators import windows as ops
 from trafficlens.operators.clean import clean
 from trafficlens.operators.enrich import enrich, request_profile
-from trafficlens.operators.histogram import histogram
+from trafficlens.operators.histogram import histogram, histograms
 from trafficlens.operators.parse import parse_combined
 from trafficlens.operators.windows import apply_rules, client_windows, window_counts
 from trafficlens.plans import reports
@@ -216,3 +216,21 @@ def test_sketches_merge_within_their_error(spark):
         assert abs(merged[at].unique_endpoints - own.unique_endpoints) <= 4 * 0.02 * own.unique_endpoints
     direct = {r.window_start: r.unique_endpoints for r in ops.window_counts(rows, "1 hour", "20 minutes", approximate=0.02).collect()}
     assert direct == {at: r.unique_endpoints for at, r in merged.items()}
+
+
+def test_all_histograms_come_from_one_scan(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), int(b), None) for a, b in zip(rng.normal(size=500), rng.integers(0, 9, 500))]
+    spark.createDataFrame(rows, "a double, b int, c double").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    found = histograms(stored, {"a": 7, "b": 4, "c": 2})
+    got = {}
+    for r in found.orderBy("column", "bin").collect():
+        got.setdefault(r["column"], []).append(r["count"])
+    for i, (name, bins) in enumerate((("a", 7), ("b", 4))):
+        assert got[name] == np.histogram([r[i] for r in rows], bins)[0].tolist()
+    assert got["c"] == [0, 0]
+    together = found.groupBy().agg(F.sum("count"))
+    assert together.collect()[0][0] == 1000
+    final = together._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final

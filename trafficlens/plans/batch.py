@@ -29,6 +29,7 @@ class Tables:
     clients: DataFrame
     endpoints: DataFrame
     rejected: DataFrame
+    histograms: DataFrame
 
 
 def build_tables(
@@ -55,7 +56,8 @@ def build_tables(
     endpoints = cut(
         requests.groupBy("endpoint").agg(F.count("*").alias("requests")), f"{folder}/endpoints"
     )
-    return Tables(requests, windows, profile, clients, endpoints, rejected)
+    histograms = cut(reports.window_histograms(windows), f"{folder}/histograms")
+    return Tables(requests, windows, profile, clients, endpoints, rejected, histograms)
 
 
 def report_tables(tables: Tables) -> dict[str, DataFrame]:
@@ -84,9 +86,9 @@ def report_tables(tables: Tables) -> dict[str, DataFrame]:
         "errors_by_source": reports.errors_by_source(p),
         "anomaly_types": reports.anomaly_types(w),
         "severities": reports.severities(w),
-        "score_histogram": reports.score_histogram(w),
-        "request_count_histogram": reports.request_count_histogram(w),
-        "error_rate_histogram": reports.error_rate_histogram(w),
+        "score_histogram": reports.one_histogram(tables.histograms, "severity_score"),
+        "request_count_histogram": reports.one_histogram(tables.histograms, "request_count"),
+        "error_rate_histogram": reports.one_histogram(tables.histograms, "error_rate"),
         "anomaly_by_severity": reports.anomaly_by_severity(w),
         "business_summary": reports.business_summary(p, w),
         "anomaly_breakdown": reports.anomaly_breakdown(w),

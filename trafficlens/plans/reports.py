@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trafficlens import fixed_values as fixed
 from trafficlens.functions import requests as rq
 from trafficlens.operators.clean import quality
-from trafficlens.operators.histogram import histogram
+from trafficlens.operators.histogram import histogram, histograms
 from trafficlens.operators.ranking import (
     by_count,
     count_by,
@@ -153,15 +153,28 @@ def severities(windows: DataFrame) -> DataFrame:
     )
 
 
-def score_histogram(windows: DataFrame, bins: int = 40) -> DataFrame:
+WINDOW_BINS = {"severity_score": 40, "request_count": 50, "error_rate": 40}
+
+
+def window_histograms(windows: DataFrame) -> DataFrame:
+    """All three histograms of the windows with the name of their column, from one scan."""
+    return histograms(windows, WINDOW_BINS)
+
+
+def one_histogram(found: DataFrame, column: str) -> DataFrame:
+    """The histogram of one column out of ``window_histograms``."""
+    return found.filter(F.col("column") == column).drop("column").orderBy("bin")
+
+
+def score_histogram(windows: DataFrame, bins: int = WINDOW_BINS["severity_score"]) -> DataFrame:
     return histogram(windows, "severity_score", bins)
 
 
-def request_count_histogram(windows: DataFrame, bins: int = 50) -> DataFrame:
+def request_count_histogram(windows: DataFrame, bins: int = WINDOW_BINS["request_count"]) -> DataFrame:
     return histogram(windows, "request_count", bins)
 
 
-def error_rate_histogram(windows: DataFrame, bins: int = 40) -> DataFrame:
+def error_rate_histogram(windows: DataFrame, bins: int = WINDOW_BINS["error_rate"]) -> DataFrame:
     return histogram(windows, "error_rate", bins)
 
 
