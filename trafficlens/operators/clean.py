@@ -12,11 +12,12 @@ from trafficlens.operators.ranking import percent, weight, weight_column
 from trafficlens.schema import ACCESS_SCHEMA
 
 
-def clean(parsed: DataFrame) -> DataFrame:
+def clean(parsed: DataFrame, *carried: str) -> DataFrame:
     """Cast the raw strings of well-formed lines and add the status columns.
 
     Runs after the malformed lines are gone, and every cast is a ``try_`` one, so
     a bad value becomes null instead of failing the job, with ANSI mode on or off.
+    Columns that are ``carried`` come through as they are.
     """
     typed = parsed.withColumn("status_code", rq.status_number(F.col("status_raw")))
     status = F.col("status_code")
@@ -33,12 +34,13 @@ def clean(parsed: DataFrame) -> DataFrame:
         rq.error_flag(status).alias("is_error"),
         rq.status_class(status).alias("status_class"),
         "source",
+        *carried,
     )
 
 
-def merge(*cleaned: DataFrame) -> DataFrame:
+def merge(*cleaned: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """All rows of all sources, matched by column name; duplicates stay."""
-    return reduce(DataFrame.unionByName, cleaned).select(*ACCESS_SCHEMA.names)
+    return reduce(DataFrame.unionByName, cleaned).select(*ACCESS_SCHEMA.names, *carried)
 
 
 def quality(access: DataFrame) -> DataFrame:

@@ -91,9 +91,24 @@ def quarantine(lines: DataFrame, fmt: LogFormat, column: str = "value") -> DataF
     return _with_groups(lines, fmt, column).filter(~_matched()).drop("_groups")
 
 
+def route(lines: DataFrame, fmt: LogFormat, column: str = "value") -> DataFrame:
+    """Every line once: ``accepted``, the fields of a matching line, the text of another.
+
+    What ``parse_lines`` and ``quarantine`` give apart, from one match per line.
+    """
+    rejected = F.when(~_matched(), F.col(column)).alias("rejected_line")
+    return _with_groups(lines.select(column), fmt, column).select(
+        _matched().alias("accepted"), rejected, *_pick(fmt)
+    )
+
+
 def parse_common(lines: DataFrame, source: str = fixed.ACCESS_SOURCE) -> DataFrame:
     """Common Log Format: no user agent, so never a bot."""
-    return parse_lines(lines.select("value"), COMMON).select(
+    return as_common(parse_lines(lines.select("value"), COMMON), source)
+
+
+def as_common(fields: DataFrame, source: str = fixed.ACCESS_SOURCE) -> DataFrame:
+    return fields.select(
         "*",
         F.lit(None).cast("string").alias("user_agent"),
         F.lit(0).alias("is_bot"),
@@ -107,7 +122,15 @@ def parse_combined(
     bot_keywords: tuple[str, ...] = fixed.BOT_KEYWORDS,
 ) -> DataFrame:
     """Combined Log Format: Common plus user agent; the referrer is not kept."""
-    return parse_lines(lines.select("value"), COMBINED).select(
+    return as_combined(parse_lines(lines.select("value"), COMBINED), source, bot_keywords)
+
+
+def as_combined(
+    fields: DataFrame,
+    source: str = fixed.WEB_SERVER_SOURCE,
+    bot_keywords: tuple[str, ...] = fixed.BOT_KEYWORDS,
+) -> DataFrame:
+    return fields.select(
         "*",
         rq.bot_flag(F.col("user_agent"), bot_keywords).alias("is_bot"),
         F.lit(source).alias("source"),

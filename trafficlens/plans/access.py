@@ -42,6 +42,24 @@ def rejected_lines(
     return reduce(DataFrame.unionByName, rejected)
 
 
+ROUTED = ("accepted", "rejected_line")
+
+
+def routed_rows(
+    common_lines: DataFrame | None = None, combined_lines: DataFrame | None = None
+) -> DataFrame:
+    """Every line of one or both formats once: access rows with ``accepted`` and, for the
+    lines that are none, ``rejected_line`` and nulls."""
+    routed = []
+    if common_lines is not None:
+        routed.append(parse.as_common(parse.route(common_lines, parse.COMMON)))
+    if combined_lines is not None:
+        routed.append(parse.as_combined(parse.route(combined_lines, parse.COMBINED)))
+    if not routed:
+        raise ValueError("no lines of either format")
+    return clean.merge(*(clean.clean(rows, *ROUTED) for rows in routed), carried=ROUTED)
+
+
 def lines_of(
     spark: SparkSession, common_path: PathOrPaths | None, combined_path: PathOrPaths | None
 ) -> tuple[DataFrame | None, DataFrame | None]:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.functions.rules import Thresholds
 from trafficlens.operators.enrich import enrich, request_profile
 from trafficlens.operators.windows import client_windows
 from trafficlens.plans import reports, training
-from trafficlens.plans.access import access_rows, lines_of, rejected_lines
+from trafficlens.plans.access import ROUTED, lines_of, routed_rows
 from trafficlens.plans.server import read_typed_server
-from trafficlens.schema import ACCESS_SCHEMA, null_violations
+from trafficlens.schema import null_counters, violations
 from trafficlens.sources.sinks import cut, write_csv
 from trafficlens.sources.text import PathOrPaths, lines_per_file
 
@@ -30,6 +30,7 @@ class Tables:
     endpoints: DataFrame
     rejected: DataFrame
     histograms: DataFrame
+    conformance: DataFrame
 
 
 def build_tables(
@@ -43,13 +44,19 @@ def build_tables(
 ) -> Tables:
     """Read and parse the text once; everything else starts from the parquet copy.
 
-    The enriched requests are written as they come, without a shuffle. Windows,
-    profile and totals then read only the columns they need from it, and a lost
-    executor costs the tasks it was running, not the parse.
+    Enriched requests and rejected lines are written as they come, without a shuffle, to
+    partitions of their own below ``requests``; nulls are counted on the way. Windows, profile
+    and totals then read only the columns they need, and a lost executor costs the tasks
+    it was running, not the parse.
     """
-    lines = lines_of(spark, common_path, combined_path)
-    requests = cut(enrich(access_rows(*lines), zone), f"{folder}/requests")
-    rejected = cut(rejected_lines(*lines), f"{folder}/rejected")
+    every_line = enrich(routed_rows(*lines_of(spark, common_path, combined_path)), zone)
+    passed = Observation("conformance")
+    counted = every_line.observe(passed, *null_counters(among=F.col("accepted")))
+    counted.write.partitionBy("accepted").parquet(f"{folder}/requests")
+    stored = spark.read.schema(every_line.schema).parquet(f"{folder}/requests")
+    requests = stored.filter("accepted").drop(*ROUTED)
+    rejected = stored.filter("NOT accepted").select(F.col("rejected_line").alias("value"), "source")
+    conformance = violations(spark, passed.get, requests.schema)
     windows = cut(client_windows(requests, limits, duration), f"{folder}/windows")
     profile = cut(request_profile(requests), f"{folder}/profile")
     clients = cut(reports.client_totals(requests), f"{folder}/clients")
@@ -57,7 +64,7 @@ def build_tables(
         requests.groupBy("endpoint").agg(F.count("*").alias("requests")), f"{folder}/endpoints"
     )
     histograms = cut(reports.window_histograms(windows), f"{folder}/histograms")
-    return Tables(requests, windows, profile, clients, endpoints, rejected, histograms)
+    return Tables(requests, windows, profile, clients, endpoints, rejected, histograms, conformance)
 
 
 def report_tables(tables: Tables) -> dict[str, DataFrame]:
@@ -96,7 +103,7 @@ def report_tables(tables: Tables) -> dict[str, DataFrame]:
         "anomaly_distribution": reports.anomaly_distribution(w),
         "run_stats": reports.run_stats(p, w),
         "rejected_lines": reports.sources(tables.rejected),
-        "conformance": null_violations(tables.requests.select(*ACCESS_SCHEMA.names)),
+        "conformance": tables.conformance,
     }
 
 

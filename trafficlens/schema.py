@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ ACCESS_SCHEMA = T.StructType([
     T.StructField("source", T.StringType(), False),
 ])
 
+# fixed values: column names, types and nullability
 SERVER_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampType(), False),
     T.StructField("log_level", T.StringType(), False),
@@ -63,6 +64,31 @@ def check_schema(
     return df
 
 
+def null_counters(expected: T.StructType = ACCESS_SCHEMA, among: Column | None = None) -> list[Column]:
+    """Counts of nulls, named like the declared columns, to be taken along while rows pass."""
+    rows = F.lit(True) if among is None else among
+    return [F.count_if(rows & F.col(f.name).isNull()).alias(f.name) for f in expected.fields]
+
+
+def violations(
+    spark: SparkSession, nulls: dict[str, int], actual: T.StructType, expected: T.StructType = ACCESS_SCHEMA
+) -> DataFrame:
+    """What ``null_violations`` gives, from counts taken earlier."""
+    rows = [
+        (
+            f.name,
+            f.dataType.simpleString(),
+            actual[f.name].dataType.simpleString(),
+            int(f.nullable),
+            nulls[f.name],
+            0 if f.nullable else nulls[f.name],
+        )
+        for f in expected.fields
+    ]
+    names = "column string, declared_type string, actual_type string, null_allowed int, nulls long, violations long"
+    return spark.createDataFrame(rows, names)
+
+
 def null_violations(df: DataFrame, expected: T.StructType = ACCESS_SCHEMA) -> DataFrame:
     """One row per declared column, with its null count, from a single pass."""
     check_schema(df, expected)
