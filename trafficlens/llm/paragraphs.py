@@ -29,6 +29,7 @@ from trafficlens.llm.near_dedup import NearDuplicates, linked_classes
 from trafficlens.llm.words import Words, mix, shingle_hashes, words
 
 _UNIT = "doc_id long, text_key long, line boolean, lo int, hi int, node long, n_shingles long, bands array<long>"
+_CUTS = "__cuts"
 _SET = "node long, members array<long>, sketch array<long>"
 
 
@@ -47,7 +48,7 @@ class PassageRules:
     missed: float = 0.001
     passage_words: int = 50
     anchor_words: int = 6
-    window: int = 8
+    window: int = 12
 
     def least_marked(self) -> int:
         return max(self.anchor_words, self.passage_words - 2 * (self.window - 1))
@@ -69,13 +70,16 @@ def without_repeats(docs: DataFrame, rules: PassageRules = PassageRules()) -> Da
     ids = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     with temporary(docs):
         units = stored(map_batches(ids, _splitter(rules), _UNIT), "units")
-        marked = _marked_anchors(units).withColumn("whole", F.lit(False))
-        doubled = _doubled_paragraphs(ids, units, rules).withColumn("whole", F.lit(True))
-        cuts = marked.unionByName(doubled).groupBy("doc_id").agg(
-            F.collect_list(F.struct("text_key", "lo", "hi", "whole")).alias("_cuts")
+        own = ["doc_id", "text_key"]
+        marked = _marked_anchors(units).groupBy(*own).agg(F.collect_list("lo").alias("anchors"))
+        doubled = _doubled_paragraphs(ids, units, rules).groupBy(*own).agg(
+            F.collect_list(F.struct("lo", "hi")).alias("paragraphs")
+        )
+        cuts = marked.join(doubled, own, "full").groupBy("doc_id").agg(
+            F.collect_list(F.struct("text_key", "anchors", "paragraphs")).alias(_CUTS)
         )
         cuts = stored(cuts, "cuts", keep=True)
-    joined = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
+    joined = docs.join(cuts, "doc_id", "left").select(*docs.columns, _CUTS)
     return map_batches(joined, _cutter(rules), with_fields(docs, removed_words="long"))
 
 
@@ -96,11 +100,13 @@ def keep_first(docs: DataFrame, rules: PassageRules = PassageRules()) -> DataFra
 
 
 def _marked_anchors(units: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lo, hi) of anchors that an earlier document has."""
-    anchors = units.filter("NOT line").select("doc_id", "text_key", "lo", "hi", "node")
+    """(doc_id, text_key, lo) of anchors that an earlier document has."""
+    anchors = units.filter("NOT line").select("doc_id", "text_key", "lo", "node")
     first = anchors.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = stored(first.filter("first <> last").select("node", "first"), "shared-anchors")
-    return anchors.join(shared, "node").filter("doc_id <> first").select("doc_id", "text_key", "lo", "hi")
+    # one row for each node, so the hashed side stays small and the anchors need no sort
+    met = anchors.join(shared.hint("shuffle_hash"), "node").filter("doc_id <> first")
+    return met.select("doc_id", "text_key", "lo")
 
 
 def _doubled_paragraphs(ids: DataFrame, units: DataFrame, rules: PassageRules) -> DataFrame:
@@ -271,7 +277,7 @@ def _set_maker(rules: PassageRules):
 def _cutter(rules: PassageRules):
     def cut(batches):
         for batch in batches:
-            texts, cuts = batch.column("text"), batch.column("_cuts")
+            texts, cuts = batch.column("text"), batch.column(_CUTS)
             out, removed = [], []
             for part in words(texts, lower=True):
                 for i in range(len(part)):
@@ -281,7 +287,7 @@ def _cutter(rules: PassageRules):
                     out.append(_cut(part, i, spans) if spans else texts[row].as_py())
             at = batch.schema.get_field_index("text")
             kept = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-            names = [x for x in batch.schema.names if x != "_cuts"]
+            names = [x for x in batch.schema.names if x != _CUTS]
             yield pa.record_batch(
                 [*(kept.column(x) for x in names), pa.array(removed, pa.int64())], names=[*names, "removed_words"]
             )
@@ -298,10 +304,14 @@ def _to_remove(part: Words, i: int, cuts: list[dict] | None, rules: PassageRules
     drop, marked = np.zeros(len(own), bool), np.zeros(len(own), bool)
     for c in cuts:
         if c["text_key"] == key:
-            (drop if c["whole"] else marked)[c["lo"] : c["hi"]] = True
+            for span in c["paragraphs"] or ():
+                drop[span["lo"] : span["hi"]] = True
+            begins = np.array(c["anchors"] or (), np.int64)
+            for step in range(rules.anchor_words):
+                marked[begins + step] = True
     # anchors that follow each other begin at most a window apart
     for lo, hi in _spans(~(marked | drop)):
-        if lo and hi < len(own) and hi - lo <= rules.window - rules.anchor_words:
+        if lo and hi < len(own) and hi - lo <= max(0, rules.window - rules.anchor_words):
             marked[lo:hi] = True
     for lo, hi in _spans(marked | drop):
         if hi - lo >= rules.least_marked():
