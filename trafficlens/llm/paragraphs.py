@@ -48,7 +48,7 @@ class PassageRules:
     missed: float = 0.001
     passage_words: int = 50
     anchor_words: int = 6
-    window: int = 12
+    window: int = 8
 
     def least_marked(self) -> int:
         return max(self.anchor_words, self.passage_words - 2 * (self.window - 1))
