@@ -1,8 +1,10 @@
 """Features, splits, kNN, training and metrics."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -104,6 +106,62 @@ def test_bins_hold_what_they_should():
     assert max(held.values()) <= 100 and sorted(held) == list(range(len(held)))
 
 
+def in_one_bin(train, asked, cell, k, kth=float("inf")):
+    """{qid: [(squared, id)]} of one comparison, every query asking for every cell."""
+    cells = [sorted(set(cell))] * len(asked)
+    queries = {"qid": range(len(asked)), "features": list(asked), "kth": [kth] * len(asked), "cells": cells}
+    vectors = {"id": [f"v{i:05}" for i in range(len(train))], "label": [None] * len(train), "features": list(train)}
+    typed = pa.table({name: list(column) for name, column in queries.items()}), pa.table(vectors | {"cell": cell})
+    found = {}
+    for r in knn._best_in_bin(k)((0, 0), *typed).to_pylist():
+        found.setdefault(r["qid"], []).append((r["squared"], r["id"]))
+    return {qid: sorted(rows) for qid, rows in found.items()}
+
+
+@pytest.mark.parametrize("tile, pairs", [(7, 1_000_000), (7, 40), (1024, 1_000_000)])
+def test_tiles_of_a_bin_against_brute_force(monkeypatch, tile, pairs):
+    monkeypatch.setattr(knn, "_TILE", tile)
+    monkeypatch.setattr(knn, "_PAIRS_AT_ONCE", pairs)
+    rng = np.random.default_rng(4)
+    train, asked = (rng.integers(0, 5, (n, 2)).astype(float) for n in (200, 40))  # many equal distances
+    cell = rng.integers(0, 9, 200).tolist()
+    found = in_one_bin(train, asked, cell, 4)
+    for i, q in enumerate(asked):
+        all_ = sorted((((v - q) ** 2).sum(), f"v{j:05}") for j, v in enumerate(train))
+        assert found[i] == all_[:4]
+
+
+def test_a_bin_of_many_cells_is_compared_in_bounded_memory():
+    rng = np.random.default_rng(6)
+    train, asked, cells = rng.normal(size=(4096, 4)), rng.normal(size=(8192, 4)), np.arange(4096) % 128
+    queries = pa.table({
+        "qid": np.arange(8192), "features": list(asked), "kth": np.full(8192, np.inf),
+        "cells": [np.arange(128, dtype="int32")] * 8192,
+    })
+    vectors = pa.table({
+        "id": np.arange(4096), "label": np.zeros(4096, "int32"), "features": list(train), "cell": cells.astype("int32"),
+    })
+    tracemalloc.start()
+    found = knn._best_in_bin(11)((0, 0), queries, vectors)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # every cell has eleven candidates for each query: 11.5 million rows, of which few may be held at once
+    assert found.num_rows == 8192 * 11 and peak < 200e6
+
+
+def test_second_round_returns_nothing_beyond_the_first(spark):
+    rng = np.random.default_rng(8)
+    points = [(i, rng.normal(size=16).tolist(), 0) for i in range(500)]
+    df = spark.createDataFrame(points, "id long, features array<double>, label int")
+    index = knn.build_index(df, 5, block_rows=100)
+    asked = knn._asked(index, df, "features")
+    first = knn._best(knn._met(index, knn.first_visits(index, asked)), 5).localCheckpoint()
+    kth = {r.qid: r.kth for r in first.groupBy("qid").agg(F.max("squared").alias("kth")).collect()}
+    second = knn._met(index, knn.second_visits(index, asked, first)).collect()
+    index.close()
+    assert second and all(r.squared <= kth[r.qid] * (1 + 1e-9) for r in second)
+
+
 @pytest.mark.parametrize("wanted", [0.5, 0.9, 1.0])
 def test_approximate_search_reaches_its_recall(spark, wanted):
     rng = np.random.default_rng(5)

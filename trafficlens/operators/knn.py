@@ -24,6 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,12 @@ from trafficlens.sources.workspace import remove_tree, scratch_path
 _SLACK = 1e-6
 # distances held at once inside a task
 _PAIRS_AT_ONCE = 1_000_000
+# queries, or vectors of a cell, on a side of what is compared at once
+_TILE = 1024
+# bytes of the vectors in a bin, and of the queries that meet it in one task
+_BLOCK_BYTES = 16_000_000
+# visits that a routing task sends on at once
+_VISITS_AT_ONCE = 8192
 # a vector's copies are thinned in this many parts before they meet
 _COPY_PARTS = 64
 
@@ -44,6 +52,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64)
 
 
+def _rows_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Equally long vectors of an Arrow column, without an object for each."""
+    return np.asarray(pc.list_flatten(vectors), dtype=np.float64).reshape(len(vectors), -1)
+
+
 def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.maximum(squares, 0.0)
@@ -129,13 +142,12 @@ def _nearest_cells(d: np.ndarray, probes: int) -> np.ndarray:
     return mask
 
 
-def _least_distances(x: np.ndarray, d: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+def _least_distances(x: np.ndarray, d: np.ndarray, cells: Cells, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(what every vector of a cell is at least away from a query, room for rounding).
 
     By the spheres around a pivot between which its cell lies, and by the plane halfway
-    between a cell's pivot and the query's.
+    between a cell's pivot and the query's; ``between`` are the distances of the pivots.
     """
-    between = np.sqrt(_squared_distances(cells.pivots, cells.pivots))
     reach = np.sqrt((cells.pivots * cells.pivots).sum(1)).max() + cells.outer.max()
     slack = (_SLACK * (np.sqrt((x * x).sum(1)) + reach))[:, None]
     own = d.argmin(1)
@@ -147,90 +159,163 @@ def _least_distances(x: np.ndarray, d: np.ndarray, cells: Cells) -> tuple[np.nda
     return np.maximum(np.maximum(d - cells.outer, cells.inner - d), plane - margin), slack
 
 
-def _grouped(mask: np.ndarray, bins: np.ndarray, blocks: np.ndarray) -> list[list[dict]]:
-    """For each query the bins of its cells, each with the cells that are meant."""
-    out = []
-    for row in mask:
-        visits: dict[int, list[int]] = {}
-        for cell in np.flatnonzero(row).tolist():
-            for b in range(bins[cell], bins[cell] + blocks[cell]):
-                visits.setdefault(b, []).append(cell)
-        out.append([{"bin": b, "cells": own} for b, own in visits.items()])
-    return out
+_VISITS = "qid long, features array<double>, kth double, bin int, cells array<int>"
+
+
+def _grouped(mask: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, bin, first, cells): a row for each query and bin of its cells; they begin at ``first`` in ``cells``."""
+    query, cell = np.nonzero(mask)
+    n = cells.blocks[cell]
+    block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    query, cell = np.repeat(query, n), np.repeat(cell, n)
+    bins = cells.bin[cell] + block
+    order = np.lexsort((bins, query))
+    query, bins, cell = query[order], bins[order], cell[order]
+    first = np.flatnonzero(np.diff(query, prepend=-1) | np.diff(bins, prepend=-1))
+    return query[first], bins[first], np.append(first, len(cell)), cell
+
+
+def _router(layout, choose):
+    """Queries (qid, features, kth) -> ``_VISITS``: the bins of the cells that ``choose`` takes, with these."""
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = layout.value
+        between = np.sqrt(_squared_distances(cells.pivots, cells.pivots))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            qid, features, kth = (batch.column(name) for name in ("qid", "features", "kth"))
+            x, limit = _rows_of(features), np.sqrt(np.asarray(kth, dtype=np.float64))
+            for s in _row_slices(len(x), len(cells.pivots)):
+                d = np.sqrt(_squared_distances(x[s], cells.pivots))
+                query, bins, first, asked = _grouped(choose(x[s], d, limit[s], cells, between), cells)
+                for i in range(0, len(query), _VISITS_AT_ONCE):
+                    j = min(i + _VISITS_AT_ONCE, len(query))
+                    own = pa.array(s.start + query[i:j])
+                    ends = pa.array(first[i : j + 1] - first[i], pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(asked[first[i] : first[j]], pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [qid.take(own), features.take(own), kth.take(own), pa.array(bins[i:j], pa.int32()), lists],
+                        names=["qid", "features", "kth", "bin", "cells"],
+                    )
 
-_VISITS = "array<struct<bin: int, cells: array<int>>>"
+    return route
 
 
-def _router(layout, k: int, probes: int | None = None):
-    """Query vector -> the bins of the cells to meet first: its own, or the ``probes`` nearest."""
+def _first_cells(k: int, probes: int | None = None):
+    """The cells to meet first: a query's own, or the ``probes`` nearest."""
 
-    @F.pandas_udf(_VISITS)
-    def first(vectors: pd.Series) -> pd.Series:
-        x, cells, visits = _matrix(vectors), layout.value, []
-        for s in _row_slices(len(x), len(cells.pivots)):
-            d = np.sqrt(_squared_distances(x[s], cells.pivots))
-            mask = _nearest_cells(d, probes) if probes else _own_cells(d, cells.members, k)
-            visits += _grouped(mask, cells.bin, cells.blocks)
-        return pd.Series(visits)
+    def choose(x, d, limit, cells, between):
+        return _nearest_cells(d, probes) if probes else _own_cells(d, cells.members, k)
 
-    return first
+    return choose
 
 
-def _second_router(layout, k: int):
-    """(query vector, distance of its k-th vector so far) -> the bins of the cells that can have a nearer one."""
+def _second_cells(k: int):
+    """The other cells that can have a vector nearer than the k-th so far."""
 
-    @F.pandas_udf(_VISITS)
-    def second(vectors: pd.Series, kth: pd.Series) -> pd.Series:
-        x, limit, cells, visits = _matrix(vectors), kth.to_numpy(float), layout.value, []
-        for s in _row_slices(len(x), len(cells.pivots)):
-            d = np.sqrt(_squared_distances(x[s], cells.pivots))
-            least, slack = _least_distances(x[s], d, cells)
-            mask = (least <= limit[s][:, None] + 2.0 * slack) & ~_own_cells(d, cells.members, k)
-            visits += _grouped(mask, cells.bin, cells.blocks)
-        return pd.Series(visits)
+    def choose(x, d, limit, cells, between):
+        least, slack = _least_distances(x, d, cells, between)
+        return (least <= limit[:, None] + 2.0 * slack) & ~_own_cells(d, cells.members, k)
 
-    return second
+    return choose
 
 
-def _best_of(q, qid, t, ids, labels, k: int):
-    """(qid, squared, id, label) columns of the k nearest rows of t for each row of q."""
-    keep = min(k, len(t))
-    size = (q * q).sum(1)[:, None] + (t * t).sum(1).max()
-    for s in _row_slices(len(q), len(t)):
-        rough = _squared_distances(q[s], t)
-        kth = np.partition(rough, keep - 1, axis=1)[:, keep - 1, None]
-        row, column = np.nonzero(rough <= kth + 1e-11 * size[s])
-        exact = ((q[s][row] - t[column]) ** 2).sum(1)
-        order = np.lexsort((ids[column], exact, row))
-        row, column, exact = row[order], column[order], exact[order]
-        best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < keep
-        yield qid[s][row[best]], exact[best], ids[column[best]], labels[column[best]]
+def _exactly(q, t, row, column) -> np.ndarray:
+    """Squared distances of the pairs (row of q, row of t)."""
+    step = max(1, _PAIRS_AT_ONCE // max(q.shape[1], 1))
+    parts = [((q[row[i : i + step]] - t[column[i : i + step]]) ** 2).sum(1) for i in range(0, len(row), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _best_in_bin(k: int, columns: list[str]):
+def _first_of(row, exact, column, k: int):
+    """The k nearest of each row's candidates; ``column`` is in the order of ids."""
+    order = np.lexsort((column, exact, row))
+    row, exact, column = row[order], exact[order], column[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[best], exact[best], column[best]
+
+
+def _best_of(q, limit, asked, t, place, starts, k: int):
+    """(row of q, squared, place) of the k nearest vectors in the cells that each row asks for.
+
+    ``limit``: a squared distance beyond which a row needs none. ``asked``: rows by cells.
+    The cells are the parts of t from ``starts`` on; ``place`` is a vector's place in the
+    order of ids. At most a tile of distances is held, and k candidates of a tile for each
+    row, until there are enough to thin them.
+    """
+    q_squares, t_squares = (q * q).sum(1), (t * t).sum(1)
+    room = 1e-11 * (q_squares + t_squares.max())
+    limit = limit + room
+    kept, held = [], 0
+
+    def thinned():
+        return _first_of(*map(np.concatenate, zip(*kept, strict=True)), k)
+
+    for c, (begin, end) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        rows = np.flatnonzero(asked[:, c])
+        for a in range(begin, end if len(rows) else begin, _TILE):
+            b = min(a + _TILE, end)
+            rough = q[rows] @ t[a:b].T
+            rough *= -2.0
+            rough += q_squares[rows, None]
+            rough += t_squares[a:b]
+            near = rough <= (limit[rows] + room[rows])[:, None]
+            many = np.flatnonzero(np.count_nonzero(near, axis=1) > k)
+            if len(many):
+                kth = np.partition(rough[many], k - 1, axis=1)[:, k - 1]
+                limit[rows[many]] = np.minimum(limit[rows[many]], kth + room[rows[many]])
+                near[many] = rough[many] <= (limit[rows[many]] + room[rows[many]])[:, None]
+            row, column = np.nonzero(near)
+            if not len(row):
+                continue
+            row, column = rows[row], column + a
+            kept.append(_first_of(row, _exactly(q, t, row, column), place[column], k))
+            held += len(kept[-1][0])
+            if held > max(_PAIRS_AT_ONCE, 2 * k * len(q)):
+                kept = [thinned()]
+                row, exact, _ = kept[0]
+                held = len(row)
+                last = np.flatnonzero(np.diff(row, append=-1))
+                full = last[np.bincount(row, minlength=len(q))[row[last]] == k]
+                limit[row[full]] = np.minimum(limit[row[full]], exact[full] + room[row[full]])
+    return thinned() if kept else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+
+def _best_in_bin(k: int):
     """Compare a block of queries with the cells of a bin that each of them asks for."""
 
-    def compare(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        if len(queries) and len(vectors):
-            q, t = _matrix(queries["features"]), _matrix(vectors["features"])
-            qid, ids = queries["qid"].to_numpy(), vectors["id"].to_numpy()
-            labels, cell = vectors["label"].to_numpy(), vectors["cell"].to_numpy()
-            wants = queries["cells"].explode().astype("int64")
-            asking = pd.Series(np.repeat(np.arange(len(q)), queries["cells"].str.len())).groupby(wants.to_numpy()).indices
-            row = np.repeat(np.arange(len(q)), queries["cells"].str.len())
+    def compare(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found = []
+        if queries.num_rows and vectors.num_rows:
+            by_id = np.asarray(pc.sort_indices(vectors["id"], null_placement="at_start")).astype(np.int64)
+            place = np.empty(len(by_id), np.int64)
+            place[by_id] = np.arange(len(by_id))
+            cell = np.asarray(vectors["cell"])
             order = np.argsort(cell, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                c = int(cell[own[0]])
-                if c in asking:
-                    r = row[asking[c]]
-                    for part in _best_of(q[r], qid[r], t[own], ids[own], labels[own], k):
-                        found.append(pd.DataFrame(dict(zip(columns, (*part, np.int32(c)), strict=True))))
-        if not found:
-            return pd.DataFrame({c: [] for c in columns})
-        rows = pd.concat(found).sort_values(["qid", "squared", "id"])
-        return rows[rows.groupby("qid").cumcount() < k][columns]
+            t, place = _rows_of(vectors["features"])[order], place[order]
+            present, starts = np.unique(cell[order], return_index=True)
+            starts = np.append(starts, len(order))
+            q, limit = _rows_of(queries["features"]), np.asarray(queries["kth"])
+            lengths = np.asarray(pc.list_value_length(queries["cells"])).astype(np.int64)
+            wanted, ends = np.asarray(pc.list_flatten(queries["cells"])), np.append(0, np.cumsum(lengths))
+            for i in range(0, len(q), _TILE):
+                n = min(_TILE, len(q) - i)
+                own = wanted[ends[i] : ends[i + n]]
+                at = np.minimum(np.searchsorted(present, own), len(present) - 1)
+                # a cell larger than a bin may have none of its vectors here
+                here = present[at] == own
+                asked = np.zeros((n, len(present)), bool)
+                asked[np.repeat(np.arange(n), lengths[i : i + n])[here], at[here]] = True
+                row, exact, nth = _best_of(q[i : i + n], limit[i : i + n], asked, t, place, starts, k)
+                found.append((row + i, exact, by_id[nth]))
+        empty = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        row, exact, index = map(np.concatenate, zip(empty, *found, strict=True))
+        chosen = vectors.select(["id", "label", "cell"]).take(pa.array(index))
+        return pa.table({
+            "qid": queries["qid"].take(pa.array(row)), "squared": exact,
+            "id": chosen["id"], "label": chosen["label"], "cell": chosen["cell"],
+        })
 
     return compare
 
@@ -280,7 +365,7 @@ def build_index(
     """Vectors in cells and bins, for searches of up to ``k`` neighbours.
 
     Null vectors, vectors with a null or non-finite component, and those shorter than the
-    longest take no part.
+    longest take no part. A bin has at most ``block_rows`` vectors, fewer if they are long.
     """
     spark = train.sparkSession
     ship_package(spark)
@@ -314,6 +399,7 @@ def build_index(
     inner, outer, members = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("cell").agg(F.min("radius"), F.max("radius"), F.count("*")).collect():
         inner[r[0]], outer[r[0]], members[r[0]] = r[1], r[2], r[3]
+    block_rows = max(1, min(block_rows, _BLOCK_BYTES // (8 * max(longest, 1))))
     first, blocks = _laid_out(pivots, members, block_rows)
     cells = Cells(pivots, inner, outer, members, first, blocks)
     where = [(i, int(b), int(n)) for i, (b, n) in enumerate(zip(first, blocks, strict=True))]
@@ -326,13 +412,14 @@ def build_index(
 def _met(index: Index, visits: DataFrame) -> DataFrame:
     """(qid, squared, id, label, cell): up to k rows for each query and bin it visits.
 
-    visits: (qid, features, bin, cells), each row a query for one bin. A bin with many
-    visitors is compared in several tasks, each with a block of them.
+    visits: ``_VISITS``, each row a query for one bin; ``kth`` is a squared distance beyond
+    which the query needs no vector. A bin with many visitors is compared in several
+    tasks, each with a block of them.
     """
     n = F.ceil(F.count("*") / index.block_rows).cast("int").alias("query_blocks")
     crowds = visits.groupBy("bin").agg(n)
     own_block = F.pmod(F.xxhash64("qid"), F.col("query_blocks")).cast("int").alias("query_block")
-    left = visits.join(crowds, "bin").select("bin", own_block, "qid", "features", "cells")
+    left = visits.join(crowds, "bin").select("bin", own_block, "qid", "features", "kth", "cells")
     every_block = F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block")
     right = index.placed.join(crowds, "bin").select("bin", every_block, "id", "label", "features", "cell")
     schema = T.StructType([
@@ -343,9 +430,7 @@ def _met(index: Index, visits: DataFrame) -> DataFrame:
         T.StructField("cell", T.IntegerType()),
     ])
     pair = ["bin", "query_block"]
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(
-        _best_in_bin(index.k, schema.names), schema
-    )
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(_best_in_bin(index.k), schema)
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -362,17 +447,17 @@ def _asked(index: Index, queries: DataFrame, features: str) -> DataFrame:
 
 
 def first_visits(index: Index, asked: DataFrame, probes: int | None = None) -> DataFrame:
-    """(qid, features, bin, cells) of the first round, or of the only one with ``probes``."""
-    routed = _router(index.layout, index.k, probes)("features")
-    return asked.select("qid", "features", F.inline(routed))
+    """``_VISITS`` of the first round, or of the only one with ``probes``."""
+    queries = asked.select("qid", "features", F.lit(float("inf")).alias("kth"))
+    return queries.mapInArrow(_router(index.layout, _first_cells(index.k, probes)), _VISITS)
 
 
 def second_visits(index: Index, asked: DataFrame, first: DataFrame) -> DataFrame:
     """The same of the second round, after the neighbours that the ``first`` found."""
     known = first.groupBy("qid").agg(F.count("*").alias("n"), F.max("squared").alias("kth"))
-    limit = F.when(F.col("n") >= index.k, F.sqrt("kth")).otherwise(float("inf"))
-    routed = _second_router(index.layout, index.k)("features", limit)
-    return asked.join(known, "qid").select("qid", "features", F.inline(routed))
+    limit = F.when(F.col("n") >= index.k, F.col("kth")).otherwise(float("inf"))
+    queries = asked.join(known, "qid").select("qid", "features", limit.alias("kth"))
+    return queries.mapInArrow(_router(index.layout, _second_cells(index.k)), _VISITS)
 
 
 def search(index: Index, asked: DataFrame, probes: int | None = None) -> DataFrame:
