@@ -281,6 +281,21 @@ def test_select_best_keeps_the_first_of_equals():
     assert chosen.params == {"a": 2, "b": 3} and len(chosen.tried) == 4
 
 
+@pytest.mark.parametrize("max_iter", [1, 2, 30])
+def test_training_cost_is_that_of_the_centres_before(spark, max_iter):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(p.tolist(),) for p in rng.normal(size=(300, 3))], "x array<double>")
+    train = points.select(array_to_vector("x").alias(ft.FEATURES)).cache()
+    sweep = training.train_kmeans(train, train, (3, 5), max_iter=max_iter)
+    before = training.before_last_update(sweep, train)
+    own = training.Selection(None, {}, 0.0, [({"k": k}, 0.0, model) for k, model in before.items()])
+    costs = training.squared_distance_sums(own, train)
+    assert set(costs) == {3, 5}
+    for params, _, model in sweep.tried:
+        assert model.summary.trainingCost == pytest.approx(costs[params["k"]], rel=1e-9)
+    train.unpersist()
+
+
 def test_training_run(spark, windows, tmp_path):
     trained = training.run_training(
         windows,

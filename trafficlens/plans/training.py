@@ -159,6 +159,31 @@ def train_kmeans(
     )
 
 
+def before_last_update(sweep: Selection, train: DataFrame, parallelism: int = 1) -> dict[int, Any]:
+    """For each fitted k the model whose centres the fit's ``trainingCost`` belongs to.
+
+    Spark keeps the centres after the last update only, so the same fit runs again with one
+    iteration less.
+    """
+
+    def again(model):
+        fit = KMeans(
+            featuresCol=model.getFeaturesCol(),
+            predictionCol=model.getPredictionCol(),
+            k=model.getK(),
+            initMode=model.getInitMode(),
+            initSteps=model.getInitSteps(),
+            tol=model.getTol(),
+            seed=model.getSeed(),
+            maxIter=model.summary.numIter - 1,
+        )
+        return model.getK(), fit.fit(train)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        spark = train.sparkSession
+        return dict(pool.map(inheritable_thread_target(spark)(again), [model for _, _, model in sweep.tried]))
+
+
 def squared_distance_sums(sweep: Selection, rows: DataFrame) -> dict[int, float]:
     """For each fitted k the squared distances of ``rows`` to the nearest centre, summed.
 
