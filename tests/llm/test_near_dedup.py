@@ -54,6 +54,33 @@ def test_large_family_is_no_square(spark, monkeypatch):
     assert checked.get("met", 0) + checked.get("across", 0) < 0.2 * 179_700, checked
 
 
+def test_family_below_the_threshold_is_hardly_checked(spark, monkeypatch):
+    """200 texts of one template that nearly all lie at 0.74 to each other, and two that link."""
+    from trafficlens.llm import near_dedup
+
+    rng = np.random.default_rng(6)
+    template = [f"w{i}" for i in range(300)]
+    docs = []
+    for d in range(200):
+        own = list(template)
+        for k in rng.choice(300, 12, replace=False):
+            own[k] = f"x{rng.integers(10**6)}"
+        docs.append((d, " ".join(own)))
+    docs.append((200, docs[150][1] + " and more"))
+    checked, stored = [], near_dedup.stored
+
+    def counting(df, name, **options):
+        out = stored(df, name, **options)
+        if name in ("met", "across"):
+            checked.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counting)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), NearDuplicates(shingle_words=2))
+    assert found(got) == brute.near_duplicates(docs, 2)
+    assert sum(checked) < 0.1 * 19_900, checked
+
+
 def test_odd_rows(odd_docs):
     rows = near_duplicates(odd_docs, NearDuplicates(shingle_words=2)).collect()
     assert len(rows) == 14
@@ -97,6 +124,29 @@ def test_sketch_tells_similar_from_unlike():
         assert (odd <= limit) == passes, (similarity, odd, limit)
 
 
+def test_finer_sketch_tells_more():
+    hasher, rng = NearDuplicates().finer(), np.random.default_rng(1)
+    limit = hasher.most_odd_bits(0.8)
+    for share, passes in ((0.81, True), (0.73, False)):
+        common = int(2000 * share / (1 + share))
+        a, other = rng.integers(0, 1 << 63, 1000, dtype=np.uint64), rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+        x, y = (hasher.sketch_of(m) for m in (a, np.concatenate([a[:common], other[common:]])))
+        assert len(x) * 64 == hasher.sketch_bits
+        odd = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert (odd <= limit) == passes, (share, odd, limit)
+
+
+def test_finer_sketch_keeps_pairs_at_the_threshold():
+    hasher, rng = NearDuplicates().finer(), np.random.default_rng(3)
+    limit, over, bits = hasher.most_odd_bits(0.8), 0, hasher.sketch_bits
+    for _ in range(10):
+        flips = 2 * rng.binomial(hasher.n, 0.2, 1000)
+        at = np.repeat(np.arange(1000), flips) * bits + rng.integers(0, bits, flips.sum())
+        odd = np.bincount(at, minlength=1000 * bits).reshape(1000, bits) & 1
+        over += int((odd.sum(axis=1) > limit).sum())
+    assert over == 0
+
+
 def test_sketch_keeps_pairs_at_the_threshold():
     """By simulation: flips of differing samples fall on random bits."""
     hasher, rng = NearDuplicates().sketcher(), np.random.default_rng(2)

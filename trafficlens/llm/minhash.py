@@ -9,16 +9,18 @@ from trafficlens.llm.words import mix
 SKETCH_WORDS = 32
 SKETCH_BITS = 64 * SKETCH_WORDS
 _BLOCK = 4096
+_HASHES_AT_ONCE = 1 << 22
 
 
 class MinHasher:
     """``bands`` keys of ``rows`` samples each.
 
     Two sets with similarity s share a key with probability 1 - (1 - s^rows)^bands.
+    An odd sketch of the samples has ``sketch_bits``.
     """
 
-    def __init__(self, bands: int, rows: int, seed: int = 7):
-        self.bands, self.rows = bands, rows
+    def __init__(self, bands: int, rows: int, seed: int = 7, sketch_bits: int = SKETCH_BITS):
+        self.bands, self.rows, self.sketch_bits = bands, rows, sketch_bits
         rng = np.random.default_rng(seed)
         n = self.n = bands * rows
         self._a = (rng.integers(0, 1 << 31, n, dtype=np.uint32) * 2 + 1)[:, None]
@@ -31,8 +33,9 @@ class MinHasher:
         """The smallest hash of a non-empty set under each hash function."""
         x = (members >> np.uint64(32)).astype(np.uint32)
         best = None
-        for lo in range(0, len(x), _BLOCK):
-            hashed = self._a * x[None, lo : lo + _BLOCK]
+        step = min(_BLOCK, max(1, _HASHES_AT_ONCE // self.n))
+        for lo in range(0, len(x), step):
+            hashed = self._a * x[None, lo : lo + step]
             hashed += self._b
             least = hashed.min(axis=1)
             best = least if best is None else np.minimum(best, least)
@@ -59,15 +62,15 @@ class MinHasher:
         return keys.view(np.int64)
 
     def sketch_of(self, members: np.ndarray) -> np.ndarray:
-        return self.odd_sketch(self.samples(members)) if len(members) else np.zeros(SKETCH_WORDS, np.int64)
+        return self.odd_sketch(self.samples(members)) if len(members) else np.zeros(self.sketch_bits // 64, np.int64)
 
     def odd_sketch(self, samples: np.ndarray) -> np.ndarray:
         """A bitmap in which each (function, sample) pair flips one bit.
 
         The XOR of two sketches holds the parities of the samples that differ.
         """
-        bits = mix(samples.astype(np.uint64) + self._sample) % np.uint64(SKETCH_BITS)
-        odd = (np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+        bits = mix(samples.astype(np.uint64) + self._sample) % np.uint64(self.sketch_bits)
+        odd = (np.bincount(bits.astype(np.int64), minlength=self.sketch_bits) & 1).astype(np.uint8)
         return np.packbits(odd, bitorder="little").view(np.int64)
 
     def most_odd_bits(self, similarity: float, deviations: float = 5.0) -> int:
@@ -78,8 +81,8 @@ class MinHasher:
         """
         flips = 2 * self.n * (1 - similarity)
         # mean over one and over two bits of the sign that each flip turns
-        one, two = (1 - 2 / SKETCH_BITS) ** flips, (1 - 4 / SKETCH_BITS) ** flips
+        one, two = (1 - 2 / self.sketch_bits) ** flips, (1 - 4 / self.sketch_bits) ** flips
         odd = (1 - one) / 2
-        occupied = SKETCH_BITS * odd * (1 - odd) + SKETCH_BITS * (SKETCH_BITS - 1) * (two - one**2) / 4
+        occupied = self.sketch_bits * odd * (1 - odd) + self.sketch_bits * (self.sketch_bits - 1) * (two - one**2) / 4
         differing = self.n * similarity * (1 - similarity) * (2 * one) ** 2
-        return int(np.ceil(SKETCH_BITS * odd + deviations * np.sqrt(differing + occupied)))
+        return int(np.ceil(self.sketch_bits * odd + deviations * np.sqrt(differing + occupied)))
