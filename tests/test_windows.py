@@ -218,6 +218,23 @@ def test_sketches_merge_within_their_error(spark):
     assert direct == {at: r.unique_endpoints for at, r in merged.items()}
 
 
+def test_tumbling_sketches_are_those_of_panes(spark):
+    """One exchange, and the figures that stored panes of that length give."""
+    rows = spark.range(9000).select(
+        F.concat(F.lit("10.0.0."), (F.col("id") % 3).cast("string")).alias("ip"),
+        F.when(F.col("id") % 50 > 0, F.timestamp_seconds(1704067200 + F.col("id"))).alias("timestamp"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("/"), (F.col("id") * 31 % 1009).cast("string"))).alias("endpoint"),
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("bytes"),
+        F.lit(0).alias("is_error"), F.lit(1).alias("is_bot"), F.lit(0).alias("is_off_hours"),
+        F.lit("low").alias("error_severity"),
+    )
+    direct = ops.window_counts(rows, "1 hour", approximate=0.05)
+    assert direct._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    merged = ops.from_sketches(ops.pane_sketches(rows, "3600 seconds", error=0.05), "1 hour")
+    assert direct.columns == merged.columns and direct.count() == 9
+    assert sorted(direct.collect()) == sorted(merged.collect())
+
+
 def test_all_histograms_come_from_one_scan(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(float(a), int(b), None) for a, b in zip(rng.normal(size=500), rng.integers(0, 9, 500))]
