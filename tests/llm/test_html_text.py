@@ -1,6 +1,8 @@
 """Page structure, boilerplate of a host, edges."""
 
-from trafficlens.llm.html_text import Boilerplate, host_of, main_text, page_blocks
+import pyarrow as pa
+
+from trafficlens.llm.html_text import Boilerplate, _anchors, _packed, _suffixes, host_of, main_text, page_blocks
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a>b">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
@@ -87,3 +89,29 @@ def test_pages_that_must_agree(spark):
     assert all(got[i] == text for i in range(4))
     assert all(got[10 + i] == f"a{i} b{i} c{i} {phrase} d{i}" for i in range(3))
     assert all(got[200 + i] == f"one two three four five six own{i}" for i in range(5))
+
+
+def _batch(n):
+    """Pages of a host with texts of their own and 40 common words."""
+    common = " ".join(f"common{i}" for i in range(40))
+    htmls = [f"<article><p>{' '.join(f'own{i}x{k}' for k in range(60))}</p></article><p>{common}</p>" for i in range(n)]
+    return pa.record_batch({"page": pa.array(range(n), pa.int64()), "url": ["http://a.b/"] * n, "html": htmls})
+
+
+def test_rows_of_pages_come_together():
+    pages = _batch(50)
+    (marks,) = _anchors(Boilerplate())(iter([pages]))
+    assert set(marks.column("page").to_pylist()) == set(range(50))
+    several = marks.to_pandas().groupby("anchor")["content"].nunique()
+    common = sorted(several[several > 1].index)
+    (packed,) = _packed(iter([pages]))
+    asked = packed.append_column("_anchors", pa.array([common] * 50, pa.list_(pa.int64())))
+    (found,) = _suffixes(Boilerplate())(iter([asked]))
+    # the 29 suffixes of the common words, and some that begin before these
+    assert (found.to_pandas().groupby("prefix")["content"].nunique() == 50).sum() == 29
+
+
+def test_pages_travel_without_markup():
+    pages = _batch(50)
+    (packed,) = _packed(iter([pages]))
+    assert sum(map(len, packed.column("packed").to_pylist())) < 0.5 * sum(map(len, pages.column("html").to_pylist()))
