@@ -3,6 +3,7 @@
 import brute
 import numpy as np
 
+from trafficlens.llm import near_dedup
 from trafficlens.llm.components import components
 from trafficlens.llm.minhash import SKETCH_BITS
 from trafficlens.llm.near_dedup import NearDuplicates, keep_one, near_duplicates
@@ -157,3 +158,12 @@ def test_sketch_keeps_pairs_at_the_threshold():
         bits = np.bincount(at, minlength=5000 * SKETCH_BITS).reshape(5000, SKETCH_BITS)
         over += int(((bits & 1).sum(axis=1) > limit).sum())
     assert over == 0
+
+
+def test_members_of_shared_buckets_take_few_of_them(spark):
+    rows = [(bucket, node) for node in range(200) for bucket in range(32)] + [(100, 500), (101, 500)]
+    members = spark.createDataFrame(rows, "bucket long, node long")
+    turns = [{r["node"]: r["bucket"] for r in near_dedup._one_bucket(members, turn).collect()} for turn in range(4)]
+    assert all(set(t) == {*range(200), 500} and t[500] in (100, 101) for t in turns)
+    assert all(len({b for node, b in t.items() if node < 200}) <= near_dedup.HUB_GROUPS for t in turns)
+    assert len({tuple(sorted(t.items())) for t in turns}) > 1

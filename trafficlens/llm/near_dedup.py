@@ -35,6 +35,8 @@ from trafficlens.llm.words import mix, shingle_hashes, words
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 # members of a bucket that are compared with others in one task
 BLOCK_MEMBERS = 1024
+# members outside the main component choose their buckets in so many orders, so that no one bucket has them all
+HUB_GROUPS = 4
 # finer sketches in a batch
 _FINE_AT_ONCE = 1024
 _SET = "doc_id long, set_a long, members array<long>, sketch array<long>"
@@ -200,12 +202,10 @@ def _to_other_hubs(placed, open_buckets, profile, sets, how: NearDuplicates, tur
     hubs = how.hubs << turn
     drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("main_size")) < hubs
     hub = inside.filter(F.col("component") == F.col("main")).filter(drawn).select("bucket", F.col("node").alias("b"))
-    order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)), "bucket")
-    outside = (
-        inside.filter(F.col("component") != F.col("main")).groupBy("node").agg(F.min(order)["bucket"].alias("bucket"))
-    )
+    outside = _one_bucket(inside.filter(F.col("component") != F.col("main")), turn)
     # sketches are compared where the bucket's members meet, so pairs that they rule out are never rows
-    hub = hub.join(outside.select("bucket").distinct(), "bucket", "left_semi")
+    # drawn first: else all members of these buckets would pass the join
+    hub = stored(hub, "drawn").join(outside.select("bucket").distinct(), "bucket", "left_semi")
     a = outside.withColumnRenamed("node", "a").join(profile.select(*_side("a")), "a")
     b = hub.join(profile.select(*_side("b")), "b")
     near = stored(a.join(b, "bucket").filter(_may_link(how)).select("a", "b", _odd_bits().alias("odd")), "met")
@@ -213,6 +213,16 @@ def _to_other_hubs(placed, open_buckets, profile, sets, how: NearDuplicates, tur
     return _confirmed(best, sets, how)
 
 
+def _one_bucket(members: DataFrame, turn: int) -> DataFrame:
+    """One of the buckets of each node, another one every turn.
+
+    Nodes that share buckets take the same ones, so few buckets have to send hubs.
+    """
+    group = F.pmod(F.xxhash64("node"), F.lit(HUB_GROUPS))
+    order = F.struct(F.xxhash64("bucket", group, F.lit(turn)), "bucket")
+    return members.groupBy("node").agg(F.min(order)["bucket"].alias("bucket"))
+
+
 def _beside(pairs: DataFrame, profile: DataFrame, how: NearDuplicates) -> DataFrame:
     """(a, b, odd) of the pairs that sizes and sketches do not rule out."""
 
