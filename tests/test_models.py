@@ -176,6 +176,21 @@ def test_approximate_search_reaches_its_recall(spark, wanted):
     assert wanted == 1.0 or how.probes < 20
 
 
+def test_recall_is_not_measured_on_pivots(spark, tmp_path, monkeypatch):
+    # a pivot lies in the middle of its cell and finds more there than other queries do
+    monkeypatch.setattr(knn, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    rng = np.random.default_rng(17)
+    points = [(i, rng.normal(size=16).tolist(), 0) for i in range(2500)]
+    df = spark.createDataFrame(points, "id long, features array<double>, label int")
+    index = knn.build_index(df, 5)
+    asked = knn._asked(index, df, "features")
+    how = knn.probes_for(index, asked, 0.8, sample=len(index.cells.pivots))
+    found, exact = (knn.search(index, asked, probes).select("qid", "id") for probes in (how.probes, None))
+    assert how.sampled == 50 and how.probes < how.cells
+    assert found.intersect(exact).count() >= (how.recall - 0.1) * 5 * 2500
+    index.close()
+
+
 def test_search_leaves_only_its_result(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(knn, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
     df = spark.createDataFrame([(i, [float(i)], 0) for i in range(30)], "id long, features array<double>, label int")

@@ -44,6 +44,8 @@ _TILE = 1024
 _BLOCK_BYTES = 16_000_000
 # visits that a routing task sends on at once
 _VISITS_AT_ONCE = 8192
+# sets the order of the sampled queries apart from that of the pivots
+_SAMPLE_SEED = 7919
 # a vector's copies are thinned in this many parts before they meet
 _COPY_PARTS = 64
 
@@ -475,9 +477,10 @@ def probes_for(index: Index, queries: DataFrame, recall: float, sample: int = 25
 
     ``sample`` distinct queries, the first by hash, are answered exactly; the place of each
     true neighbour's cell in the query's order of cells tells what every number of
-    probes would find.
+    probes would find. The hash is another one than that of the pivots: a pivot lies in the
+    middle of its own cell and finds more there than other queries do.
     """
-    few = queries.orderBy(F.xxhash64("features"), "features").limit(sample)
+    few = queries.orderBy(F.xxhash64("features", F.lit(_SAMPLE_SEED)), "features").limit(sample)
     few = cut(few, f"{index.folder}/sample-{uuid.uuid4().hex}")
     found = search(index, few).join(few, "qid").select("qid", "features", "cell").toPandas()
     d = np.sqrt(_squared_distances(_matrix(found["features"]), index.cells.pivots))
